@@ -20,11 +20,6 @@ def exact_sum(column: str) -> Column:
     return F.sum(F.col(column).cast(MONEY))
 
 
-def exact_avg(column: str) -> Column:
-    """Mean of the non-null values as exact sum over count, unrounded."""
-    return exact_sum(column).cast("double") / F.count(column)
-
-
 def compact_date(column: Column) -> Column:
     return F.date_format(column, "yyyyMMdd")
 

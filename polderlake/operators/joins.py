@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import (ArrayType, BinaryType, DataType, MapType, StringType, StructType)
+from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 from polderlake.operators.dedupe import dedupe_latest
 
@@ -16,25 +16,32 @@ BROADCAST_BYTES = 64 << 20
 # A key is hot when it holds more than 1/HOT_SHARE of all rows, so there are fewer than this.
 HOT_SHARE = 64
 SALTS = 64
-
-
-def _width(name: str, kind: DataType) -> Column:
-    value = F.col(f"`{name}`")
-    if isinstance(kind, (StringType, BinaryType)):
-        return F.coalesce(F.octet_length(value), F.lit(0)) + 16
-    if isinstance(kind, (ArrayType, MapType, StructType)):
-        return F.coalesce(F.octet_length(F.to_json(F.struct(value))), F.lit(0)) + 16
-    return F.lit(16)
-
-
-def measured_bytes(df: DataFrame) -> int:
-    """Size of the rows, summed by one distributed aggregate over the needed columns."""
-    width = reduce(lambda a, b: a + b, [_width(f.name, f.dataType) for f in df.schema.fields])
-    return df.agg(F.coalesce(F.sum(width.cast("bigint")), F.lit(0)).alias("n")).first()["n"]
+NESTED = (ArrayType, MapType, StructType)
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
-    return measured_bytes(df) <= max_bytes
+    """Whether the rows, as counted and measured by distributed aggregates, fit the bound.
+
+    A slot of 16 bytes per value is counted, plus the length of strings and
+    nested values. The row count alone, which a Parquet table answers from its
+    footers, already rules out a large table.
+    """
+    slots = 16 * len(df.columns)
+    n = df.count()
+    if n * slots > max_bytes:
+        return False
+    lengths = [_length(f.name, f.dataType) for f in df.schema.fields
+               if isinstance(f.dataType, (StringType, BinaryType, *NESTED))]
+    if not lengths:
+        return True
+    total = F.sum(reduce(lambda a, b: a + b, lengths).cast("bigint"))
+    return n * slots + (df.agg(total.alias("n")).first()["n"] or 0) <= max_bytes
+
+
+def _length(name: str, kind: DataType) -> Column:
+    value = F.col(f"`{name}`")
+    text = F.to_json(F.struct(value)) if isinstance(kind, NESTED) else value
+    return F.coalesce(F.octet_length(text), F.lit(0))
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
@@ -76,8 +83,7 @@ def skew_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     """Equi-join planned by what is known about the right side.
 
     ``measured``: the right side is a table; it is broadcast when measured to
-    fit, else the left rows of hot keys are salted. Measuring reads the right
-    side's needed columns once.
+    fit, else the left rows of hot keys are salted.
     ``unique``: both sides hold few rows per key, as aggregates do. No key can
     be hot, so measuring would only run the right side's plan twice; adaptive
     execution still broadcasts it when its shuffle turns out small.

@@ -42,10 +42,9 @@ def assign_pages(df: DataFrame, order_by: str | Sequence[str], page_size: int =
     sizes = numbered.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    row_idx = F.col("_before") + F.col("_place")
     return (numbered.join(F.broadcast(offsets), "_range")
-            .withColumn("row_idx", row_idx)
-            .withColumn("page_idx", F.floor(F.col("row_idx") / page_size).cast("bigint"))
+            .withColumn("row_idx", F.col("_before") + F.col("_place"))
+            .withColumn("page_idx", F.expr(f"row_idx div {int(page_size)}"))
             .withColumn("skip", F.col("page_idx") * page_size)
             .withColumn("part_name", part_name(F.col("page_idx")))
             .drop("_id", "_range", "_place", "_before"))

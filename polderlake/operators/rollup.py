@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,35 +10,80 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from polderlake.catalog import DatasetSpec
-from polderlake.functions.scalars import MONEY, exact_avg, exact_sum
-from polderlake.operators.joins import enrich
+from polderlake.functions.scalars import MONEY, exact_sum, iso_date
+from polderlake.operators.joins import BROADCAST_BYTES, enrich, fits_broadcast
 
 
 @dataclass(frozen=True)
 class Measure:
-    """One aggregate: ``name`` = ``fn(column)`` with fn in avg, sum, min, max, count."""
+    """One aggregate: ``name`` = ``fn(column)``.
+
+    ``fn`` is avg, sum, min, max, count, or newest: the latest date as ISO
+    text. ``newest`` aggregates dates, because a maximum of strings would make
+    Spark sort the facts instead of hashing them.
+    """
 
     name: str
     fn: str
     column: str
 
-    def expression(self, df: DataFrame) -> Column:
+    def parts(self, df: DataFrame) -> dict[str, Column]:
+        """The mergeable aggregates the measure is made of."""
+        column = F.col(self.column)
         if self.fn == "avg":
-            return exact_avg(self.column)
+            return {"s": exact_sum(self.column), "n": F.count(column)}
         if self.fn == "sum":
-            if isinstance(df.schema[self.column].dataType, IntegralType):
-                return F.sum(self.column)
-            return exact_sum(self.column).cast("double")
+            whole = isinstance(df.schema[self.column].dataType, IntegralType)
+            return {"s": F.sum(column) if whole else exact_sum(self.column)}
         if self.fn == "count":
-            return F.count(self.column)
+            return {"n": F.count(column)}
         if self.fn in ("min", "max"):
-            return getattr(F, self.fn)(self.column)
+            return {self.fn: getattr(F, self.fn)(column)}
+        if self.fn == "newest":
+            return {"max": F.max(column.cast("date"))}
         raise ValueError(f"unknown aggregate: {self.fn}")
 
+    def result(self, part: Callable[[str], Column], df: DataFrame) -> Column:
+        """The measure from its finished parts."""
+        if self.fn == "avg":
+            value = part("s").cast("double") / part("n")
+        elif self.fn == "sum":
+            whole = isinstance(df.schema[self.column].dataType, IntegralType)
+            value = part("s") if whole else part("s").cast("double")
+        elif self.fn == "newest":
+            value = iso_date(part("max"))
+        else:
+            value = part("n" if self.fn == "count" else self.fn)
+        return value.alias(self.name)
+
 
 def rollup(df: DataFrame, keys: Sequence[str], measures: Sequence[Measure]) -> DataFrame:
     """Aggregate by keys. All measures combine map-side, so hot keys shuffle as partial rows."""
-    return df.groupBy(*keys).agg(*[m.expression(df).alias(m.name) for m in measures])
+    return df.groupBy(*keys).agg(*[
+        m.result(m.parts(df).__getitem__, df) for m in measures])
+
+
+MERGE = {"s": F.sum, "n": F.sum, "min": F.min, "max": F.max}
+
+
+def rollup_through(facts: DataFrame, dimension: DataFrame, on: Sequence[str],
+                   columns: Sequence[str], keys: Sequence[str], measures: Sequence[Measure],
+                   max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Aggregate facts by ``columns`` of a dimension and by fact ``keys``; facts must match.
+
+    A dimension that is measured to fit is broadcast, and the facts are
+    aggregated once. Otherwise the facts are first reduced to the join key
+    and ``keys``, so no key is hot in the join, and the parts are merged after it.
+    """
+    on = list(on)
+    side = dimension.select(*on, *columns)
+    if fits_broadcast(side, max_bytes):
+        return rollup(facts.join(F.broadcast(side), on), [*columns, *keys], measures)
+    partial = facts.groupBy(*on, *keys).agg(*[
+        c.alias(f"_{m.name}_{part}") for m in measures for part, c in m.parts(facts).items()])
+    merged = partial.join(side, on).groupBy(*columns, *keys)
+    return merged.agg(*[
+        m.result(lambda part, m=m: MERGE[part](f"_{m.name}_{part}"), facts) for m in measures])
 
 
 def rollup_by_spec(df: DataFrame, spec: DatasetSpec,
@@ -51,7 +96,7 @@ def rollup_by_spec(df: DataFrame, spec: DatasetSpec,
 
 
 def latest_load(column: str = "ingestion_date") -> Measure:
-    return Measure("last_updated", "max", column)
+    return Measure("last_updated", "newest", column)
 
 
 def region_period_stats(df: DataFrame, keys: Sequence[str], population: str, households: str,
@@ -142,17 +187,12 @@ def coarser_facts(facts: DataFrame, keys: Sequence[str], width: str = "1 hour",
 
 
 def region_features(facts: DataFrame, key_to_region: DataFrame, on: Sequence[str],
-                    region: str, keys: Sequence[str], value: str) -> DataFrame:
-    """Readings per region and ``keys``.
-
-    Readings are first reduced to (join key, keys), so the join to regions
-    carries partial results and no reading key is too hot for it; minima,
-    maxima, sums and counts then combine.
-    """
-    partial = facts.groupBy(*on, *keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.count(value).alias("_nv"),
-        exact_sum(value).alias("_s"), F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    placed = enrich(partial, key_to_region, on, [region], "inner")
-    return (placed.groupBy(region, *keys)
-            .agg(F.sum("_n").alias("n"), F.min("_lo").alias("min_v"), F.max("_hi").alias("max_v"),
-                 (F.sum("_s").cast("double") / F.sum("_nv")).alias("avg_v")))
+                    region: str, keys: Sequence[str], value: str,
+                    max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Readings per region and ``keys``: count, bounds and mean."""
+    return rollup_through(facts, key_to_region, on, [region], keys, [
+        Measure("n", "count", on[0]),
+        Measure("min_v", "min", value),
+        Measure("max_v", "max", value),
+        Measure("avg_v", "avg", value),
+    ], max_bytes)

@@ -34,15 +34,16 @@ def build_silver(spark: SparkSession, spec: DatasetSpec, bronze_root: str, silve
                  layout: str = "envelope", business_names: bool = False,
                  order_by: Sequence[str] = ()) -> int:
     """Load one date of a statistics dataset; loading it again replaces that date."""
-    base = f"{bronze_path(bronze_root, spec)}/ingestion_date={ingestion_date}"
-    if layout == "envelope":
-        raw = read_envelope(spark, f"{base}/typeddataset.json", spec.schema)
-    elif layout == "pages":
-        raw = read_pages(spark, f"{base}/typed_dataset", spec.schema)
-    else:
+    if layout not in ("envelope", "pages"):
         raise ValueError(f"unknown bronze layout: {layout}")
-    cleaned = clean(raw, spec, ingestion_date, run_ts, order_by, business_names)
-    return load_counted(spark, cleaned, spec, silver_root, ingestion_date, run_ts, runs)
+    base = f"{bronze_path(bronze_root, spec)}/ingestion_date={ingestion_date}"
+
+    def build() -> DataFrame:
+        raw = (read_envelope(spark, f"{base}/typeddataset.json", spec.schema)
+               if layout == "envelope" else read_pages(spark, f"{base}/typed_dataset", spec.schema))
+        return clean(raw, spec, ingestion_date, run_ts, order_by, business_names)
+
+    return load_counted(spark, build, spec, silver_root, ingestion_date, run_ts, runs)
 
 
 def build_feed_silver(spark: SparkSession, spec: DatasetSpec,
@@ -51,20 +52,23 @@ def build_feed_silver(spark: SparkSession, spec: DatasetSpec,
                       runs: str | None = None) -> int:
     """Load one date of a geo, weather or traffic feed through its reader; errors are raised."""
     base = f"{bronze_path(bronze_root, spec)}/ingestion_date={ingestion_date}"
-    tagged = tag_lineage(read(spark, base), spec.source, spec.name, ingestion_date, run_ts)
-    return load_counted(spark, tagged, spec, silver_root, ingestion_date, run_ts, runs)
+
+    def build() -> DataFrame:
+        return tag_lineage(read(spark, base), spec.source, spec.name, ingestion_date, run_ts)
+
+    return load_counted(spark, build, spec, silver_root, ingestion_date, run_ts, runs)
 
 
-def load_counted(spark: SparkSession, df: DataFrame, spec: DatasetSpec, silver_root: str,
+def load_counted(spark: SparkSession, build: Callable[[], DataFrame], spec: DatasetSpec, silver_root: str,
                  ingestion_date: str, run_ts: datetime, runs: str | None) -> int:
-    """Write, count on the way and leave a run record, also for a failure."""
+    """Build, write, count on the way and leave a run record, also for a failure."""
     def record(n: int, status: str, error: str | None = None) -> None:
         if runs is not None:
             write_run(run_record(spark, spec.source, spec.name, ingestion_date, "silver", n,
                                  run_ts, status, error, spec.table_id), runs)
 
-    counted, seen = observed(df, f"silver_{spec.name}")
     try:
+        counted, seen = observed(build(), f"silver_{spec.name}")
         load_partitions(counted, silver_path(silver_root, spec), rebalance=False)
         n = seen.get["n_records"]
     except Exception as e:

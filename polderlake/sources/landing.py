@@ -16,9 +16,9 @@ def bundle(df: DataFrame, rows_per_file: int) -> DataFrame:
     """
     numbered = (df.sortWithinPartitions(F.xxhash64(*df.columns), *df.columns)
                 .withColumn("_id", F.monotonically_increasing_id()))
-    block = F.floor(F.col("_id").bitwiseAND((1 << 33) - 1) / rows_per_file)
     return (numbered
-            .groupBy(F.shiftright("_id", 33).alias("_part"), block.alias("_block"))
+            .groupBy(F.shiftright("_id", 33).alias("_part"),
+                     F.expr(f"(_id & {(1 << 33) - 1}) div {int(rows_per_file)}").alias("_block"))
             .agg(F.collect_list(F.struct(*df.columns)).alias("rows")))
 
 
