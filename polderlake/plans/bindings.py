@@ -35,7 +35,7 @@ REGION_PERIOD = ["region_code", "period_code"]
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
+    QUERIES[f.__name__.removesuffix("_query")] = f
     return f
 
 
@@ -209,18 +209,18 @@ def page_manifest(spark, d):
 
 
 @query
-def flatten_envelope_rows(spark, d):
+def flatten_envelope_query(spark, d):
     documents = landing.bundle(table(spark, d, "conversations"), rows_per_file=500)
     return flatten_envelope(documents.select(F.col("rows").alias("value")))
 
 
 @query
-def tag_lineage_columns(spark, d):
+def tag_lineage_query(spark, d):
     return tag_lineage(table(spark, d, "customer"), "cbs", "customers", "2024-02-01", stamp())
 
 
 @query
-def tag_gold_columns(spark, d):
+def tag_gold_query(spark, d):
     return tag_gold(table(spark, d, "supplier"), "gold_suppliers")
 
 
@@ -234,7 +234,7 @@ def normalize_columns(spark, d):
 @query
 def normalize_types(spark, d):
     raw = table(spark, d, "customer").select(
-        "c_custkey", F.concat(F.lit("  "), F.substring("c_name", 10, 20)).alias("code"),
+        "c_custkey", F.concat(F.lit("  "), F.split_part("c_name", F.lit("#"), F.lit(2))).alias("code"),
         "c_mktsegment", F.col("c_acctbal").cast("string").alias("income"))
     typed = cast_columns(raw, {"code": "bigint", "c_mktsegment": "int", "income": "double"})
     return typed.select("c_custkey", "code", "income",
@@ -242,7 +242,7 @@ def normalize_types(spark, d):
 
 
 @query
-def drop_invalid_rows(spark, d):
+def drop_invalid_query(spark, d):
     return drop_invalid(table(spark, d, "customer"), ["c_custkey", "c_name"],
                         {"negative_balance": F.col("c_acctbal") < 0})
 
@@ -385,10 +385,9 @@ def detect_new_and_changed(spark, d):
 
 @query
 def reprocess_date(spark, d):
-    """Four dates loaded, one reprocessed with other rows; the other three stay."""
+    """All dates loaded, one reprocessed with other rows; the others stay."""
     events, path = table(spark, d, "events"), scratch_path(spark, "reprocessed")
-    loaded = (events.withColumn("ingestion_date", fn.iso_date(F.col("ts")))
-              .where(F.col("ts") < F.lit("2024-01-05").cast("timestamp_ntz")))
+    loaded = events.withColumn("ingestion_date", fn.iso_date(F.col("ts")))
     tables.load_partitions(loaded, path)
     replacement = loaded.where("ingestion_date = '2024-01-02' AND event_type <> 'error'")
     incremental.reprocess(replacement.drop("ingestion_date"), path, "2024-01-02")

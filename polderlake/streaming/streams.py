@@ -137,7 +137,25 @@ def read_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFra
     return dedupe_latest(read_batches(spark, path), keys, "batch_id").drop("batch_id")
 
 
-def read_latest(spark: SparkSession, path: str, keys: Sequence[str],
-                order_by: Sequence[str]) -> DataFrame:
-    """Latest row per key of an upsert sink, by the rows' own order, not by arrival."""
-    return dedupe_latest(read_batches(spark, path).drop("batch_id"), keys, order_by)
+def read_latest(spark: SparkSession, path: str, keys: Sequence[str], order_by: Sequence[str],
+                snapshot: str | None = None, snapshot_batch: int | None = None) -> DataFrame:
+    """Latest row per key of an upsert sink, by the rows' own order, not by arrival.
+
+    With a snapshot only the batches after ``snapshot_batch`` are read next to it.
+    """
+    rows = read_batches(spark, path)
+    if snapshot is not None:
+        newer = rows.where(F.col("batch_id") > snapshot_batch).drop("batch_id")
+        return dedupe_latest(spark.read.parquet(snapshot).unionByName(newer), keys, order_by)
+    return dedupe_latest(rows.drop("batch_id"), keys, order_by)
+
+
+def write_snapshot(spark: SparkSession, path: str, keys: Sequence[str], order_by: Sequence[str],
+                   out: str, last_batch: int) -> None:
+    """Resolve the batches up to ``last_batch`` once, so that readers need not do it again.
+
+    Written beside the batches, which stay as they are: readers move to the
+    snapshot when it is complete, and the folders it covers can then be expired.
+    """
+    covered = read_batches(spark, path).where(F.col("batch_id") <= last_batch).drop("batch_id")
+    dedupe_latest(covered, keys, order_by).write.mode("overwrite").parquet(out)

@@ -43,6 +43,11 @@ def test_copies_of_one_row_spread(spark):
     assert left.select("_salt").distinct().count() > 4
 
 
+def test_salts_are_the_same_when_a_task_runs_again(skewed, dimension):
+    left, _ = joins.salt_sides(skewed.withColumn("p", F.spark_partition_id()), dimension, ["k"])
+    assert collect(left) == collect(left)
+
+
 def test_size_check_counts_text_and_nested_values(spark):
     df = spark.createDataFrame([("x" * 1000, [1, 2, 3])] * 10, "t string, a array<int>")
     assert joins.fits_broadcast(df, 20_000)

@@ -77,6 +77,16 @@ def test_upsert_keeps_the_latest_whatever_arrives_last(spark, files, tmp_path):
     assert collect(out) == collect(dedupe_latest(batch(spark, files), ["k"], "ts"))
 
 
+def test_snapshot_and_later_batches(spark, files, tmp_path):
+    streams.stream_upsert_latest(feed(spark, files), ["id"], ["ts"], f"{tmp_path}/o",
+                                 f"{tmp_path}/c").awaitTermination()
+    streams.write_snapshot(spark, f"{tmp_path}/o", ["id"], ["ts"], f"{tmp_path}/snap", 1)
+    assert spark.read.parquet(f"{tmp_path}/snap").count() == 5
+    whole = streams.read_latest(spark, f"{tmp_path}/o", ["id"], ["ts"])
+    quick = streams.read_latest(spark, f"{tmp_path}/o", ["id"], ["ts"], f"{tmp_path}/snap", 1)
+    assert collect(quick) == collect(whole) and whole.count() == 7
+
+
 def test_a_repeated_batch_changes_nothing(spark, files, tmp_path):
     df = batch(spark, files)
     streams._batch_folder(df, f"{tmp_path}/o", 0)
