@@ -168,6 +168,16 @@ STATISTICS = (
     ),
 )
 
+# Names of the feeds. Their columns are the feed's own, so the schema is open.
+FEEDS = (
+    DatasetSpec(source="pdok", name="addresses", silver_table="silver_pdok_addresses",
+                schema=StructType()),
+    DatasetSpec(source="knmi", name="weather_stations",
+                silver_table="silver_knmi_weather_stations", schema=StructType()),
+    DatasetSpec(source="ndw", name="traffic_flow", silver_table="silver_ndw_traffic_flow",
+                schema=StructType()),
+)
+
 # Days back for the weather feed's relative window.
 WEATHER_START_DAYS_AGO = 7
 WEATHER_END_DAYS_AGO = 1

@@ -123,6 +123,7 @@ def write_quarantine(df: DataFrame, rules: Mapping[str, Column], path: str) -> N
     flagged = flag_rows(df, rules)
     status = F.when(F.size("reasons") == 0, "good").otherwise("bad")
     (flagged.withColumn("dq_status", status).write.mode("overwrite")
+     .option("partitionOverwriteMode", "static")
      .partitionBy("dq_status").parquet(path))
 
 

@@ -6,11 +6,14 @@ from collections.abc import Callable, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from polderlake.catalog import DatasetSpec, bronze_path, silver_path
+from polderlake.catalog import FEEDS, STATISTICS, DatasetSpec, bronze_path, silver_path
 from polderlake.operators.dedupe import dedupe_latest
+from polderlake.operators.joins import lookup
 from polderlake.operators.normalize import conform, drop_invalid, rename_columns, tag_lineage
-from polderlake.sources.readers import read_envelope, read_pages
+from polderlake.sources.readers import (read_commented_csv, read_envelope, read_json_files,
+                                        read_pages, read_parquet)
 from polderlake.sources.tables import load_partitions, observed, run_record, write_run
 
 
@@ -29,11 +32,24 @@ def clean(raw: DataFrame, spec: DatasetSpec, ingestion_date: str, run_ts: dateti
     return tag_lineage(named, spec.source, spec.name, ingestion_date, run_ts)
 
 
+def with_titles(df: DataFrame, titles: DataFrame, code: str, name: str) -> DataFrame:
+    """Fill ``name`` from a dimension of ``Key`` and ``Title`` where the facts lack it."""
+    clean_titles = titles.select(F.trim("Key").alias(code), F.col("Title").alias("_title"))
+    single = dedupe_latest(clean_titles, [code], ["_title"])
+    return (lookup(df, single, [code], ["_title"])
+            .withColumn(name, F.coalesce(F.col(name), F.col("_title")))
+            .select(df.columns))
+
+
 def build_silver(spark: SparkSession, spec: DatasetSpec, bronze_root: str, silver_root: str,
                  ingestion_date: str, run_ts: datetime, runs: str | None = None,
                  layout: str = "envelope", business_names: bool = False,
-                 order_by: Sequence[str] = ()) -> int:
-    """Load one date of a statistics dataset; loading it again replaces that date."""
+                 order_by: Sequence[str] = (), titles: dict[str, tuple[str, str]] | None = None) -> int:
+    """Load one date of a statistics dataset; loading it again replaces that date.
+
+    ``titles`` maps a dimension file of the same date to the code and name
+    columns it explains, as in ``{"regions.json": ("RegioS", "RegioNaam")}``.
+    """
     if layout not in ("envelope", "pages"):
         raise ValueError(f"unknown bronze layout: {layout}")
     base = f"{bronze_path(bronze_root, spec)}/ingestion_date={ingestion_date}"
@@ -41,6 +57,11 @@ def build_silver(spark: SparkSession, spec: DatasetSpec, bronze_root: str, silve
     def build() -> DataFrame:
         raw = (read_envelope(spark, f"{base}/typeddataset.json", spec.schema)
                if layout == "envelope" else read_pages(spark, f"{base}/typed_dataset", spec.schema))
+        raw = conform(raw, spec.schema)
+        for file, (code, name) in (titles or {}).items():
+            dimension = read_pages(spark, f"{base}/{file}", "Key string, Title string",
+                                   multi_line=True)
+            raw = with_titles(raw, dimension, code, name)
         return clean(raw, spec, ingestion_date, run_ts, order_by, business_names)
 
     return load_counted(spark, build, spec, silver_root, ingestion_date, run_ts, runs)
@@ -76,3 +97,41 @@ def load_counted(spark: SparkSession, build: Callable[[], DataFrame], spec: Data
         raise
     record(n, "success")
     return n
+
+
+def _weather(spark: SparkSession, path: str) -> DataFrame:
+    return read_commented_csv(spark, f"{path}/*.csv")
+
+
+def _traffic(spark: SparkSession, path: str) -> DataFrame:
+    return read_json_files(spark, f"{path}/*.json")
+
+
+FEED_READERS = {"addresses": read_parquet, "weather_stations": _weather, "traffic_flow": _traffic}
+
+
+def build_date(spark: SparkSession, bronze_root: str, silver_root: str, ingestion_date: str,
+               run_ts: datetime, runs: str | None = None, layout: str = "envelope",
+               readers: dict[str, Callable[[SparkSession, str], DataFrame]] | None = None
+               ) -> dict[str, int]:
+    """Load one date of all datasets: statistics, which must succeed, then the feeds.
+
+    The feeds do not depend on each other: all are tried before the first
+    failure is raised. ``readers`` replaces feed readers, for instance by ones
+    with a schema; a feed mapped to None is left out.
+    """
+    counts = {spec.name: build_silver(spark, spec, bronze_root, silver_root, ingestion_date,
+                                      run_ts, runs, layout) for spec in STATISTICS}
+    failure: Exception | None = None
+    for spec in FEEDS:
+        read = {**FEED_READERS, **(readers or {})}[spec.name]
+        if read is None:
+            continue
+        try:
+            counts[spec.name] = build_feed_silver(spark, spec, read, bronze_root, silver_root,
+                                                  ingestion_date, run_ts, runs)
+        except Exception as e:
+            failure = failure or e
+    if failure is not None:
+        raise failure
+    return counts

@@ -31,10 +31,14 @@ def read_envelope(spark: SparkSession, path: str,
     return flatten_envelope(reader.json(path), column)
 
 
-def read_pages(spark: SparkSession, path: str,
-               schema: StructType | str | None = None) -> DataFrame:
-    """Rows of page parts that hold a bare JSON array on one line each."""
-    reader = spark.read
+def read_pages(spark: SparkSession, path: str, schema: StructType | str | None = None,
+               multi_line: bool = False) -> DataFrame:
+    """Rows of page parts that hold a bare JSON array on one line each.
+
+    ``multi_line`` is for pretty-printed arrays, such as dimension files; a
+    file is then read by one task.
+    """
+    reader = spark.read.option("multiLine", multi_line)
     row = _as_schema(schema)
     if row is not None:
         reader = reader.schema(row)
@@ -63,16 +67,16 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     return reader.csv(path)
 
 
-def read_commented_csv(spark: SparkSession, path: str, schema: StructType | str,
+def read_commented_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
                        comment: str = "#", header: bool = False) -> DataFrame:
     """CSV whose comment lines and blank lines are no data and whose values are padded."""
-    return (spark.read
-            .option("comment", comment)
-            .option("header", header)
-            .option("ignoreLeadingWhiteSpace", True)
-            .option("ignoreTrailingWhiteSpace", True)
-            .schema(_as_schema(schema))
-            .csv(path))
+    reader = (spark.read
+              .option("comment", comment)
+              .option("header", header)
+              .option("ignoreLeadingWhiteSpace", True)
+              .option("ignoreTrailingWhiteSpace", True))
+    reader = reader.schema(_as_schema(schema)) if schema else reader.option("inferSchema", True)
+    return reader.csv(path)
 
 
 def read_geojson(spark: SparkSession, path: str, properties: StructType | str,

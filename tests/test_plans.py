@@ -1,3 +1,5 @@
+import json
+import os
 from datetime import datetime
 from decimal import Decimal
 
@@ -6,7 +8,7 @@ from conftest import collect
 
 import __spark_entry__ as driver
 from polderlake.catalog import STATISTICS, bronze_path, gold_path, load_catalog, schema_of, silver_path, DatasetSpec
-from polderlake.plans import gold, silver
+from polderlake.plans import daily, gold, silver
 from polderlake.sources import landing, readers, tables
 
 RUN_TS = datetime(2024, 2, 1, 6)
@@ -130,6 +132,42 @@ def test_feed_and_its_failure(spark, tmp_path):
     assert sorted(statuses) == ["failed", "failed", "success"]
 
 
+def test_titles_fill_missing_names(spark, tmp_path):
+    spec = SPECS["average_woz_value"]
+    root = str(tmp_path)
+    land(spark, root, spec.name, [("GM1 ", None, "2020JJ00", D("1")), ("GM2", "Own", "2020JJ00", D("2")),
+                                  ("GM3", None, "2020JJ00", D("3"))], "2024-02-01")
+    base = f"{bronze_path(root, spec)}/ingestion_date=2024-02-01"
+    with open(f"{base}/regions.json", "w", encoding="utf-8") as f:
+        f.write(json.dumps([{"Key": "GM1   ", "Title": "Aa"}, {"Key": "GM2", "Title": "Bee"}], indent=2))
+    n = silver.build_silver(spark, spec, root, f"{root}/s", "2024-02-01", RUN_TS,
+                            titles={"regions.json": ("RegioS", "RegioNaam")})
+    out = readers.read_silver(spark, silver_path(f"{root}/s", spec), spec.silver_schema)
+    assert n == 3 and collect(out.select("RegioS", "RegioNaam")) == [
+        ("GM1", "Aa"), ("GM2", "Own"), ("GM3", None)]
+
+
+def test_daily_job(spark, tmp_path):
+    root = str(tmp_path)
+    land(spark, f"{root}/b", "neighbourhood_key_figures",
+         [("GM1", "Aa", "Gemeente", "2020JJ00", 100, 40, D("20.5"))], "2024-02-01")
+    land(spark, f"{root}/b", "average_woz_value", [("GM1", "Aa", "2020JJ00", D("250"))], "2024-02-01")
+    land(spark, f"{root}/b", "housing_stock", [("GM1", "Aa", "2020JJ00", "flat", 3)], "2024-02-01")
+    land(spark, f"{root}/b", "household_income", [("GM1", "Aa", "2020JJ00", D("5"), D("4"))], "2024-02-01")
+    weather = f"{root}/b/knmi/knmi_bronze/weather_stations/ingestion_date=2024-02-01"
+    os.makedirs(weather)
+    with open(f"{weather}/raw_data.csv", "w", encoding="utf-8") as f:
+        f.write("# STN,YYYYMMDD,TG\n\n  260,20240101,   51\n")
+    args = ["--bronze", f"{root}/b", "--silver", f"{root}/s", "--gold", f"{root}/g",
+            "--runs", f"{root}/r", "--date", "2024-02-01"]
+    counts = daily.main([*args, "--skip", "addresses", "traffic_flow"])
+    assert counts["weather_stations"] == 1 and counts[gold.DASHBOARD] == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        daily.main([*args, "--skip", "addresses"])
+    runs = readers.read_silver(spark, f"{root}/r", tables.RUN_SCHEMA)
+    assert collect(runs.where("status = 'failed'").select("dataset_name")) == [("traffic_flow",)]
+
+
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "MapInPandas", "PythonMapInArrow", "SortAggregate")
 # Text keys of distinct rows are hashed, and the string extremes of summaries are few.
