@@ -7,8 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Line boundaries and blank characters of Unicode text, as Java regex.
-LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+# Line boundaries of Unicode text, and its non-blank characters as Java regex.
+LINE_BREAKS = ("\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 NON_BLANK = (r"[^\t\n\x0b\x0c\r\x1c-\x20\x85\xa0"
              r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
@@ -70,9 +70,16 @@ def part_name(page: Column) -> Column:
 
 
 def data_lines(text: Column, comment: str = "#") -> Column:
-    """Lines that hold something and do not start with the comment mark."""
-    lines = F.split(text, LINE_BREAK)
-    kept = F.filter(lines, lambda x: x.rlike(NON_BLANK) & ~x.startswith(comment))
+    """Lines that hold something and do not start with the comment mark.
+
+    Rare line ends are first replaced by the usual one: searching for literals
+    is several times faster than splitting on a pattern, and the empty line
+    that a two-character line end leaves is not counted anyway.
+    """
+    usual, *rare = LINE_BREAKS
+    for mark in rare:
+        text = F.replace(text, F.lit(mark), F.lit(usual))
+    kept = F.filter(F.split(text, usual), lambda x: x.rlike(NON_BLANK) & ~x.startswith(comment))
     return F.size(kept).cast("bigint")
 
 

@@ -30,13 +30,17 @@ def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str],
     return union_batches(delta, kept)
 
 
-def detect_changes(old: DataFrame, new: DataFrame, keys: Sequence[str],
-                   columns: Sequence[str]) -> DataFrame:
+def detect_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str],
+                   latest_by: str | Sequence[str] | None = None) -> DataFrame:
     """Each key labelled ``new``, ``changed``, ``same`` or ``missing`` (only in the old load).
 
-    Both loads have one row per key. Values are compared null-safely and in
-    full, so no change can hide behind a hash collision.
+    Both loads have one row per key, or are reduced to the latest by
+    ``latest_by``. Values are compared null-safely and in full, so no change
+    can hide behind a hash collision.
     """
+    if latest_by is not None:
+        old = dedupe_latest(old, keys, latest_by)
+        new = dedupe_latest(new, keys, latest_by)
     before = old.select(*keys, F.struct(*columns).alias("_old"), F.lit(True).alias("_in_old"))
     after = new.select(*keys, F.struct(*columns).alias("_new"), F.lit(True).alias("_in_new"))
     label = (F.when(F.col("_in_old").isNull(), "new")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from polderlake.functions.scalars import is_blank
+from polderlake.functions.scalars import data_lines, is_blank, raw_bytes
 from polderlake.operators.joins import orphans
 
 
@@ -157,6 +157,13 @@ def enforce_gate(summary: DataFrame) -> None:
         raise ValueError(f"ingestion failed: {bad['dataset_name']} is {bad['status']}")
 
 
+def profile_payload(df: DataFrame, text: str) -> DataFrame:
+    """Add data lines, UTF-8 bytes and whether there is anything in each payload."""
+    column = F.col(text)
+    return df.withColumns({"data_lines": data_lines(column), "raw_bytes": raw_bytes(column),
+                           "is_empty": is_blank(column)})
+
+
 def require_payload(df: DataFrame, text: str) -> DataFrame:
     """Fail on an empty payload when the rows are read."""
     checked = F.when(is_blank(F.col(text)), F.raise_error(F.lit("empty payload"))).otherwise(

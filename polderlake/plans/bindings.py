@@ -205,6 +205,14 @@ def page_manifest(spark, d):
     return paging.page_manifest(paging.assign_pages(orders, "o_orderkey", 1000), 1000)
 
 
+@query
+def page_gaps(spark, d):
+    """Blocks of ten order keys as pages; one without an order in process is missing."""
+    pages = table(spark, d, "orders").where("o_orderstatus = 'P'").select(
+        F.expr("o_orderkey div 10").alias("page_idx"))
+    return paging.page_gaps(paging.page_manifest(pages, 10))
+
+
 # ---- projections, filters, scalar functions ---------------------------------------------
 
 
@@ -257,18 +265,15 @@ def relative_date_window(spark, d):
 
 @query
 def payload_profile(spark, d):
-    text = F.col("text")
-    return table(spark, d, "documents").select(
-        "doc_id", fn.data_lines(text).alias("data_lines"), fn.raw_bytes(text).alias("raw_bytes"),
-        fn.is_blank(text).alias("is_empty"))
+    documents = table(spark, d, "documents").select("doc_id", "text")
+    return quality.profile_payload(documents, "text").drop("text")
 
 
 @query
 def payload_profile_pages(spark, d):
     """The same on raw markup, refusing empty payloads."""
-    pages = quality.require_payload(table(spark, d, "pages"), "html")
-    return pages.select("page_id", fn.data_lines(F.col("html")).alias("data_lines"),
-                        fn.raw_bytes(F.col("html")).alias("raw_bytes"))
+    pages = quality.require_payload(table(spark, d, "pages").select("page_id", "html"), "html")
+    return quality.profile_payload(pages, "html").drop("html", "is_empty")
 
 
 @query
@@ -684,12 +689,13 @@ def run_gate(spark, d):
 @query
 def run_manifest(spark, d):
     """Counts observed while writing, appended to the runs table and read back."""
-    runs = scratch_path(spark, "runs")
+    runs, records = scratch_path(spark, "runs"), []
     for name, df in _datasets(spark, d).items():
         counted, seen = tables.observed(df, f"run_{name}")
         tables.write_gold(counted, scratch_path(spark, f"manifest-{name}"))
-        tables.write_run(tables.run_record(spark, "test", name, "2024-02-01", "silver",
-                                           seen.get["n_records"], RUN_TS), runs)
+        records.append(tables.run_record(spark, "test", name, "2024-02-01", "silver",
+                                         seen.get["n_records"], RUN_TS))
+    tables.write_run(incremental.union_batches(*records), runs)
     return readers.read_silver(spark, runs, tables.RUN_SCHEMA).select(
         "dataset_name", "ingestion_datetime", "endpoint", "n_records", "status")
 

@@ -13,6 +13,7 @@ from polderlake.operators.joins import wide_join
 from polderlake.operators.normalize import tag_gold
 from polderlake.operators.rollup import (market_analysis, region_period_stats, socio_indicators,
                                          value_trends)
+from polderlake.session import scratch_path
 from polderlake.sources.readers import read_silver
 from polderlake.sources.tables import observed, write_gold
 
@@ -59,11 +60,24 @@ def gold_tables(read: Callable[[str], DataFrame], run_ts: datetime) -> dict[str,
     return out
 
 
+def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """The frame written once to the shared scratch folder and read back.
+
+    Several gold tables read each snapshot. Staging ranks the loads once
+    instead of once per reader, and the readers scan only their columns.
+    """
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def build_gold(spark: SparkSession, silver_root: str, gold_root: str,
                run_ts: datetime) -> dict[str, int]:
     """Write all gold tables and return their row counts."""
-    specs = {spec.name: spec for spec in load_catalog(STATISTICS).values()}
-    tables = gold_tables(lambda name: current(spark, silver_root, specs[name]), run_ts)
+    snapshots = {
+        spec.name: staged(spark, current(spark, silver_root, spec), f"current-{spec.name}")
+        for spec in load_catalog(STATISTICS).values()}
+    tables = gold_tables(snapshots.__getitem__, run_ts)
     counts: dict[str, int] = {}
     for name, df in tables.items():
         counted, seen = observed(df, name)

@@ -111,6 +111,11 @@ SELECT *, row_idx // 1000 AS page_idx, row_idx // 1000 * 1000 AS skip,
 c AS (SELECT row_idx // 1000 AS page_idx, COUNT(*) AS n FROM p GROUP BY 1)
 SELECT page_idx, printf('part-%05d.json', page_idx) AS part_name, page_idx * 1000 AS skip, n,
        n < 1000 OR page_idx = (SELECT MAX(page_idx) FROM c) AS is_last FROM c""",
+    "page_gaps": """WITH p AS (SELECT DISTINCT o_orderkey // 10 AS page_idx FROM orders
+  WHERE o_orderstatus = 'P'),
+expected AS (SELECT page_idx + 1 AS page_idx FROM p WHERE page_idx < (SELECT MAX(page_idx) FROM p)
+  UNION ALL SELECT CAST(0 AS BIGINT))
+SELECT page_idx FROM expected WHERE page_idx NOT IN (SELECT page_idx FROM p)""",
     # projections, filters, scalar functions
     "flatten_envelope": "SELECT * FROM conversations",
     "tag_lineage": """SELECT *, TIMESTAMP '2024-02-01 06:00:00' AS ingestion_timestamp,

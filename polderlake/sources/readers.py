@@ -120,6 +120,12 @@ def read_xml(spark: SparkSession, path: str, row_tag: str,
     return reader.load(path)
 
 
+def read_payloads(spark: SparkSession, path: str) -> DataFrame:
+    """Raw text files, one row per file: ``path`` and ``text``."""
+    return (spark.read.option("wholetext", True).text(path)
+            .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
+
+
 def read_parquet(spark: SparkSession, path: str,
                  schema: StructType | str | None = None) -> DataFrame:
     return (spark.read.schema(_as_schema(schema)) if schema else spark.read).parquet(path)

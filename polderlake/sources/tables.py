@@ -69,7 +69,11 @@ def write_gold(df: DataFrame, path: str) -> None:
 
 
 def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
-    """Count rows as they pass to a writer, without running the plan again."""
+    """Count rows as they pass to a writer, without running the plan again.
+
+    To be used right before the writer: a count taken ahead of a shuffle could
+    include rows of a task that ran twice.
+    """
     seen = Observation(name)
     return df.observe(seen, F.count(F.lit(1)).alias("n_records")), seen
 

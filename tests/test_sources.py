@@ -7,6 +7,7 @@ from conftest import collect
 from pyspark.sql import functions as F
 
 from polderlake.catalog import schema_of
+from polderlake.operators import quality
 from polderlake.operators.incremental import reprocess
 from polderlake.session import scratch_path, scratch_root
 from polderlake.sources import landing, readers, tables
@@ -79,6 +80,14 @@ def test_payload_fields(spark):
     assert [r.k for r in readers.parse_json(df, "props", "k bigint").collect()] == [1, None]
 
 
+def test_payload_files(spark, tmp_path):
+    put(tmp_path / "raw", "a.csv", "# x\n1\n2\n")
+    path = put(tmp_path / "raw", "b.csv", "")
+    out = quality.profile_payload(readers.read_payloads(spark, path), "text")
+    assert {(r.path.rsplit("/", 1)[1], r.data_lines, r.raw_bytes) for r in out.collect()} >= {
+        ("a.csv", 2, 8)}
+
+
 def test_landed_documents_are_bounded(spark, tmp_path):
     df = spark.range(0, 95, 1, 2).select(F.col("id").alias("Inwoners_5"), F.lit("x").alias("RegioS"))
     landing.land_envelopes(df, f"{tmp_path}/l", rows_per_file=10)
