@@ -121,8 +121,11 @@ def read_xml(spark: SparkSession, path: str, row_tag: str,
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """Raw text files, one row per file: ``path`` and ``text``."""
-    return (spark.read.option("wholetext", True).text(path)
+    """Raw text files, one row per file: ``path`` and ``text``.
+
+    Spark does not list files of no bytes, so those give no row.
+    """
+    return (spark.read.text(path, wholetext=True)
             .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")))
 
 

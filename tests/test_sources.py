@@ -82,10 +82,10 @@ def test_payload_fields(spark):
 
 def test_payload_files(spark, tmp_path):
     put(tmp_path / "raw", "a.csv", "# x\n1\n2\n")
-    path = put(tmp_path / "raw", "b.csv", "")
+    path = put(tmp_path / "raw", "b.csv", " \n")
     out = quality.profile_payload(readers.read_payloads(spark, path), "text")
-    assert {(r.path.rsplit("/", 1)[1], r.data_lines, r.raw_bytes) for r in out.collect()} >= {
-        ("a.csv", 2, 8)}
+    assert {(r.path.rsplit("/", 1)[1], r.data_lines, r.raw_bytes, r.is_empty)
+            for r in out.collect()} == {("a.csv", 2, 8, False), ("b.csv", 0, 2, True)}
 
 
 def test_landed_documents_are_bounded(spark, tmp_path):
