@@ -5,17 +5,19 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
+from pyspark.sql.types import (ArrayType, BinaryType, DataType, IntegerType, MapType, StringType,
+                               StructField, StructType)
 
 from polderlake.operators.dedupe import dedupe_latest
 
 # A side is broadcast only when its rows were measured to take no more than this.
 BROADCAST_BYTES = 64 << 20
-# A key is hot when it holds more than 1/HOT_SHARE of all rows, so there are fewer than this.
-HOT_SHARE = 64
-SALTS = 64
+# A key is hot when it holds the rows of more than this many mean shuffle partitions.
+HOT = 2
+# Rows looked at to find hot keys, at least; or a hundred per shuffle partition.
+SAMPLE_ROWS = 1_000_000
 NESTED = (ArrayType, MapType, StructType)
 
 
@@ -44,37 +46,52 @@ def _length(name: str, kind: DataType) -> Column:
     return F.coalesce(F.octet_length(text), F.lit(0))
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: int = HOT_SHARE) -> DataFrame:
-    """Keys holding more than 1/``share`` of the rows; by counting, fewer than ``share`` keys."""
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
+def hot_keys(df: DataFrame, on: Sequence[str], partitions: int | None = None,
+             sample_rows: int = SAMPLE_ROWS) -> list[Row]:
+    """Keys with more rows than ``HOT`` mean shuffle partitions, and ``_pieces`` to cut each into.
+
+    ``_pieces`` brings a piece down to a mean partition. By counting there are
+    fewer hot keys than partitions, and fewer than twice as many pieces.
+    A large frame is judged by a sample; the answer only decides which keys
+    are salted, and a join gives the same rows whatever is found here.
+    """
+    partitions = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(*on)
+    fraction = max(sample_rows, 100 * partitions) / max(keys.count(), 1)
+    if fraction < 1:
+        keys = keys.sample(fraction, seed=7)
+    counts = keys.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") * share > total).drop("_n")
+    load = F.col("_n") * partitions / total
+    return counts.where(load > HOT).select(*on, F.ceil(load).cast("int").alias("_pieces")).collect()
 
 
-def salt_sides(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int = SALTS,
-               share: int = HOT_SHARE) -> tuple[DataFrame, DataFrame]:
-    """Add ``_salt`` to both sides so that the left rows of a hot key spread over tasks.
+def salt_sides(left: DataFrame, right: DataFrame, on: Sequence[str],
+               hot: Sequence[Row]) -> tuple[DataFrame, DataFrame]:
+    """Add ``_salt`` to both sides so that the left rows of hot keys spread over tasks.
 
-    Left rows of hot keys get one of ``salts`` values, the right rows of those
-    keys are repeated once per value; all other rows get 0. The spread hashes
-    the row and its partition: full copies spread too, and a task that is run
-    again gives every row the same salt as before.
+    Left rows of a hot key get one of its pieces' numbers, the right rows of
+    that key are repeated once per piece; all other rows get 0. The spread
+    hashes the row and its partition: full copies spread too, and a task that
+    is run again gives every row the same salt as before.
     """
-    hot = F.broadcast(hot_keys(left, on, share).withColumn("_hot", F.lit(True)))
+    fields = [StructField(f"_h{i}", left.schema[k].dataType) for i, k in enumerate(on)]
+    schema = StructType([*fields, StructField("_pieces", IntegerType())])
+    known = F.broadcast(left.sparkSession.createDataFrame(list(hot), schema))
 
     def marked(df: DataFrame) -> DataFrame:
-        keys = hot.select(*[F.col(k).alias(f"_h_{k}") for k in on], "_hot")
-        same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in on]
-        return df.join(keys, reduce(lambda a, b: a & b, same), "left").drop(
-            *[f"_h_{k}" for k in on])
-
-    spread = F.pmod(F.xxhash64(*left.columns, F.spark_partition_id()), F.lit(salts)).cast("int")
-    salted_left = marked(left.withColumn("_spread", spread)).withColumn(
-        "_salt", F.when(F.col("_hot"), F.col("_spread")).otherwise(F.lit(0))
-    ).drop("_hot", "_spread")
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
-        F.array(F.lit(0)))
-    salted_right = marked(right).withColumn("_salt", F.explode(copies)).drop("_hot")
+        same = [F.col(k).eqNullSafe(F.col(f.name)) for k, f in zip(on, fields)]
+        return df.join(known, reduce(lambda a, b: a & b, same), "left").drop(
+            *[f.name for f in fields])
+
+    pieces = F.coalesce(F.col("_pieces"), F.lit(1))
+    spread = F.xxhash64(*left.columns, F.spark_partition_id())
+    salted_left = (marked(left.withColumn("_spread", spread))
+                   .withColumn("_salt", F.pmod(F.col("_spread"), pieces).cast("int"))
+                   .drop("_pieces", "_spread"))
+    salted_right = (marked(right)
+                    .withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
+                    .drop("_pieces"))
     return salted_left, salted_right
 
 
@@ -100,7 +117,10 @@ def skew_safe_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
         return left.join(F.broadcast(right), on, how)
     if how in ("left_semi", "left_anti"):
         right = right.distinct()
-    salted_left, salted_right = salt_sides(left, right, on)
+    hot = hot_keys(left, on)
+    if not hot:
+        return left.join(right, on, how)
+    salted_left, salted_right = salt_sides(left, right, on, hot)
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
@@ -168,10 +188,11 @@ def assign_region(points: DataFrame, boxes: DataFrame, x: str, y: str, cell: flo
                       F.col("y_min").alias("_y0"), F.col("y_max").alias("_y1"), "_cx", "_cy"))
     placed = points.withColumns({"_cx": cell_of(x), "_cy": cell_of(y)})
     on = ["_cx", "_cy"]
+    left, right = placed, listed
     if fits_broadcast(listed, max_bytes):
-        left, right = placed, F.broadcast(listed)
-    else:
-        left, right = salt_sides(placed, listed, on)
+        right = F.broadcast(listed)
+    elif hot := hot_keys(placed, on):
+        left, right = salt_sides(placed, listed, on, hot)
         on.append("_salt")
     right = right.withColumnsRenamed({k: f"_r{k}" for k in on})
     inside = ((F.col(x) >= F.col("_x0")) & (F.col(x) < F.col("_x1"))

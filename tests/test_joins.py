@@ -30,24 +30,48 @@ def test_salted_join_equals_plain_join(skewed, dimension, how):
 
 
 def test_hot_keys_and_their_spread(skewed, dimension):
-    assert {r["k"] for r in joins.hot_keys(skewed, ["k"]).collect()} == {7, None}
-    left, right = joins.salt_sides(skewed, dimension, ["k"], salts=16)
+    hot = joins.hot_keys(skewed, ["k"], partitions=48)
+    assert {r["k"]: r["_pieces"] for r in hot} == {7: 17, None: 8}
+    left, right = joins.salt_sides(skewed, dimension, ["k"], hot)
     per_salt = left.where("k = 7").groupBy("_salt").count().collect()
     assert len(per_salt) > 8 and max(r["count"] for r in per_salt) < 2_000 / 3
-    assert right.where("k = 7").count() == 16 and right.where("k = 8").count() == 1
+    assert right.where("k = 7").count() == 17 and right.where("k = 8").count() == 1
+    assert left.count() == skewed.count()
+
+
+def test_hot_keys_on_a_sample_and_none_at_all(spark, skewed, dimension):
+    hot = joins.hot_keys(skewed, ["k"], partitions=24, sample_rows=3_000)
+    assert {r["k"] for r in hot} == {7, None}
+    even = spark.range(1_000).withColumn("k", (F.col("id") % 500).cast("int"))
+    assert joins.hot_keys(even, ["k"], 100) == []
+    out = joins.skew_safe_join(even, dimension, ["k"], "left", "salted")
+    assert collect(out) == collect(even.join(dimension, ["k"], "left"))
+    assert "_salt" not in out._jdf.queryExecution().executedPlan().toString()
+    assert joins.hot_keys(even.limit(0), ["k"]) == []
 
 
 def test_copies_of_one_row_spread(spark):
     copies = spark.range(0, 4_000, 1, 32).select(F.lit(1).alias("k"), F.lit("same").alias("v"))
-    left, _ = joins.salt_sides(copies, copies.limit(1).select("k"), ["k"], salts=8)
+    hot = joins.hot_keys(copies, ["k"], partitions=8)
+    left, _ = joins.salt_sides(copies, copies.limit(1).select("k"), ["k"], hot)
     assert left.select("_salt").distinct().count() > 4
 
 
 def test_salts_are_the_same_when_a_task_runs_again(skewed, dimension):
-    left, _ = joins.salt_sides(skewed.withColumn("p", F.spark_partition_id()), dimension, ["k"])
+    hot = joins.hot_keys(skewed, ["k"], partitions=64)
+    left, _ = joins.salt_sides(skewed.withColumn("p", F.spark_partition_id()), dimension, ["k"], hot)
     assert collect(left) == collect(left)
 
 
+def test_several_key_columns(spark):
+    left = spark.range(0, 3_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, F.lit("x")).otherwise(F.col("id").cast("string")).alias("a"),
+        (F.col("id") % 2).alias("b"), F.col("id").alias("v"))
+    right = spark.createDataFrame([("x", 0, 1.0), ("x", 1, 2.0), ("7", 1, 3.0)], "a string, b bigint, w double")
+    out = joins.skew_safe_join(left, right, ["a", "b"], "left", "salted")
+    assert collect(out) == collect(left.join(right, ["a", "b"], "left"))
+
+
 def test_size_check_counts_text_and_nested_values(spark):
     df = spark.createDataFrame([("x" * 1000, [1, 2, 3])] * 10, "t string, a array<int>")
     assert joins.fits_broadcast(df, 20_000)
