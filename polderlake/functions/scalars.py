@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Line boundaries of Unicode text, and its non-blank characters as Java regex.
@@ -15,6 +15,13 @@ NON_BLANK = (r"[^\t\n\x0b\x0c\r\x1c-\x20\x85\xa0"
 MONEY = "decimal(18,2)"
 
 
+def comparable(df: DataFrame, columns: Iterable[str] | None = None) -> list[Column]:
+    """Columns fit for sorting and hashing: those that hold maps as their JSON text."""
+    names = df.columns if columns is None else columns
+    return [F.to_json(F.struct(F.col(c))) if "map<" in df.schema[c].dataType.simpleString()
+            else F.col(c) for c in names]
+
+
 def exact_sum(column: str) -> Column:
     """Sum in decimal, so the result does not depend on the order of the rows."""
     return F.sum(F.col(column).cast(MONEY))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polderlake.catalog import DatasetSpec
+from polderlake.functions.scalars import comparable
 
 
 def dedupe_latest(df: DataFrame, keys: Sequence[str], order_by: str | Sequence[str],
@@ -22,7 +23,7 @@ def dedupe_latest(df: DataFrame, keys: Sequence[str], order_by: str | Sequence[s
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     rest = tie_break if tie_break is not None else [
         c for c in df.columns if c not in keys and c not in order]
-    ranking = [F.col(c).desc_nulls_last() for c in [*order, *rest]]
+    ranking = [c.desc_nulls_last() for c in comparable(df, [*order, *rest])]
     return _first_ranked(df, [F.col(k) for k in keys], ranking)
 
 
@@ -54,7 +55,7 @@ def drop_exact_duplicates(df: DataFrame, subset: Sequence[str] | None = None,
         return df.dropDuplicates(list(subset))
     keys = [F.xxhash64(*subset), *[F.col(c) for c in subset]]
     rest = [c for c in df.columns if c not in subset and c != keep_first_by]
-    ranking = [F.col(c).asc_nulls_last() for c in [keep_first_by, *rest]]
+    ranking = [c.asc_nulls_last() for c in comparable(df, [keep_first_by, *rest])]
     return _first_ranked(df, keys, ranking)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import (ArrayType, BinaryType, DataType, IntegerType, MapType, StringType,
                                StructField, StructType)
 
+from polderlake.functions.scalars import comparable
 from polderlake.operators.dedupe import dedupe_latest
 
 # A side is broadcast only when its rows were measured to take no more than this.
@@ -85,7 +86,7 @@ def salt_sides(left: DataFrame, right: DataFrame, on: Sequence[str],
             *[f.name for f in fields])
 
     pieces = F.coalesce(F.col("_pieces"), F.lit(1))
-    spread = F.xxhash64(*left.columns, F.spark_partition_id())
+    spread = F.xxhash64(*comparable(left), F.spark_partition_id())
     salted_left = (marked(left.withColumn("_spread", spread))
                    .withColumn("_salt", F.pmod(F.col("_spread"), pieces).cast("int"))
                    .drop("_pieces", "_spread"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polderlake.catalog import PAGE_SIZE
-from polderlake.functions.scalars import part_name
+from polderlake.functions.scalars import comparable, part_name
 from polderlake.session import scratch_root
 
 
@@ -26,7 +26,7 @@ def assign_pages(df: DataFrame, order_by: str | Sequence[str], page_size: int =
     scratch_root(spark)
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     keyed = df.withColumns({
-        "_row": F.xxhash64(*df.columns),
+        "_row": F.xxhash64(*comparable(df)),
         "_from": F.spark_partition_id(),
     })
     ranking = [*[F.col(c).asc_nulls_last() for c in order], F.col("_row").asc(),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polderlake.functions.scalars import comparable
+
 
 def bundle(df: DataFrame, rows_per_file: int) -> DataFrame:
     """Group rows into documents of at most ``rows_per_file`` rows.
@@ -14,7 +16,7 @@ def bundle(df: DataFrame, rows_per_file: int) -> DataFrame:
     local sort fixes which row gets which number: a task run again after a
     lost executor deals the same rows to the same documents.
     """
-    numbered = (df.sortWithinPartitions(F.xxhash64(*df.columns), *df.columns)
+    numbered = (df.sortWithinPartitions(F.xxhash64(*comparable(df)), *comparable(df))
                 .withColumn("_id", F.monotonically_increasing_id()))
     return (numbered
             .groupBy(F.shiftright("_id", 33).alias("_part"),

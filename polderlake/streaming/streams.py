@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from polderlake.functions.scalars import comparable
 from polderlake.operators.dedupe import dedupe_latest
 from polderlake.operators.rollup import minute_facts
 
@@ -83,7 +84,7 @@ def deduplicated(stream: DataFrame, keys: Sequence[str], ts: str, delay: str,
     """
     marked = stream.withWatermark(ts, delay)
     if salts:
-        salt = F.pmod(F.xxhash64(*stream.columns, F.spark_partition_id()), F.lit(salts))
+        salt = F.pmod(F.xxhash64(*comparable(stream), F.spark_partition_id()), F.lit(salts))
         marked = (marked.withColumn("_salt", salt)
                   .dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt"))
     return marked.dropDuplicatesWithinWatermark(list(keys))

@@ -4,7 +4,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from polderlake.catalog import STATISTICS
-from polderlake.operators import dedupe, incremental
+from polderlake.operators import dedupe, incremental, joins, paging
+from polderlake.sources import landing
 
 ROWS = st.lists(st.tuples(st.integers(0, 3), st.one_of(st.none(), st.integers(0, 3)),
                           st.integers(0, 3)), max_size=12)
@@ -94,3 +95,14 @@ def test_upsert_takes_the_latest_of_the_delta_and_new_columns(spark):
     delta = spark.createDataFrame([(1, 2, "x", 9), (1, 3, "y", 9)], "k int, ts int, v string, w int")
     assert collect(incremental.upsert(base, delta, ["k"], latest_by="ts")) == [
         (1, 3, "y", 9), (2, 1, "b", None)]
+
+
+def test_rows_with_maps(spark):
+    df = spark.sql("SELECT id % 2 AS k, id AS ts, map('a', id) AS m FROM range(6)")
+    latest = dedupe.dedupe_latest(df.drop("ts").withColumn("ts", F.lit(1)), ["k"], "ts")
+    assert {r.k: r.m["a"] for r in latest.collect()} == {0: 4, 1: 5}
+    right = spark.createDataFrame([(0, "zero")], "k bigint, name string")
+    out = joins.skew_safe_join(df, right, ["k"], "left", "salted")
+    assert out.where("name = 'zero'").count() == 3 and out.count() == 6
+    assert paging.assign_pages(df, "k", 2).select("row_idx").distinct().count() == 6
+    assert landing.bundle(df, 2).select(F.explode("rows")).count() == 6
