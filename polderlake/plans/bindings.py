@@ -85,6 +85,13 @@ def read_envelope_json(spark, d):
     return readers.read_envelope(spark, path, df.schema)
 
 
+@query
+def read_envelope_lines(spark, d):
+    df, path = table(spark, d, "orders"), scratch_path(spark, "envelope-lines")
+    landing.land_envelopes(df, path, rows_per_file=1_000, pretty=False)
+    return readers.read_envelope(spark, path, df.schema, multi_line=False)
+
+
 @query
 def read_paged_json(spark, d):
     df, path = table(spark, d, "orders"), scratch_path(spark, "pages")
@@ -838,6 +845,8 @@ def _land_statistics(spark: SparkSession, d: str, bronze: str, ingestion_date: s
         "AantalWoningen_1": F.col("n"), "GemiddeldInkomenHuishouden_6": F.col("worth"),
         "MediaanInkomenHuishouden_7": F.col("low"), "TypeWoning_3": F.col("o_orderpriority")}
     by_type = orders.groupBy(*keys, "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    facts = gold_plan.staged(spark, facts, "facts")
+    by_type = gold_plan.staged(spark, by_type, "facts-by-type")
     for spec in STATISTICS:
         rows = by_type if "dwelling_type" in spec.grain else facts
         rows = rows.select(*[named[c].alias(c) for c in spec.schema.fieldNames()])

@@ -87,6 +87,7 @@ ORACLES: dict[str, str] = {
     # sources and sinks
     "scan_parquet": "SELECT c_custkey, c_nationkey, c_acctbal FROM customer",
     "read_envelope_json": "SELECT * FROM customer",
+    "read_envelope_lines": "SELECT * FROM orders",
     "read_paged_json": "SELECT * FROM orders",
     "read_csv_header": "SELECT * FROM part",
     "read_commented_csv": "SELECT event_id, ts, user_id, event_type, value FROM events",

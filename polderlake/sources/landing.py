@@ -29,11 +29,14 @@ def _write_documents(docs: DataFrame, path: str) -> None:
 
 
 def land_envelopes(df: DataFrame, path: str, rows_per_file: int = 10_000,
-                   column: str = "value") -> None:
-    """Pretty-printed ``{"value": [...]}`` documents, one per file."""
+                   column: str = "value", pretty: bool = True) -> None:
+    """``{"value": [...]}`` documents: pretty-printed one per file, or compact one per line."""
     docs = bundle(df, rows_per_file)
-    text = F.to_json(F.struct(F.col("rows").alias(column)), {"pretty": "true"})
-    _write_documents(docs.select(text.alias("value")), path)
+    wrapped = F.struct(F.col("rows").alias(column))
+    if pretty:
+        _write_documents(docs.select(F.to_json(wrapped, {"pretty": "true"}).alias("value")), path)
+    else:
+        docs.select(F.to_json(wrapped).alias("value")).write.mode("overwrite").text(path)
 
 
 def land_pages(df: DataFrame, path: str, rows_per_file: int = 10_000) -> None:

@@ -17,14 +17,16 @@ def _as_schema(schema: StructType | str | None) -> StructType | None:
     return StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
-def read_envelope(spark: SparkSession, path: str,
-                  schema: StructType | str | None = None, column: str = "value") -> DataFrame:
-    """Rows of ``{"value": [...]}`` documents, pretty-printed or not.
-
-    Each file is one document, so a file is the unit of parallel work: land a
-    large response as many pages, never as a single document.
+def read_envelope(spark: SparkSession, path: str, schema: StructType | str | None = None,
+                  column: str = "value", multi_line: bool = True) -> DataFrame:
+    """Rows of ``{"value": [...]}`` documents.
+
+    By default a file is one document, pretty-printed or not, and the unit of
+    parallel work: land a large response as many pages, never as a single
+    document. ``multi_line=False`` reads one compact document per line; such
+    files may hold any number of documents and are split.
     """
-    reader = spark.read.option("multiLine", True)
+    reader = spark.read.option("multiLine", multi_line)
     row = _as_schema(schema)
     if row is not None:
         reader = reader.schema(StructType([StructField(column, ArrayType(row))]))

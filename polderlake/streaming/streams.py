@@ -3,7 +3,8 @@
 Sinks written through ``foreachBatch`` put each micro-batch in its own
 ``batch_id=N`` folder, replaced as a whole when the batch is repeated after a
 failure. Reading takes the newest entry per key over all batches, so no data
-file is ever rewritten in place.
+file is ever rewritten in place. A sink folder belongs to one checkpoint: a
+stream that starts anew numbers its batches from zero and needs a new folder.
 """
 
 from __future__ import annotations
