@@ -199,5 +199,10 @@ def silver_path(root: str, spec: DatasetSpec) -> str:
     return f"{root}/{spec.source}/{spec.silver_table}"
 
 
+def current_path(root: str, spec: DatasetSpec, as_of: str) -> str:
+    """Latest row per grain after the load of ``as_of``, kept beside the silver table."""
+    return f"{silver_path(root, spec)}_current/as_of={as_of}"
+
+
 def gold_path(root: str, group: str, table: str) -> str:
     return f"{root}/{group}/{table}"

@@ -7,7 +7,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polderlake.catalog import STATISTICS, DatasetSpec, gold_path, load_catalog, silver_path
+from polderlake.catalog import (STATISTICS, DatasetSpec, current_path, gold_path, load_catalog,
+                                silver_path)
 from polderlake.operators.dedupe import latest_snapshot
 from polderlake.operators.joins import wide_join
 from polderlake.operators.normalize import tag_gold
@@ -71,12 +72,19 @@ def staged(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def build_gold(spark: SparkSession, silver_root: str, gold_root: str,
-               run_ts: datetime) -> dict[str, int]:
-    """Write all gold tables and return their row counts."""
-    snapshots = {
-        spec.name: staged(spark, current(spark, silver_root, spec), f"current-{spec.name}")
-        for spec in load_catalog(STATISTICS).values()}
+def build_gold(spark: SparkSession, silver_root: str, gold_root: str, run_ts: datetime,
+               as_of: str | None = None) -> dict[str, int]:
+    """Write all gold tables and return their row counts.
+
+    With ``as_of`` the snapshots kept by ``refresh_current`` are read, and no
+    history is ranked again.
+    """
+    def snapshot(spec: DatasetSpec) -> DataFrame:
+        if as_of is not None:
+            return read_silver(spark, current_path(silver_root, spec, as_of), spec.silver_schema)
+        return staged(spark, current(spark, silver_root, spec), f"current-{spec.name}")
+
+    snapshots = {spec.name: snapshot(spec) for spec in load_catalog(STATISTICS).values()}
     tables = gold_tables(snapshots.__getitem__, run_ts)
     counts: dict[str, int] = {}
     for name, df in tables.items():

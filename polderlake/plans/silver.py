@@ -8,13 +8,15 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polderlake.catalog import FEEDS, STATISTICS, DatasetSpec, bronze_path, silver_path
-from polderlake.operators.dedupe import dedupe_latest
+from polderlake.catalog import (FEEDS, STATISTICS, DatasetSpec, bronze_path, current_path,
+                                silver_path)
+from polderlake.operators.dedupe import dedupe_latest, latest_snapshot
+from polderlake.operators.incremental import upsert
 from polderlake.operators.joins import lookup
 from polderlake.operators.normalize import conform, drop_invalid, rename_columns, tag_lineage
 from polderlake.sources.readers import (read_commented_csv, read_envelope, read_json_files,
-                                        read_pages, read_parquet)
-from polderlake.sources.tables import load_partitions, observed, run_record, write_run
+                                        read_pages, read_parquet, read_partition, read_silver)
+from polderlake.sources.tables import load_partitions, observed, run_record, write_gold, write_run
 
 
 def clean(raw: DataFrame, spec: DatasetSpec, ingestion_date: str, run_ts: datetime,
@@ -67,6 +69,29 @@ def build_silver(spark: SparkSession, spec: DatasetSpec, bronze_root: str, silve
     return load_counted(spark, build, spec, silver_root, ingestion_date, run_ts, runs)
 
 
+def refresh_current(spark: SparkSession, spec: DatasetSpec, silver_root: str, as_of: str,
+                    previous: str | None = None) -> str:
+    """Write the latest row per grain after the load of date ``as_of``; returns its path.
+
+    With ``previous``, the date of the refresh before, only that snapshot and
+    the rows of the new date are read: dates must then be refreshed in order.
+    Without it all loads up to the date are ranked, as after reloading an old date.
+    """
+    if previous is not None and previous >= as_of:
+        raise ValueError(f"snapshot of {previous} is not before {as_of}")
+    table = silver_path(silver_root, spec)
+    if previous is None:
+        loads = read_silver(spark, table, spec.silver_schema)
+        rows = latest_snapshot(loads.where(F.col("ingestion_date") <= as_of), spec.source_grain)
+    else:
+        base = read_silver(spark, current_path(silver_root, spec, previous), spec.silver_schema)
+        delta = read_partition(spark, table, as_of, schema=spec.silver_schema)
+        rows = upsert(base, delta, spec.source_grain)
+    out = current_path(silver_root, spec, as_of)
+    write_gold(rows.select(spec.silver_schema.fieldNames()), out)
+    return out
+
+
 def build_feed_silver(spark: SparkSession, spec: DatasetSpec,
                       read: Callable[[SparkSession, str], DataFrame], bronze_root: str,
                       silver_root: str, ingestion_date: str, run_ts: datetime,

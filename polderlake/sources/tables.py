@@ -84,7 +84,8 @@ def run_record(spark: SparkSession, source: str, dataset: str, ingestion_date: s
     """The manifest of one run and endpoint, as a row for the ``runs`` table."""
     row = (source, dataset, table_id, run_ts.strftime("%Y-%m-%d_%H-%M-%S"), ingestion_date,
            endpoint, n_records, status, error)
-    return spark.createDataFrame([row], RUN_SCHEMA)
+    return spark.range(0, 1, 1, 1).select(*[
+        F.lit(value).cast(f.dataType).alias(f.name) for f, value in zip(RUN_SCHEMA.fields, row)])
 
 
 def write_run(runs: DataFrame, path: str) -> None:

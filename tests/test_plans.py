@@ -104,6 +104,21 @@ def test_dashboard_and_trends(spark, lake):
                        gold.DASHBOARD: 2}
 
 
+def test_incremental_snapshots_equal_ranking_all_loads(spark, lake):
+    root = lake[0]
+    for spec in SPECS.values():
+        silver.refresh_current(spark, spec, f"{root}/silver", "2024-02-01")
+        path = silver.refresh_current(spark, spec, f"{root}/silver", "2024-02-02", "2024-02-01")
+        want = gold.current(spark, f"{root}/silver", spec)
+        assert collect(spark.read.parquet(path)) == collect(want.select(spec.silver_schema.fieldNames()))
+    with pytest.raises(ValueError):
+        silver.refresh_current(spark, spec, f"{root}/silver", "2024-02-02", "2024-02-02")
+    counts = gold.build_gold(spark, f"{root}/silver", f"{root}/gold2", RUN_TS, as_of="2024-02-02")
+    assert counts == lake[1]
+    again = readers.read_parquet(spark, gold_path(f"{root}/gold2", "cbs", gold.MARKET))
+    assert collect(again) == collect(table(spark, lake, gold.MARKET))
+
+
 def test_business_names(spark):
     spec = SPECS["average_woz_value"]
     raw = spark.createDataFrame([("GM1", "Aa", "2020JJ00", D("1"))], spec.schema)
