@@ -15,13 +15,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polderlake.catalog import (DEFAULT_EXTENSION, EXTENSIONS, STATISTICS, DatasetSpec,
-                                bronze_path, gold_path, load_catalog, schema_of)
+                                bronze_path, gold_path, load_catalog, schema_of,
+                                silver_path)
 from polderlake.functions import scalars as fn
 from polderlake.operators import dedupe, incremental, joins, monitor, paging, quality, rollup
 from polderlake.operators.normalize import (cast_columns, drop_invalid, flatten_envelope,
                                             rename_columns, tag_gold, tag_lineage)
 from polderlake.plans import gold as gold_plan
-from polderlake.plans.silver import build_silver
+from polderlake.plans.silver import build_silver, refresh_current
 from polderlake.session import scratch_path
 from polderlake.sources import landing, readers, tables
 from polderlake.streaming import streams
@@ -345,19 +346,46 @@ def drop_exact_duplicate_rows(spark, d):
         table(spark, d, "documents").select("text", "lang"))
 
 
-@query
-def latest_snapshot(spark, d):
+ORDERS = DatasetSpec(
+    source="test", name="orders", silver_table="silver_orders",
+    schema=schema_of(o_orderkey="long", o_orderstatus="string", o_orderdate="timestamp_ntz",
+                     o_totalprice="double"),
+    grain=("o_orderkey",), measures=("o_totalprice",))
+LOAD_DATES = ("2024-01-01", "2024-01-02", "2024-01-03")
+
+
+def _order_loads(spark: SparkSession, d: str) -> DataFrame:
     """Three loads of the orders: all, the open ones repriced, one year repriced again."""
-    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate",
-                                              "o_totalprice")
+    orders = table(spark, d, "orders").select(ORDERS.schema.fieldNames())
+    price = F.col("o_totalprice")
     loads = [
-        orders.withColumn("ingestion_date", F.lit("2024-01-01")),
-        orders.where("o_orderstatus = 'O'").withColumns({
-            "o_totalprice": F.col("o_totalprice") * 2, "ingestion_date": F.lit("2024-01-02")}),
-        orders.where(F.year("o_orderdate") == 1998).withColumns({
-            "o_totalprice": F.col("o_totalprice") * 4, "ingestion_date": F.lit("2024-01-03")}),
+        orders,
+        orders.where("o_orderstatus = 'O'").withColumn("o_totalprice", price * 2),
+        orders.where(F.year("o_orderdate") == 1998).withColumn("o_totalprice", price * 4),
     ]
-    return dedupe.latest_snapshot(incremental.union_batches(*loads), ["o_orderkey"])
+    return incremental.union_batches(*[
+        load.withColumn("ingestion_date", F.lit(date)) for load, date in zip(loads, LOAD_DATES)])
+
+
+@query
+def latest_snapshot(spark, d):
+    return dedupe.latest_snapshot(_order_loads(spark, d), ["o_orderkey"])
+
+
+@query
+def incremental_snapshot(spark, d):
+    """The same rows, from the snapshot of each date before and the rows of the next."""
+    root = scratch_path(spark, "snapshots")
+    loads = _order_loads(spark, d).withColumns({
+        "ingestion_timestamp": F.lit(RUN_TS), "source": F.lit("test"),
+        "dataset_name": F.lit("orders")})
+    tables.load_partitions(loads, silver_path(root, ORDERS))
+    previous = None
+    for date in LOAD_DATES:
+        path = refresh_current(spark, ORDERS, root, date, previous)
+        previous = date
+    return readers.read_silver(spark, path, ORDERS.silver_schema).drop(
+        "ingestion_timestamp", "source", "dataset_name")
 
 
 @query

@@ -33,6 +33,13 @@ DELTA = """delta AS (
   UNION ALL SELECT o_orderkey + 1000000000000, o_custkey, o_totalprice FROM orders
   WHERE year(o_orderdate) = 2000 AND o_orderstatus = 'P')"""
 
+SNAPSHOT = """SELECT o_orderkey, o_orderstatus, o_orderdate,
+  CASE WHEN year(o_orderdate) = 1998 THEN o_totalprice * 4
+       WHEN o_orderstatus = 'O' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
+  CASE WHEN year(o_orderdate) = 1998 THEN '2024-01-03'
+       WHEN o_orderstatus = 'O' THEN '2024-01-02' ELSE '2024-01-01' END AS ingestion_date
+FROM orders"""
+
 PAGED = """p AS (SELECT o_orderkey, o_custkey,
   CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS row_idx FROM orders)"""
 
@@ -154,12 +161,8 @@ FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-20' - 7 AND DATE '2024-
     "drop_exact_duplicates": """SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (
   PARTITION BY text ORDER BY doc_id) AS rn FROM documents) WHERE rn = 1""",
     "drop_exact_duplicate_rows": "SELECT DISTINCT text, lang FROM documents",
-    "latest_snapshot": """SELECT o_orderkey, o_orderstatus, o_orderdate,
-  CASE WHEN year(o_orderdate) = 1998 THEN o_totalprice * 4
-       WHEN o_orderstatus = 'O' THEN o_totalprice * 2 ELSE o_totalprice END AS o_totalprice,
-  CASE WHEN year(o_orderdate) = 1998 THEN '2024-01-03'
-       WHEN o_orderstatus = 'O' THEN '2024-01-02' ELSE '2024-01-01' END AS ingestion_date
-FROM orders""",
+    "latest_snapshot": SNAPSHOT,
+    "incremental_snapshot": SNAPSHOT,
     "union_batches": PARTIES,
     "incremental_upsert": f"""WITH {DELTA} SELECT * FROM delta UNION ALL
 SELECT o_orderkey, o_custkey, o_totalprice FROM orders o
