@@ -70,6 +70,18 @@ def test_dedupe_across_batches(spark, files, tmp_path, salts):
     assert collect(out) == collect(batch(spark, files).distinct())
 
 
+def test_dedupe_of_one_key_delivered_very_often(spark, tmp_path):
+    often = F.when(F.col("id") % 3 == 0, F.col("id") + 10).otherwise(F.lit(1))
+    rows = spark.range(900).select(often.alias("id"), F.lit(at(0)).alias("ts"), F.lit("a").alias("k"),
+                                   F.lit(1.0).alias("v"))
+    rows.repartition(8).write.parquet(f"{tmp_path}/in/f1")
+    stream = streams.open_stream(spark, "parquet", SCHEMA, path=f"{tmp_path}/in/*")
+    streams.stream_dedupe(stream, ["id"], "ts", "1 hour", f"{tmp_path}/o", f"{tmp_path}/c",
+                          salts=4).awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/o")
+    assert out.count() == 301 and out.where("id = 1").count() == 1
+
+
 def test_upsert_keeps_the_latest_whatever_arrives_last(spark, files, tmp_path):
     streams.stream_upsert_latest(feed(spark, files), ["k"], ["ts"], f"{tmp_path}/o",
                                  f"{tmp_path}/c").awaitTermination()
