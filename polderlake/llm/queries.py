@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polderlake.llm import exact_dedup
+from polderlake.llm import exact_dedup, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,3 +35,8 @@ FROM (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+
       FROM documents)
 WINDOW w AS (PARTITION BY text_sha256)
 """
+
+
+@query
+def op10_personal_data(spark, d):
+    return pii.digest(pii.find_personal_data(spark, table(spark, d, "documents")))
