@@ -55,7 +55,7 @@ CUES = {
 AGAINST = r"\b(?:version|isbn|issn|doi|order|invoice|ref|serial|part|section|rfc|page)\b[^a-z]*$"
 ENDINGS = r"(?i)(?:com|org|net|edu|gov|info|io|biz|eu|de|fr|es|uk|nl|it|ch|at|be|us|ca)$"
 ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6)"
-CALLING = r"^(?:\+|00)?(?:1|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
+CALLING = r"^(?:[+]|00)?(?:1|20|27|3[0-9]|4[0-9]|5[1-8]|6[0-6]|7|8[1246]|9[0-58])"
 
 LABELERS = 5
 WINDOW = 40
