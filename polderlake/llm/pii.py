@@ -148,7 +148,7 @@ def pattern_code(spans: str, is_base: bool) -> Column:
         "phone": "x.value RLIKE '[() .-]'"})
     listed = _by_kind("x.kind", {
         "email": f"{v} RLIKE r'{ENDINGS}'", "ip": f"{v} NOT RLIKE '^(0|255)[.]'",
-        "card": f"{digits} RLIKE '{ISSUERS}'", "phone": rf"{v} RLIKE r'{CALLING}' OR {v} NOT RLIKE '^(\+|00)'"})
+        "card": f"{digits} RLIKE '{ISSUERS}'", "phone": rf"{v} RLIKE r'{CALLING}' OR {v} NOT RLIKE '^([+]|00)'"})
     unlisted = _by_kind("x.kind", {
         "email": f"{v} NOT RLIKE r'{ENDINGS}'", "ip": f"{v} RLIKE '^(0|255)[.]'",
         "card": f"{digits} NOT RLIKE '{ISSUERS}'", "phone": "false"})
