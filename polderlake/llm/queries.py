@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polderlake.llm import exact_dedup, pii
+from polderlake.llm import decontamination, exact_dedup, pii
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,3 +40,8 @@ WINDOW w AS (PARTITION BY text_sha256)
 @query
 def op10_personal_data(spark, d):
     return pii.digest(pii.find_personal_data(spark, table(spark, d, "documents")))
+
+
+@query
+def op8_decontamination(spark, d):
+    return decontamination.flagged(spark, table(spark, d, "documents"), table(spark, d, "benchmark"))
