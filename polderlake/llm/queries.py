@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polderlake.llm import decontamination, exact_dedup, pii
+from polderlake.llm import decontamination, exact_dedup, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -45,3 +45,8 @@ def op10_personal_data(spark, d):
 @query
 def op8_decontamination(spark, d):
     return decontamination.flagged(spark, table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query
+def op4_toxicity(spark, d):
+    return toxicity.toxicity(spark, table(spark, d, "documents"), table(spark, d, "labels"))
