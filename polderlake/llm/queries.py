@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polderlake.llm import decontamination, exact_dedup, pii, toxicity
+from polderlake.llm import decontamination, exact_dedup, near_dedup, pii, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,3 +50,8 @@ def op8_decontamination(spark, d):
 @query
 def op4_toxicity(spark, d):
     return toxicity.toxicity(spark, table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query
+def op3_near_dedup(spark, d):
+    return near_dedup.near_classes(spark, table(spark, d, "documents"))
