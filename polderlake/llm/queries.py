@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polderlake.llm import decontamination, exact_dedup, near_dedup, pii, toxicity
+from polderlake.llm import (decontamination, exact_dedup, line_dedup, near_dedup, pii,
+                            toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -55,3 +56,8 @@ def op4_toxicity(spark, d):
 @query
 def op3_near_dedup(spark, d):
     return near_dedup.near_classes(spark, table(spark, d, "documents"))
+
+
+@query
+def op2_line_dedup(spark, d):
+    return line_dedup.line_counts(spark, table(spark, d, "documents"))
