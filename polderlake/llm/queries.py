@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polderlake.llm import (decontamination, exact_dedup, line_dedup, near_dedup, pii,
-                            toxicity)
+from polderlake.llm import (decontamination, exact_dedup, html_extract, line_dedup, near_dedup,
+                            pii, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,3 +61,8 @@ def op3_near_dedup(spark, d):
 @query
 def op2_line_dedup(spark, d):
     return line_dedup.line_counts(spark, table(spark, d, "documents"))
+
+
+@query
+def op6_html_extraction(spark, d):
+    return html_extract.extract(spark, table(spark, d, "pages"))
