@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polderlake.llm import (decontamination, exact_dedup, html_extract, line_dedup, near_dedup,
-                            pii, toxicity)
+from polderlake.llm import (decontamination, exact_dedup, html_extract, line_dedup, lm_score,
+                            near_dedup, pii, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -66,3 +66,8 @@ def op2_line_dedup(spark, d):
 @query
 def op6_html_extraction(spark, d):
     return html_extract.extract(spark, table(spark, d, "pages"))
+
+
+@query
+def op9_lm_scoring(spark, d):
+    return lm_score.score(spark, table(spark, d, "documents"))
