@@ -9,8 +9,9 @@ are then compared exactly, so a reported link is one of Jaccard similarity 0.8 o
 
 Exact copies are collapsed first and never meet again. In a bucket, the member that shares
 most bands with others is compared with the rest, so a group of n near copies costs n
-comparisons; only members of a bucket that are still in different classes after two such
-rounds are compared with each other.
+comparisons. Texts that still share a bucket with another class after two such rounds meet by
+an exact prefix filter: with shingles ordered from rare to frequent, two similar texts share
+one of their first few, which are mostly a text's own and seldom a common passage's.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ THRESHOLD = 0.8
 BANDS = 24
 ROWS = 4
 ROUNDS = 2
+CELLS = 1 << 18  # of the table of shingle counts
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -52,10 +54,8 @@ class WordHashes(dict):
 
 
 def shingles(text: str | None, hashes: WordHashes) -> np.ndarray:
-    """Hashes of all runs of five words; a shorter text is one shingle, no words are none."""
-    words = (text or "").lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
+    """Hashes of all runs of five words; a shorter text is one shingle, also without words."""
+    words = (text or "").lower().split() or [""]
     h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - WORDS + 1)
     total = np.full(n, len(words) if len(words) < WORDS else WORDS, np.uint64)
@@ -95,17 +95,13 @@ def sketches(sets: list[np.ndarray], registers: int) -> np.ndarray:
 
 
 def band_keys(texts: list[str | None], hashes: WordHashes, bands: int, rows: int) -> list[list[int]]:
-    """The keys under which each text meets others; a text without words has none."""
-    sets = [shingles(t, hashes) for t in texts]
-    full = [i for i, s in enumerate(sets) if len(s)]
-    keys: list[list[int]] = [[] for _ in sets]
-    kept = sketches([sets[i] for i in full], bands * rows).reshape(len(full), bands, rows)
-    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(full), bands))
+    """The keys under which each text meets others."""
+    kept = sketches([shingles(t, hashes) for t in texts], bands * rows)
+    kept = kept.reshape(len(texts), bands, rows)
+    key = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(texts), bands))
     for r in range(rows):
         key = mix(key * np.uint64(0x9E3779B97F4A7C15) + kept[:, :, r])
-    for i, k in zip(full, key.astype(np.int64).tolist()):
-        keys[i] = k
-    return keys
+    return key.astype(np.int64).tolist()
 
 
 def _keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -160,6 +156,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
             .mapInArrow(run, f"a {kind}, b {kind}"))
 
 
+def _rarity(spark: SparkSession, sets: DataFrame) -> np.ndarray:
+    """Counts of shingles by hash cell, a table of fixed size; only the order comes from it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            values = batch.column(0).flatten().to_numpy()
+            total += np.bincount(values & (CELLS - 1), minlength=CELLS)
+        cells = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
+
+    counts = np.zeros(CELLS, np.int64)
+    for r in sets.select("shingles").mapInArrow(run, "cell long, n long").groupBy("cell").agg(
+            F.sum("n").alias("n")).collect():
+        counts[r["cell"]] = r["n"]
+    return counts
+
+
+def _prefix_pairs(spark: SparkSession, sets: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of texts of different components that can be similar: all that are, and few others.
+
+    Sets of sizes m <= n with similarity t share at least ceil(t * n) shingles, so among the
+    first n - ceil(t * n) + 1 of either, in any common order, there is one in common.
+    """
+    rarity = spark.sparkContext.broadcast(_rarity(spark, sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = rarity.value
+        for batch in batches:
+            at, keys, place, size = [], [], [], []
+            for i, s in enumerate(batch.column(2)):
+                s = s.values.to_numpy()
+                order = np.lexsort((s, counts[s & (CELLS - 1)]))
+                first = order[:len(s) - int(np.ceil(threshold * len(s) - 1e-9)) + 1]
+                at.append(np.full(len(first), i))
+                keys.append(s[first])
+                place.append(np.arange(len(first)))
+                size.append(np.full(len(first), len(s)))
+            join = lambda x: pa.array(np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64))
+            rows = join(at)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), join(keys), join(place),
+                 join(size)], ["doc_id", "component", "shingle", "place", "size"])
+
+    kind = sets.schema["doc_id"].dataType.simpleString()
+    first = staged(spark, sets.select("doc_id", "component", "shingles").mapInArrow(
+        run, f"doc_id {kind}, component {kind}, shingle long, place long, size long"), "prefixes")
+    mixed = staged(spark, first.groupBy("shingle").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low != high").select("shingle"), "mixed-shingles")
+    first = staged(spark, first.join(mixed, "shingle", "left_semi"), "prefixes")
+    other = first.select("shingle", *[F.col(c).alias(f"b_{c}") for c in
+                                      ("doc_id", "component", "place", "size")])
+    # The sizes must allow the similarity, and so must what is left after this place of either.
+    return first.join(other, "shingle").where(
+        "doc_id < b_doc_id AND component != b_component"
+        f" AND least(size, b_size) >= {threshold} * greatest(size, b_size)"
+        "  AND least(size - place, b_size - b_place)"
+        f" >= {threshold} / (1 + {threshold}) * (size + b_size) - 1e-6").select(
+        F.col("doc_id").alias("a"), F.col("b_doc_id").alias("b"))
+
+
 def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD,
                  bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per input row: ``doc_id, class_id, class_size, kept``.
@@ -202,9 +259,8 @@ def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESH
             pairs = pairs.select(F.least("lead", "doc_id").alias("a"),
                                  F.greatest("lead", "doc_id").alias("b"))
         else:
-            other = rest.select("key", F.col("doc_id").alias("b"), F.col("component").alias("there"))
-            pairs = rest.join(other, "key").where("doc_id < b AND component != there").select(
-                F.col("doc_id").alias("a"), "b")
+            left = rest.select("doc_id", "component").distinct().join(sets, "doc_id")
+            pairs = _prefix_pairs(spark, staged(spark, left, "residue"), threshold)
         pairs = staged(spark, pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         tested = tested.unionByName(pairs)
         links = links.unionByName(staged(spark, _verified(pairs, sets, threshold), "links"))
