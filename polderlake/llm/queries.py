@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from polderlake.llm import (decontamination, exact_dedup, html_extract, line_dedup, lm_score,
-                            near_dedup, pii, toxicity)
+                            near_dedup, pii, sentencepiece_lattice, toxicity)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,3 +71,11 @@ def op6_html_extraction(spark, d):
 @query
 def op9_lm_scoring(spark, d):
     return lm_score.score(spark, table(spark, d, "documents"))
+
+
+@query
+def op7_sentencepiece(spark, d):
+    import public_tokenizers
+
+    pieces = sentencepiece_lattice.load(public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_lattice.round_trip(table(spark, d, "documents"), pieces)
