@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from polderlake.llm import (decontamination, exact_dedup, html_extract, line_dedup, lm_score,
-                            near_dedup, pii, sentencepiece_lattice, toxicity)
+                            near_dedup, pii, sentencepiece_lattice, token_output, toxicity)
+
+from polderlake.session import scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -23,6 +25,16 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+@query
+def op1_token_output(spark, d):
+    import public_tokenizers
+
+    path = scratch_path(spark, "tokens")
+    token_output.write_tokens(table(spark, d, "documents"), path,
+                              public_tokenizers.path("byte_bpe_50k.json"))
+    return token_output.read_tokens(spark, path)
+
+
 @query
 def op5_exact_dedup(spark, d):
     return exact_dedup.exact_groups(spark, table(spark, d, "documents"))
