@@ -299,11 +299,13 @@ def decoded(ids: str, table: Pieces) -> Column:
     return F.regexp_replace(text, "^ ", "") if table.prefix else text
 
 
+def decodes(table: Pieces, ids: str = "piece_ids") -> Column:
+    """Whether the ids of a row give its text back, a letter U+2581 as a space."""
+    return decoded(ids, table) == F.translate(F.coalesce("text", F.lit("")), BLANK, " ")
+
+
 def round_trip(docs: DataFrame, table: Pieces) -> DataFrame:
     """``doc_id, n_pieces, ids_xxhash, decodes`` per row: whether decoding gives the text back."""
-    coded = encode(docs.select("doc_id", "text"), table)
-    text = F.coalesce("text", F.lit(""))
-    return coded.select(
+    return encode(docs.select("doc_id", "text"), table).select(
         "doc_id", F.size("piece_ids").cast("long").alias("n_pieces"),
-        F.xxhash64("piece_ids").alias("ids_xxhash"),
-        (decoded("piece_ids", table) == F.translate(text, BLANK, " ")).alias("decodes"))
+        F.xxhash64("piece_ids").alias("ids_xxhash"), decodes(table).alias("decodes"))
