@@ -6,13 +6,16 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, IntegralType
 
 # Line boundaries of Unicode text, and its non-blank characters as Java regex.
 LINE_BREAKS = ("\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029")
 NON_BLANK = (r"[^\t\n\x0b\x0c\r\x1c-\x20\x85\xa0"
              r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-MONEY = "decimal(18,2)"
+# Doubles are summed as decimals of this type while they are below the bound; 10**8 of the
+# largest still fit the sum. Larger ones, infinities and NaN are summed as doubles.
+WIDE, WIDE_BOUND = "decimal(38,18)", 1e12
 
 
 def comparable(df: DataFrame, columns: Iterable[str] | None = None) -> list[Column]:
@@ -22,9 +25,32 @@ def comparable(df: DataFrame, columns: Iterable[str] | None = None) -> list[Colu
             else F.col(c) for c in names]
 
 
-def exact_sum(column: str) -> Column:
-    """Sum in decimal, so the result does not depend on the order of the rows."""
-    return F.sum(F.col(column).cast(MONEY))
+def sum_parts(column: str, kind: DataType) -> dict[str, Column]:
+    """Mergeable parts of an exact sum: ``s``, and for doubles ``r``, what is too large for it.
+
+    Whole numbers and decimals are summed in their own type. Doubles are summed as wide
+    decimals, so the result does not depend on the order of the rows.
+    """
+    value = F.col(column)
+    if isinstance(kind, (IntegralType, DecimalType)):
+        return {"s": F.sum(value)}
+    value = value.cast("double")
+    fits = F.abs(value) < WIDE_BOUND
+    return {"s": F.sum(F.when(fits, value.cast(WIDE))), "r": F.sum(F.when(~fits, value))}
+
+
+def sum_result(parts: Mapping[str, Column]) -> Column:
+    """The sum as a double, null when there was no value."""
+    exact = parts["s"].cast("double")
+    if "r" not in parts:
+        return exact
+    return F.when(parts["r"].isNull(), exact).otherwise(
+        F.coalesce(exact, F.lit(0.0)) + parts["r"])
+
+
+def exact_sum(df: DataFrame, column: str) -> Column:
+    """Sum of a column as a double, the same whatever the order of the rows."""
+    return sum_result(sum_parts(column, df.schema[column].dataType))
 
 
 def compact_date(column: Column) -> Column:

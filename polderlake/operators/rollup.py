@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from polderlake.catalog import DatasetSpec
-from polderlake.functions.scalars import MONEY, exact_sum, iso_date
+from polderlake.functions.scalars import exact_sum, iso_date, sum_parts, sum_result
 from polderlake.operators.joins import BROADCAST_BYTES, enrich, fits_broadcast
 
 
@@ -30,11 +30,11 @@ class Measure:
     def parts(self, df: DataFrame) -> dict[str, Column]:
         """The mergeable aggregates the measure is made of."""
         column = F.col(self.column)
+        kind = df.schema[self.column].dataType
         if self.fn == "avg":
-            return {"s": exact_sum(self.column), "n": F.count(column)}
+            return {**sum_parts(self.column, kind), "n": F.count(column)}
         if self.fn == "sum":
-            whole = isinstance(df.schema[self.column].dataType, IntegralType)
-            return {"s": F.sum(column) if whole else exact_sum(self.column)}
+            return sum_parts(self.column, kind)
         if self.fn == "count":
             return {"n": F.count(column)}
         if self.fn in ("min", "max"):
@@ -45,11 +45,13 @@ class Measure:
 
     def result(self, part: Callable[[str], Column], df: DataFrame) -> Column:
         """The measure from its finished parts."""
-        if self.fn == "avg":
-            value = part("s").cast("double") / part("n")
-        elif self.fn == "sum":
-            whole = isinstance(df.schema[self.column].dataType, IntegralType)
-            value = part("s") if whole else part("s").cast("double")
+        if self.fn in ("avg", "sum"):
+            kind = df.schema[self.column].dataType
+            sums = {p: part(p) for p in sum_parts(self.column, kind)}
+            if self.fn == "avg":
+                value = sum_result(sums) / part("n")
+            else:
+                value = sums["s"] if isinstance(kind, IntegralType) else sum_result(sums)
         elif self.fn == "newest":
             value = iso_date(part("max"))
         else:
@@ -63,7 +65,7 @@ def rollup(df: DataFrame, keys: Sequence[str], measures: Sequence[Measure]) -> D
         m.result(m.parts(df).__getitem__, df) for m in measures])
 
 
-MERGE = {"s": F.sum, "n": F.sum, "min": F.min, "max": F.max}
+MERGE = {"s": F.sum, "r": F.sum, "n": F.sum, "min": F.min, "max": F.max}
 
 
 def rollup_through(facts: DataFrame, dimension: DataFrame, on: Sequence[str],
@@ -74,8 +76,12 @@ def rollup_through(facts: DataFrame, dimension: DataFrame, on: Sequence[str],
     A dimension that is measured to fit is broadcast, and the facts are
     aggregated once. Otherwise the facts are first reduced to the join key
     and ``keys``, so no key is hot in the join, and the parts are merged after it.
+    Measures are of fact columns; one of a dimension column is refused either way.
     """
     on = list(on)
+    foreign = [m.column for m in measures if m.column not in facts.columns]
+    if foreign:
+        raise ValueError(f"measures of columns that are no facts: {', '.join(foreign)}")
     side = dimension.select(*on, *columns)
     if fits_broadcast(side, max_bytes):
         return rollup(facts.join(F.broadcast(side), on), [*columns, *keys], measures)
@@ -166,11 +172,10 @@ def minute_facts(df: DataFrame, ts: str, keys: Sequence[str], value: str,
     grouped = df.groupBy(F.window(ts, width).alias("_w"), *keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.count(value).alias("n_values"),
-        exact_sum(value).alias("_total"))
+        exact_sum(df, value).alias("_total"))
     return grouped.select(
         F.col("_w.start").alias(name), *keys, "n", "n_values",
-        F.col("_total").cast("double").alias("total"),
-        (F.col("_total").cast("double") / F.col("n_values")).alias("avg_value"))
+        F.col("_total").alias("total"), (F.col("_total") / F.col("n_values")).alias("avg_value"))
 
 
 def coarser_facts(facts: DataFrame, keys: Sequence[str], width: str = "1 hour",
@@ -179,11 +184,10 @@ def coarser_facts(facts: DataFrame, keys: Sequence[str], width: str = "1 hour",
     grouped = facts.groupBy(F.window(finer, width).alias("_w"), *keys).agg(
         F.sum("n").alias("n"),
         F.sum("n_values").alias("n_values"),
-        F.sum(F.col("total").cast(MONEY)).alias("_total"))
+        exact_sum(facts, "total").alias("_total"))
     return grouped.select(
         F.col("_w.start").alias(name), *keys, "n", "n_values",
-        F.col("_total").cast("double").alias("total"),
-        (F.col("_total").cast("double") / F.col("n_values")).alias("avg_value"))
+        F.col("_total").alias("total"), (F.col("_total") / F.col("n_values")).alias("avg_value"))
 
 
 def region_features(facts: DataFrame, key_to_region: DataFrame, on: Sequence[str],

@@ -522,8 +522,9 @@ def gold_value_trends(spark, d):
 def gold_market_analysis(spark, d):
     """Dwellings are the line quantities of an order; the value is the mean order price."""
     orders = orders_by_region(spark, d).withColumnRenamed("o_orderpriority", "dwelling_type")
-    quantities = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        fn.exact_sum("l_quantity").alias("quantity"))
+    lines = table(spark, d, "lineitem")
+    quantities = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        fn.exact_sum(lines, "l_quantity").alias("quantity"))
     housing = joins.enrich(orders, quantities, ["o_orderkey"], ["quantity"], "inner",
                            side="unique")
     values = rollup.rollup(orders, REGION_PERIOD,
@@ -573,6 +574,16 @@ def rollup_by_spec(spark, d):
     return rollup.rollup_by_spec(table(spark, d, "events"), spec)
 
 
+@query
+def sums_of_fine_and_large_values(spark, d):
+    """Decimals beyond the second count, and a large value does not fail a sum."""
+    lines = table(spark, d, "lineitem").withColumns({
+        "fine": F.col("l_extendedprice") * F.col("l_discount") / 3, "large": F.lit(2.0 ** 57)})
+    return rollup.rollup(lines, ["l_returnflag", "l_linestatus"], [
+        rollup.Measure("sum_fine", "sum", "fine"), rollup.Measure("avg_fine", "avg", "fine"),
+        rollup.Measure("sum_large", "sum", "large")])
+
+
 @query
 def regional_feature_mart(spark, d):
     """Geography, housing, mobility and climate per region, each reduced before the join."""

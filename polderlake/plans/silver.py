@@ -118,7 +118,7 @@ def load_counted(spark: SparkSession, build: Callable[[], DataFrame], spec: Data
         load_partitions(counted, silver_path(silver_root, spec), rebalance=False)
         n = seen.get["n_records"]
     except Exception as e:
-        record(0, "failed", str(e)[:2000])
+        record(0, "failed", str(e))
         raise
     record(n, "success")
     return n
