@@ -30,7 +30,11 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """``doc_id, line_no, line`` of the lines that take part, blanks squeezed and trimmed."""
     each = docs.where("doc_id IS NOT NULL").select(
         "doc_id", F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("line_no", "line"))
-    squeezed = F.trim(F.regexp_replace("line", BLANKS, " "))
+    # Most lines hold single spaces only, and finding that out is cheaper than squeezing.
+    odd = F.lit(False)
+    for c in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd = odd | F.contains("line", F.lit(c))
+    squeezed = F.trim(F.when(odd, F.regexp_replace("line", BLANKS, " ")).otherwise(F.col("line")))
     return each.select("doc_id", "line_no", squeezed.alias("line")).where(
         F.length("line") >= min_chars)
 
@@ -123,6 +127,15 @@ def within(a: Column, b: Column, edits: int) -> Column:
     return near & _let(chars(a), lambda x: _let(chars(b), lambda y: compare(x, y)))
 
 
+def letters_allow(a: Column, b: Column, edits: int, letters: str = "aeinrst") -> Column:
+    """False for texts that cannot be within so many edits, as a letter's counts differ by more."""
+    count = lambda t, c: F.length(F.replace(t, F.lit(c), F.lit("")))
+    allow = F.lit(True)
+    for c in letters:  # the rest's length may differ by an edit of its own for each edit
+        allow = allow & (F.abs((F.length(a) - count(a, c)) - (F.length(b) - count(b, c))) <= edits)
+    return allow
+
+
 def _mask(key: Column) -> Column:
     one = F.lit(1).cast("long")
     at = lambda shift: F.call_function(
@@ -163,7 +176,8 @@ def near_copies(spark: SparkSession, lines: DataFrame, edits: int = EDITS) -> Da
         f" AND abs(length(a_line) - length(b_line)) <= {edits}")
     pairs = pairs.groupBy("a_h1", "a_h2", "b_h1", "b_h2").agg(
         F.any_value("a_line").alias("a_line"), F.any_value("b_line").alias("b_line"))
-    in_pairs = pairs.where(within(F.col("a_line"), F.col("b_line"), edits)).select(
+    a, b = F.col("a_line"), F.col("b_line")
+    in_pairs = pairs.where(letters_allow(a, b, edits)).where(within(a, b, edits)).select(
         F.col("b_h1").alias("h1"), F.col("b_h2").alias("h2"))
 
     part = F.pmod("h2", F.ceil(F.col("n") / BLOCK_LINES))
@@ -183,7 +197,7 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, edits: int = EDITS,
     docs = docs.select("doc_id", "text")
     lines = lines_of(docs, min_chars)
     near = near_copies(spark, lines.where(F.length("line") >= min_near_chars), edits)
-    hashed = lines.select("doc_id", "line_no", *_hashes())
+    hashed = staged(spark, lines.select("doc_id", "line_no", *_hashes()), "line-hashes")
     copies = hashed.groupBy("h1", "h2").agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
     verdicts = copies.select("h1", "h2", "first", F.lit(False).alias("near")).unionByName(
@@ -211,7 +225,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
         F.col("doc_id").alias("__doc_id"), F.col("dropped").alias("__dropped"))
     kept = F.expr("array_join(filter(split(text, '\\n', -1), "
                   "(x, i) -> NOT array_contains(__dropped, i)), '\\n')")
-    out = docs.join(gone, docs["doc_id"] == F.col("__doc_id"), "left")
+    out = docs.join(gone.hint("merge"), docs["doc_id"] == F.col("__doc_id"), "left")
     text = F.when(F.col("__dropped").isNull(), F.col("text")).otherwise(kept)
     out = out.withColumn("text", text)
     if "n_chars" in docs.columns:
