@@ -20,6 +20,8 @@ def dedupe_latest(df: DataFrame, keys: Sequence[str], order_by: str | Sequence[s
     to one lets Spark keep a single candidate per key in every task before
     the shuffle: a key with a third of the rows sends one row per task.
     """
+    if not keys:
+        raise ValueError("latest row of no key: every row would be compared with every other")
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     rest = tie_break if tie_break is not None else [
         c for c in df.columns if c not in keys and c not in order]

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from polderlake.operators.dedupe import dedupe_latest
 from polderlake.operators.joins import skew_safe_join
-from polderlake.sources.tables import load_partitions
+from polderlake.sources.tables import clear_partitions, load_partitions, observed
 
 
 def union_batches(*batches: DataFrame) -> DataFrame:
@@ -20,13 +20,19 @@ def union_batches(*batches: DataFrame) -> DataFrame:
 
 def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str],
            latest_by: str | Sequence[str] | None = None) -> DataFrame:
-    """Delta rows, and the base rows whose key the delta does not hold.
+    """The latest delta row of each key, and the base rows whose key the delta does not hold.
 
-    ``latest_by`` reduces a delta with several versions of a key to the latest.
+    A delta with several versions of a key is reduced to the one of the
+    greatest ``latest_by``; without it to the greatest by all columns. Null
+    keys are equal to each other.
     """
-    if latest_by is not None:
-        delta = dedupe_latest(delta, keys, latest_by)
-    kept = skew_safe_join(base, delta.select(*keys), keys, "left_anti")
+    delta = dedupe_latest(delta, keys, latest_by if latest_by is not None else [
+        c for c in delta.columns if c not in keys])
+    marks = [f"_key{i}" for i in range(len(keys))]
+    # The text of a key as JSON is set for a null key too, so that null keys meet.
+    marked = lambda df: df.withColumns({
+        m: F.to_json(F.struct(F.col(k).alias("k"))) for m, k in zip(marks, keys)})
+    kept = skew_safe_join(marked(base), marked(delta).select(*marks), marks, "left_anti").drop(*marks)
     return union_batches(delta, kept)
 
 
@@ -34,25 +40,27 @@ def detect_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], columns:
                    latest_by: str | Sequence[str] | None = None) -> DataFrame:
     """Each key labelled ``new``, ``changed``, ``same`` or ``missing`` (only in the old load).
 
-    Both loads have one row per key, or are reduced to the latest by
-    ``latest_by``. Values are compared null-safely and in full, so no change
+    Both loads are reduced to one row per key: the latest by ``latest_by``, or
+    the greatest by all compared columns. Null keys are equal to each other. Values are compared null-safely and in full, so no change
     can hide behind a hash collision.
     """
-    if latest_by is not None:
-        old = dedupe_latest(old, keys, latest_by)
-        new = dedupe_latest(new, keys, latest_by)
-    before = old.select(*keys, F.struct(*columns).alias("_old"), F.lit(True).alias("_in_old"))
-    after = new.select(*keys, F.struct(*columns).alias("_new"), F.lit(True).alias("_in_new"))
-    label = (F.when(F.col("_in_old").isNull(), "new")
-             .when(F.col("_in_new").isNull(), "missing")
-             .when(F.col("_old").eqNullSafe(F.col("_new")), "same")
+    def side(df: DataFrame, name: str) -> DataFrame:
+        single = dedupe_latest(df, keys, latest_by if latest_by is not None else list(columns))
+        return single.select(*keys, F.struct(*columns).alias(name))
+
+    # One row per key and side: the lists hold at most one value, and null keys group.
+    both = union_batches(side(old, "_old"), side(new, "_new")).groupBy(*keys).agg(
+        F.collect_list("_old").alias("_old"), F.collect_list("_new").alias("_new"))
+    label = (F.when(F.size("_old") == 0, "new")
+             .when(F.size("_new") == 0, "missing")
+             .when(F.get("_old", F.lit(0)).eqNullSafe(F.get("_new", F.lit(0))), "same")
              .otherwise("changed"))
-    return (before.join(after, list(keys), "full_outer")
-            .withColumn("change", label)
-            .select(*keys, "change"))
+    return both.withColumn("change", label).select(*keys, "change")
 
 
 def reprocess(df: DataFrame, path: str, ingestion_date: str) -> None:
-    """Load one date again without touching the others."""
-    dated = df.withColumn("ingestion_date", F.lit(ingestion_date))
+    """Load one date again without touching the others; without rows the date is emptied."""
+    dated, seen = observed(df.withColumn("ingestion_date", F.lit(ingestion_date)), "reprocessed")
     load_partitions(dated, path, rebalance=False)
+    if not seen.get["n_records"]:
+        clear_partitions(df.sparkSession, path, [ingestion_date])

@@ -67,12 +67,20 @@ def page_manifest(pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:
 
 
 def page_gaps(manifest: DataFrame) -> DataFrame:
-    """First page of every gap in the numbering, and page 0 where it is missing."""
-    have = manifest.select("page_idx")
-    highest = have.agg(F.max("page_idx")).scalar()
-    lowest = have.agg(F.min("page_idx")).scalar()
-    expected = (have.where(F.col("page_idx") < highest)
-                .select((F.col("page_idx") + 1).alias("page_idx"))
-                .union(have.where((F.col("page_idx") == lowest) & (F.col("page_idx") > 0))
-                       .select(F.lit(0).cast("bigint").alias("page_idx"))))
-    return expected.join(have, "page_idx", "left_anti")
+    """Every gap in the numbering from page 0 on: ``page_idx``, ``last_page`` and ``n_missing``.
+
+    The page before a gap is one whose successor is missing. Each page looks
+    back at the one before it within its block of a million numbers; what a
+    block holds first looks at the end of the blocks before, of which there are few.
+    """
+    have = manifest.select("page_idx").distinct().withColumn("_block", F.expr("page_idx div 1000000"))
+    ends = have.groupBy("_block").agg(F.max("page_idx").alias("_end"))
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select("_block", F.max("_end").over(earlier).alias("_end"))
+    inside = Window.partitionBy("_block").orderBy("page_idx")
+    before = F.coalesce(F.lag("page_idx").over(inside), F.col("_end"), F.lit(-1))
+    return (have.join(ends, "_block").withColumn("_before", before)
+            .where(F.col("page_idx") - F.col("_before") > 1)
+            .select((F.col("_before") + 1).alias("_first"), (F.col("page_idx") - 1).alias("last_page"),
+                    (F.col("page_idx") - F.col("_before") - 1).alias("n_missing"))
+            .withColumnRenamed("_first", "page_idx"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from polderlake.functions.scalars import data_lines, is_blank, raw_bytes
+from polderlake.operators.dedupe import dedupe_latest
 from polderlake.operators.joins import orphans
 
 
@@ -134,7 +135,13 @@ def availability(df: DataFrame, dataset: str) -> DataFrame:
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
-    """Total records, endpoint count and worst status of each run."""
+    """Total records, endpoint count and worst status of each date's load.
+
+    Of an endpoint that ran more than once for a date the last run counts, as
+    a run overwrites what an earlier one left.
+    """
+    runs = dedupe_latest(runs, ["source", "dataset_name", "ingestion_date", "endpoint"],
+                         "ingestion_datetime")
     failed = F.max(F.when(F.col("status") != "success", F.col("status")))
     return runs.groupBy("source", "dataset_name", "ingestion_date").agg(
         F.count("endpoint").alias("n_endpoints"),
@@ -151,10 +158,12 @@ def run_gate(summary: DataFrame) -> DataFrame:
 
 
 def enforce_gate(summary: DataFrame) -> None:
-    """Raise when any run failed, naming one of them."""
-    bad = run_gate(summary).where(F.col("gate") == "fail").select("dataset_name", "status").first()
-    if bad is not None:
-        raise ValueError(f"ingestion failed: {bad['dataset_name']} is {bad['status']}")
+    """Raise when any run failed, naming the datasets and dates that did."""
+    each = F.concat_ws(" ", "dataset_name", "ingestion_date", F.lit("is"), "status")
+    bad = run_gate(summary).where(F.col("gate") == "fail").agg(
+        F.array_join(F.array_sort(F.collect_set(each)), ", ").alias("names")).first()["names"]
+    if bad:
+        raise ValueError(f"ingestion failed: {bad}")
 
 
 def profile_payload(df: DataFrame, text: str) -> DataFrame:

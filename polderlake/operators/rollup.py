@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
@@ -145,6 +145,31 @@ def market_analysis(housing: DataFrame, values: DataFrame, keys: Sequence[str],
                          "last_updated")
 
 
+def market_from_facts(facts: DataFrame, join_keys: Sequence[str], extra: Sequence[str],
+                      dwellings: str, price: str) -> DataFrame:
+    """``market_analysis`` where one table has both: the facts are read and shuffled once.
+
+    Facts without dwellings count towards the mean price of their region and
+    period only. The sums per key are few, and their totals per region and
+    period are taken from them, not from the facts again.
+    """
+    day = F.when(F.col(dwellings).isNotNull(), F.col("ingestion_date").cast("date"))
+    amounts = sum_parts(dwellings, facts.schema[dwellings].dataType)
+    prices = sum_parts(price, facts.schema[price].dataType)
+    sums = facts.groupBy(*join_keys, *extra).agg(
+        F.count(dwellings).alias("_n"), F.max(day).alias("_day"), F.count(price).alias("_priced"),
+        *[c.alias(f"_a{p}") for p, c in amounts.items()],
+        *[c.alias(f"_p{p}") for p, c in prices.items()])
+    place = Window.partitionBy(*join_keys)
+    total = sum_result({p: F.sum(f"_p{p}").over(place) for p in prices})
+    amount = sum_result({p: F.col(f"_a{p}") for p in amounts})
+    return (sums.withColumn("avg_property_value", total / F.sum("_priced").over(place))
+            .where(F.col("_n") > 0)
+            .select(*join_keys, *extra, (amount / F.col("_n")).alias("avg_dwellings"),
+                    amount.alias("total_dwellings"), "avg_property_value",
+                    iso_date(F.col("_day")).alias("last_updated")))
+
+
 def socio_indicators(income: DataFrame, residents: DataFrame, keys: Sequence[str],
                      join_keys: Sequence[str], avg_income: str, median_income: str,
                      per_resident: str, median_name: str = "avg_median_income") -> DataFrame:

@@ -121,11 +121,30 @@ SELECT *, row_idx // 1000 AS page_idx, row_idx // 1000 * 1000 AS skip,
 c AS (SELECT row_idx // 1000 AS page_idx, COUNT(*) AS n FROM p GROUP BY 1)
 SELECT page_idx, printf('part-%05d.json', page_idx) AS part_name, page_idx * 1000 AS skip, n,
        n < 1000 OR page_idx = (SELECT MAX(page_idx) FROM c) AS is_last FROM c""",
-    "page_gaps": """WITH p AS (SELECT DISTINCT o_orderkey // 10 AS page_idx FROM orders
-  WHERE o_orderstatus = 'P'),
-expected AS (SELECT page_idx + 1 AS page_idx FROM p WHERE page_idx < (SELECT MAX(page_idx) FROM p)
-  UNION ALL SELECT CAST(0 AS BIGINT))
-SELECT page_idx FROM expected WHERE page_idx NOT IN (SELECT page_idx FROM p)""",
+    "read_envelope_damaged": """SELECT 'rows' AS what, COUNT(*) AS n FROM orders
+UNION ALL SELECT 'not JSON', 1 UNION ALL SELECT 'no value', 1""",
+    "read_pages_damaged": "SELECT 'rows' AS what, COUNT(*) AS n FROM orders UNION ALL SELECT 'not JSON', 1",
+    "empty_reload": """SELECT CAST(year(o_orderdate) AS INT) AS period, COUNT(*) AS n FROM orders
+WHERE year(o_orderdate) <> 1998 GROUP BY 1""",
+    "partition_with_new_column": """SELECT CAST(year(o_orderdate) AS INT) AS period_code,
+  COUNT(*) FILTER (WHERE year(o_orderdate) = 1998) AS n_late FROM orders GROUP BY 1
+UNION ALL SELECT 1998, COUNT(*) FROM orders WHERE year(o_orderdate) = 1998""",
+    "upsert_null_and_repeated_keys": """WITH k AS (
+  SELECT CASE WHEN o_orderstatus <> 'P' THEN CAST(o_custkey AS VARCHAR) END AS key, o_orderkey, o_totalprice FROM orders),
+u AS (SELECT * FROM k UNION ALL SELECT key, o_orderkey, o_totalprice + 1 FROM k)
+SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (
+  PARTITION BY key ORDER BY o_totalprice DESC, o_orderkey DESC) AS r FROM u) WHERE r = 1""",
+    "changes_with_null_and_repeated_keys": """WITH k AS (
+  SELECT CASE WHEN o_orderstatus <> 'P' THEN CAST(o_custkey AS VARCHAR) END AS key, MAX(o_totalprice) AS top
+  FROM orders GROUP BY 1)
+SELECT key, CASE WHEN CAST(key AS BIGINT) % 2 = 0 AND top <> 0 THEN 'changed' ELSE 'same' END AS change FROM k""",
+    "page_gaps": """WITH lost AS (SELECT o_orderkey // 10 AS page FROM orders
+  JOIN customer ON o_custkey = c_custkey WHERE c_acctbal < -500),
+p AS (SELECT DISTINCT o_orderkey // 10 AS page FROM orders
+      WHERE o_orderkey // 10 NOT IN (SELECT page FROM lost)),
+g AS (SELECT page, COALESCE(LAG(page) OVER (ORDER BY page), -1) AS before FROM p)
+SELECT before + 1 AS page_idx, page - 1 AS last_page, page - before - 1 AS n_missing
+FROM g WHERE page - before > 1""",
     # projections, filters, scalar functions
     "flatten_envelope": "SELECT * FROM conversations",
     "tag_lineage": """SELECT *, TIMESTAMP '2024-02-01 06:00:00' AS ingestion_timestamp,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from polderlake.functions.scalars import comparable
@@ -66,10 +66,21 @@ def land_csv(df: DataFrame, path: str) -> None:
 
 
 def land_commented_csv(df: DataFrame, path: str, every: int = 100) -> None:
-    """Padded values with comment and blank lines between the data, no header line."""
+    """Padded values with comment and blank lines between the data, no header line.
+
+    Nulls are left empty; values with a comma, quote or edge blank are quoted, not padded.
+    Line breaks inside values cannot be written in this form.
+    """
     header = "# " + ",".join(df.columns)
-    line = F.concat_ws(",", *[F.concat(F.lit("  "), F.col(c).cast("string"), F.lit(" "))
-                              for c in df.columns])
+    def padded(c: str) -> Column:
+        text = F.col(c).cast("string")
+        quoted = F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")),
+                                               F.lit('"'), F.lit('\\"')), F.lit('"'))
+        special = text.rlike(r'[",\r\n\\#]|^\s|\s$|^$')
+        value = F.when(special, quoted).otherwise(F.concat(F.lit("  "), text, F.lit(" ")))
+        return F.coalesce(value, F.lit(""))
+
+    line = F.concat_ws(",", *[padded(c) for c in df.columns])
     first_of_block = F.pmod(F.monotonically_increasing_id(), F.lit(every)) == 0
     lines = F.when(first_of_block, F.array(F.lit(header), F.lit(""), line)).otherwise(F.array(line))
     df.select(F.explode(lines).alias("value")).write.mode("overwrite").text(path)

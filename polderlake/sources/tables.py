@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.errors import AnalysisException
@@ -22,7 +23,7 @@ def load_partitions(df: DataFrame, path: str, partition_by: str = "ingestion_dat
                     rebalance: bool = True) -> None:
     """Replace exactly the partitions present in ``df``; others stay as they are.
 
-    Running it twice leaves the same table. Rows are rebalanced by partition
+    A partition without rows is not present: name it to ``clear_partitions``. Running it twice leaves the same table. Rows are rebalanced by partition
     value, so a small partition gets few files and adaptive execution splits
     a partition value that holds much of the data over several tasks.
     """
@@ -33,6 +34,15 @@ def load_partitions(df: DataFrame, path: str, partition_by: str = "ingestion_dat
      .parquet(path))
 
 
+def clear_partitions(spark: SparkSession, path: str, values: Sequence[object],
+                     partition_by: str = "ingestion_date") -> None:
+    """Remove the folders of these partition values; none is there after a second run either."""
+    conf = spark._jsc.hadoopConfiguration()
+    for value in values:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{partition_by}={value}")
+        folder.getFileSystem(conf).delete(folder, True)
+
+
 def existing_schema(spark: SparkSession, path: str) -> StructType | None:
     try:
         return spark.read.option("mergeSchema", True).parquet(path).schema

@@ -35,7 +35,9 @@ def test_one_key_and_copies_spread_over_ranges(spark):
 
 def test_gaps(spark):
     manifest = spark.createDataFrame([(1, 10), (2, 10), (4, 10), (5, 3)], "page_idx bigint, n bigint")
-    assert collect(paging.page_gaps(manifest)) == [(0,), (3,)]
+    assert collect(paging.page_gaps(manifest)) == [(0, 0, 1), (3, 3, 1)]
+    wide = spark.createDataFrame([(0, 1), (5_000_000, 1)], "page_idx bigint, n bigint")
+    assert collect(paging.page_gaps(wide)) == [(1, 4_999_999, 4_999_999)]
     whole = spark.createDataFrame([(0, 10), (1, 2)], "page_idx bigint, n bigint")
     assert collect(paging.page_gaps(whole)) == []
 

@@ -62,16 +62,17 @@ def test_quarantine_splits_all_rows(people, tmp_path):
 
 def test_gate(spark):
     runs = spark.createDataFrame(
-        [("s", "ok", "d", "A", 5, "success"), ("s", "ok", "d", "B", 5, "success"),
-         ("s", "empty", "d", "A", 0, "success"), ("s", "half", "d", "A", 9, "success"),
-         ("s", "half", "d", "B", None, "failed")],
+        [("s", "ok", "d", "A", 5, "success", "2"), ("s", "ok", "d", "B", 5, "success", "2"),
+         ("s", "ok", "d", "A", 5, "success", "1"), ("s", "ok", "d", "B", None, "failed", "1"),
+         ("s", "empty", "d", "A", 0, "success", "1"), ("s", "half", "d", "A", 9, "success", "1"),
+         ("s", "half", "d", "B", None, "failed", "1")],
         "source string, dataset_name string, ingestion_date string, endpoint string, "
-        "n_records bigint, status string")
+        "n_records bigint, status string, ingestion_datetime string")
     summary = quality.run_summary(runs)
     gates = {r.dataset_name: (r.n_endpoints, r.total_records, r.gate)
              for r in quality.run_gate(summary).collect()}
     assert gates == {"ok": (2, 10, "pass"), "empty": (1, 0, "warn"), "half": (2, 9, "fail")}
-    with pytest.raises(ValueError, match="half"):
+    with pytest.raises(ValueError, match="half d is failed"):
         quality.enforce_gate(summary)
     quality.enforce_gate(summary.where("dataset_name <> 'half'"))
 

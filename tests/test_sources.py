@@ -36,6 +36,38 @@ def test_envelope_without_the_array(spark, tmp_path):
     assert collect(readers.read_envelope(spark, path)) == [("GM1",)]
 
 
+def test_damaged_documents_fail_or_are_listed(spark, tmp_path):
+    good = json.dumps({"value": [{"RegioS": "a"}]})
+    put(tmp_path / "d", "1.json", good)
+    put(tmp_path / "d", "2.json", '{"value": [{"RegioS": "b"}, {"Reg')
+    put(tmp_path / "d", "3.json", '{"error": "busy"}')
+    path = put(tmp_path / "d", "4.json", "")
+    with pytest.raises(Exception, match="without 'value'"):
+        readers.read_envelope(spark, path, ROW).collect()
+    rows = readers.read_envelope(spark, path, ROW, skip_damaged=True)
+    assert [r.RegioS for r in rows.collect()] == ["a"]
+    found = readers.damaged_documents(spark, path, ROW).collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.reason) for r in found) == [
+        ("2.json", "not JSON"), ("3.json", "no value"), ("4.json", "empty")]
+    assert sorted(r.text == "" for r in readers.read_payloads(spark, path).collect()) == [
+        False, False, False, True]
+
+
+def test_cut_off_page_fails(spark, tmp_path):
+    put(tmp_path / "c", "part-00000.json", '[{"RegioS": "a"}]')
+    path = put(tmp_path / "c", "part-00001.json", '[{"RegioS": "b"}, {"Reg')
+    with pytest.raises(Exception, match="not JSON"):
+        readers.read_pages(spark, path, ROW).collect()
+    assert [r.RegioS for r in readers.read_pages(spark, path, ROW, skip_damaged=True).collect()] == ["a"]
+
+
+def test_commented_csv_keeps_nulls_and_commas(spark, tmp_path):
+    rows = [(1, None, 3, "x"), (2, 5, None, "a,b"), (3, 4, 5, 'say "hi" \\'), (4, None, None, None)]
+    df = spark.createDataFrame(rows, "a int, b int, c int, d string")
+    landing.land_commented_csv(df, str(tmp_path / "csv"))
+    assert collect(readers.read_commented_csv(spark, str(tmp_path / "csv"), df.schema)) == sorted(rows, key=repr)
+
+
 def test_page_parts(spark, tmp_path):
     put(tmp_path / "p", "part-00000.json", json.dumps([{"RegioS": "a"}, {"RegioS": "b"}]))
     path = put(tmp_path / "p", "part-00001.json", json.dumps([{"RegioS": "c"}]))
