@@ -9,8 +9,8 @@ are then compared exactly, so a reported link is one of Jaccard similarity 0.8 o
 
 Exact copies are collapsed first and never meet again. In a bucket, the member that shares
 most bands with others is compared with the rest, so a group of n near copies costs n
-comparisons. Texts that still share a bucket with another class after two such rounds meet by
-an exact prefix filter: with shingles ordered from rare to frequent, two similar texts share
+comparisons. Texts that still share a bucket with another class after that meet by an exact
+prefix filter: with shingles ordered from rare to frequent, two similar texts share
 one of their first few, which are mostly a text's own and seldom a common passage's.
 """
 
@@ -32,7 +32,6 @@ WORDS = 5
 THRESHOLD = 0.8
 BANDS = 24
 ROWS = 4
-ROUNDS = 2
 CELLS = 1 << 18  # of the table of shingle counts
 
 
@@ -47,7 +46,7 @@ class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
@@ -108,8 +107,8 @@ def _keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
-            for at in range(0, whole.num_rows, 1_000):
-                batch = whole.slice(at, 1_000)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
                 keys = band_keys(batch.column(1).to_pylist(), hashes, bands, rows)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "keys"])
@@ -244,35 +243,27 @@ def near_classes(spark: SparkSession, docs: DataFrame, threshold: float = THRESH
                   .groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(
                       F.collect_list("shingles")))).alias("shingles")), "shingle-sets")
 
-    links = spark.createDataFrame([], f"a {docs.schema['doc_id'].dataType.simpleString()}, "
-                                      f"b {docs.schema['doc_id'].dataType.simpleString()}")
-    labels = degree.select(F.col("doc_id").alias("node"), F.col("doc_id").alias("component"))
-    tested = links
-    rest = staged(spark, member.withColumn("component", F.col("doc_id")), "rest")
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            # The member with most company, of those that did not lead before, leads.
-            lead = staged(spark, rest.groupBy("key").agg(
-                F.max(F.struct("degree", F.negative("doc_id").alias("low"))).alias("top")), "leads")
-            pairs = rest.join(lead, "key").select(
-                F.negative("top.low").alias("lead"), "doc_id").where("lead != doc_id")
-            pairs = pairs.select(F.least("lead", "doc_id").alias("a"),
-                                 F.greatest("lead", "doc_id").alias("b"))
-        else:
-            left = rest.select("doc_id", "component").distinct().join(sets, "doc_id")
-            pairs = _prefix_pairs(spark, staged(spark, left, "residue"), threshold)
-        pairs = staged(spark, pairs.distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        tested = tested.unionByName(pairs)
-        links = links.unionByName(staged(spark, _verified(pairs, sets, threshold), "links"))
-        labels = components(spark, links)
-        if turn < ROUNDS:
-            now = member.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left") \
-                .withColumn("component", F.coalesce("component", "doc_id"))
-            mixed = now.groupBy("key").agg(F.min("component").alias("low"),
-                                           F.max("component").alias("high")).where("low != high")
-            rest = staged(spark, now.join(mixed.select("key"), "key", "left_semi"), "rest")
-            if turn == ROUNDS - 1 and rest.limit(1).count() == 0:
-                break
+    # In each bucket the member with most company leads, and is compared with the others.
+    lead = staged(spark, member.groupBy("key").agg(
+        F.max(F.struct("degree", F.negative("doc_id").alias("low"))).alias("top")), "leads")
+    pairs = member.join(lead, "key").select(
+        F.negative("top.low").alias("lead"), "doc_id").where("lead != doc_id").select(
+        F.least("lead", "doc_id").alias("a"), F.greatest("lead", "doc_id").alias("b"))
+    links = staged(spark, _verified(pairs.distinct(), sets, threshold), "links")
+    labels = components(spark, links)
+
+    # Members of a bucket that are in different classes now meet by the prefix filter.
+    now = staged(spark, member.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+                 .select("key", "doc_id", F.coalesce("component", "doc_id").alias("component")), "now")
+    mixed = now.groupBy("key").agg(F.min("component").alias("low"),
+                                   F.max("component").alias("high")).where("low != high")
+    left = now.join(mixed.select("key"), "key", "left_semi").select("doc_id", "component").distinct()
+    left = staged(spark, left.join(sets, "doc_id"), "residue")
+    more = staged(spark, _verified(_prefix_pairs(spark, left, threshold).distinct(), sets, threshold),
+                  "links")
+    if more.limit(1).count():
+        labels = components(spark, links.unionByName(more))
+
     near = copies.join(labels.withColumnRenamed("node", "keep_id"), "keep_id", "left").select(
         "doc_id", F.coalesce("component", "keep_id").alias("class_id"), "kept")
     near = staged(spark, near, "classes")
