@@ -576,6 +576,18 @@ def assign_region_grid(spark, d):
         "vec_id", "region_id")
 
 
+@query
+def assign_region_levels(spark, d):
+    """Small boxes inside one that is a thousand cells wide: no box is listed in many cells."""
+    points = table(spark, d, "embeddings").select(
+        "vec_id", F.element_at("embedding", 1).cast("double").alias("x"),
+        F.element_at("embedding", 2).cast("double").alias("y"))
+    wide = spark.range(1).select(F.lit("wide").alias("region_id"), *[
+        F.lit(v).alias(c) for c, v in (("x_min", -62.5), ("x_max", 62.5), ("y_min", -62.5), ("y_max", 0.0))])
+    return joins.assign_region(points, _boxes(spark).unionByName(wide), "x", "y", cell=0.125).select(
+        "vec_id", "region_id")
+
+
 def _boxes(spark: SparkSession) -> DataFrame:
     """4 x 4 boxes over [-0.25, 0.25) squared, so that some points lie in none."""
     side, low = 0.125, -0.25
@@ -932,6 +944,17 @@ def stream_minute_facts(spark, d):
     return _zoneless(facts, "minute")
 
 
+@query
+def stream_minute_facts_compacted(spark, d):
+    """The same sink read from a snapshot of its first batch and the batches after it."""
+    out = scratch_path(spark, "stream-compacted")
+    streams.stream_minute_facts(_timed(_event_stream(spark, d)), "ts", ["event_type"], "value",
+                                "31 days", f"{out}/facts", f"{out}/checkpoint").awaitTermination()
+    keys = ["minute", "event_type"]
+    streams.write_update_snapshot(spark, f"{out}/facts", keys, f"{out}/snapshot", 0)
+    return _zoneless(streams.read_updates(spark, f"{out}/facts", keys, f"{out}/snapshot", 0), "minute")
+
+
 @query
 def stream_dedupe(spark, d):
     """Every event delivered twice, by two sources, kept once."""

@@ -1,4 +1,4 @@
-"""Command line: load one date into silver and rebuild gold.
+"""Command line: load one date into silver, pass the gate, refresh snapshots, rebuild gold.
 
     spark-submit -m polderlake.plans.daily --bronze ... --silver ... --gold ... [--date ...]
 """
@@ -8,9 +8,14 @@ from __future__ import annotations
 import argparse
 from datetime import datetime, timezone
 
+from pyspark.sql import functions as F
+
+from polderlake.operators.quality import enforce_gate, run_summary
 from polderlake.plans.gold import build_gold
-from polderlake.plans.silver import FEED_READERS, build_date
-from polderlake.session import build_session
+from polderlake.plans.silver import FEED_READERS, build_date, refresh_all
+from polderlake.session import build_session, clear_scratch
+from polderlake.sources.readers import read_silver
+from polderlake.sources.tables import RUN_SCHEMA
 
 
 def main(argv: list[str] | None = None) -> dict[str, int]:
@@ -26,9 +31,16 @@ def main(argv: list[str] | None = None) -> dict[str, int]:
                         help="feeds to leave out")
     args = parser.parse_args(argv)
     spark = build_session("polderlake-daily")
-    counts = build_date(spark, args.bronze, args.silver, args.date, now, args.runs, args.layout,
-                        {name: None for name in args.skip})
-    return {**counts, **build_gold(spark, args.silver, args.gold, now)}
+    try:
+        counts = build_date(spark, args.bronze, args.silver, args.date, now, args.runs, args.layout,
+                            {name: None for name in args.skip})
+        if args.runs:
+            runs = read_silver(spark, args.runs, RUN_SCHEMA)
+            enforce_gate(run_summary(runs.where(F.col("ingestion_date") == args.date)))
+        as_of = refresh_all(spark, args.silver, args.date)
+        return {**counts, **build_gold(spark, args.silver, args.gold, now, as_of)}
+    finally:
+        clear_scratch(spark)
 
 
 if __name__ == "__main__":

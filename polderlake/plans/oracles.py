@@ -212,6 +212,13 @@ WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
     "dq_referential_report": """SELECT 'referential' AS "check", 'documents' AS dataset,
   'doc_id' AS "column", COUNT(*) AS n_bad, COUNT(*) = 0 AS passed FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
+    "assign_region_levels": """WITH boxes AS (
+  SELECT printf('box-%02d', i) AS region_id, (i // 4) * 0.125::DOUBLE - 0.25::DOUBLE AS x0,
+         (i // 4) * 0.125::DOUBLE - 0.125::DOUBLE AS x1,
+         (i % 4) * 0.125::DOUBLE - 0.25::DOUBLE AS y0, (i % 4) * 0.125::DOUBLE - 0.125::DOUBLE AS y1
+  FROM range(16) t(i) UNION ALL SELECT 'wide', -62.5, 62.5, -62.5, 0),
+points AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)
+SELECT vec_id, region_id FROM points LEFT JOIN boxes ON x >= x0 AND x < x1 AND y >= y0 AND y < y1""",
     "assign_region_grid": """WITH boxes AS (
   SELECT printf('box-%02d', i) AS region_id, (i // 4) * 0.125::DOUBLE - 0.25::DOUBLE AS x0,
          (i % 4) * 0.125::DOUBLE - 0.25::DOUBLE AS y0 FROM range(16) t(i)),
@@ -365,6 +372,7 @@ GROUP BY 1, 2""",
     "stream_layers": """SELECT 'bronze' AS layer, event_type, COUNT(*) AS n FROM events GROUP BY 2
 UNION ALL SELECT 'silver', event_type, COUNT(*) FROM events WHERE event_type <> 'error' GROUP BY 2""",
     "stream_minute_facts": MINUTES,
+    "stream_minute_facts_compacted": MINUTES,
     "stream_dedupe": "SELECT * FROM events",
     "stream_upsert_latest": LATEST_EVENT,
     # whole pipeline

@@ -92,6 +92,28 @@ def refresh_current(spark: SparkSession, spec: DatasetSpec, silver_root: str, as
     return out
 
 
+def snapshot_dates(spark: SparkSession, spec: DatasetSpec, silver_root: str) -> list[str]:
+    """The dates for which ``refresh_current`` left a snapshot, in order."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(current_path(silver_root, spec, "*"))
+    fs = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName().partition("=")[2] for s in fs.globStatus(pattern) or [])
+
+
+def refresh_all(spark: SparkSession, silver_root: str, ingestion_date: str) -> str:
+    """Snapshots of the statistics after the load of a date; returns the date they stand for.
+
+    A new date is merged into the snapshot before it. When later dates were
+    loaded already, the newest snapshot is ranked anew over all loads.
+    """
+    newest = max([ingestion_date, *[d for spec in STATISTICS
+                                    for d in snapshot_dates(spark, spec, silver_root)]])
+    for spec in STATISTICS:
+        earlier = [d for d in snapshot_dates(spark, spec, silver_root) if d < ingestion_date]
+        previous = earlier[-1] if earlier and newest == ingestion_date else None
+        refresh_current(spark, spec, silver_root, newest, previous)
+    return newest
+
+
 def build_feed_silver(spark: SparkSession, spec: DatasetSpec,
                       read: Callable[[SparkSession, str], DataFrame], bronze_root: str,
                       silver_root: str, ingestion_date: str, run_ts: datetime,

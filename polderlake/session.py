@@ -44,7 +44,7 @@ def scratch_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if configured is None:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         configured = _local_roots.setdefault(
             sc.applicationId, tempfile.mkdtemp(prefix="polderlake-"))
@@ -53,6 +53,13 @@ def scratch_root(spark: SparkSession) -> str:
     return configured.rstrip("/")
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove what this application staged below the shared scratch folder."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(
+        f"{scratch_root(spark)}/polderlake/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared scratch folder."""
     app = spark.sparkContext.applicationId

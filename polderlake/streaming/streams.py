@@ -75,15 +75,19 @@ def stream_to_silver(stream: DataFrame, to_silver: Transform, silver: str, check
 
 
 def deduplicated(stream: DataFrame, keys: Sequence[str], ts: str, delay: str,
-                 salts: int | None = 16) -> DataFrame:
+                 salts: int | None = 0) -> DataFrame:
     """First arrival per key within the watermark.
 
-    With ``salts`` copies are first dropped per (key, salt) and then per key:
-    the copies of one key spread over several state partitions, and the last
-    step sees at most ``salts`` of them. The price is a second, equally large
-    state; pass ``None`` where no key is repeated much.
+    Copies are first dropped per (key, salt) and then per key: the copies of
+    one key spread over as many state partitions as there are salts, by
+    default as many as shuffle partitions, and the last step sees at most that
+    many of them. The price is a second, equally large state; pass ``None``
+    where no key is repeated much. Which of the copies that arrive in one batch
+    stays is arbitrary when they differ in other columns.
     """
     marked = stream.withWatermark(ts, delay)
+    if salts == 0:
+        salts = int(stream.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if salts:
         salt = F.pmod(F.xxhash64(*comparable(stream), F.spark_partition_id()), F.lit(salts))
         marked = (marked.withColumn("_salt", salt)
@@ -92,7 +96,7 @@ def deduplicated(stream: DataFrame, keys: Sequence[str], ts: str, delay: str,
 
 
 def stream_dedupe(stream: DataFrame, keys: Sequence[str], ts: str, delay: str, out: str,
-                  checkpoint: str, salts: int | None = 16,
+                  checkpoint: str, salts: int | None = 0,
                   available_now: bool = True) -> StreamingQuery:
     deduped = deduplicated(stream, keys, ts, delay, salts)
     return _run(deduped.writeStream.format("parquet").option("path", out).outputMode("append"),
@@ -135,9 +139,29 @@ def read_batches(spark: SparkSession, path: str, schema: StructType | str | None
     return reader.option("basePath", path).parquet(path)
 
 
-def read_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """Newest version of each key of an update-mode sink: the one of the last batch."""
-    return dedupe_latest(read_batches(spark, path), keys, "batch_id").drop("batch_id")
+def read_updates(spark: SparkSession, path: str, keys: Sequence[str],
+                 snapshot: str | None = None, snapshot_batch: int | None = None) -> DataFrame:
+    """Newest version of each key of an update-mode sink: the one of the last batch.
+
+    With a snapshot only the batches after ``snapshot_batch`` are read next to it.
+    """
+    rows = read_batches(spark, path)
+    if snapshot is not None:
+        rows = spark.read.parquet(snapshot).unionByName(rows.where(F.col("batch_id") > snapshot_batch))
+    return dedupe_latest(rows, keys, "batch_id").drop("batch_id")
+
+
+def write_update_snapshot(spark: SparkSession, path: str, keys: Sequence[str], out: str,
+                          last_batch: int, snapshot: str | None = None,
+                          snapshot_batch: int | None = None) -> None:
+    """Resolve the updates up to ``last_batch`` once, from an earlier snapshot where there is one.
+
+    The batch of each row is kept, so later updates still win over it.
+    """
+    rows = read_batches(spark, path).where(F.col("batch_id") <= last_batch)
+    if snapshot is not None:
+        rows = spark.read.parquet(snapshot).unionByName(rows.where(F.col("batch_id") > snapshot_batch))
+    dedupe_latest(rows, keys, "batch_id").write.mode("overwrite").parquet(out)
 
 
 def read_latest(spark: SparkSession, path: str, keys: Sequence[str], order_by: Sequence[str],

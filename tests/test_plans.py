@@ -183,6 +183,23 @@ def test_daily_job(spark, tmp_path):
     assert collect(runs.where("status = 'failed'").select("dataset_name")) == [("traffic_flow",)]
 
 
+def test_daily_job_keeps_snapshots(spark, tmp_path):
+    root = str(tmp_path)
+    args = ["--bronze", f"{root}/b", "--silver", f"{root}/s", "--gold", f"{root}/g", "--skip",
+            "addresses", "weather_stations", "traffic_flow", "--date"]
+    for date, value in (("2024-02-01", "250"), ("2024-02-02", "260"), ("2024-02-01", "240")):
+        land(spark, f"{root}/b", "neighbourhood_key_figures",
+             [("GM1", "Aa", "Gemeente", "2020JJ00", 100, 40, D("20.5"))], date)
+        land(spark, f"{root}/b", "average_woz_value",
+             [("GM1", "Aa", "2020JJ00", D(value)), (f"GM{date[-1]}x", "B", "2020JJ00", D(value))], date)
+        land(spark, f"{root}/b", "housing_stock", [("GM1", "Aa", "2020JJ00", "flat", 3)], date)
+        land(spark, f"{root}/b", "household_income", [("GM1", "Aa", "2020JJ00", D("5"), D("4"))], date)
+        daily.main([*args, date])
+    trends = readers.read_parquet(spark, gold_path(f"{root}/g", "cbs", gold.TRENDS))
+    assert collect(trends.select("RegioS", "avg_property_value")) == [
+        ("GM1", 260.0), ("GM1x", 240.0), ("GM2x", 260.0)]
+
+
 FORBIDDEN = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython",
              "MapInPandas", "PythonMapInArrow", "SortAggregate")
 # Text keys of distinct rows are hashed, and the string extremes of summaries are few.
