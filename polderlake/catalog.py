@@ -178,6 +178,18 @@ FEEDS = (
                 schema=StructType()),
 )
 
+# Names of the feeds that land as GeoJSON, commented CSV and XML.
+LANDED_FEEDS = (
+    DatasetSpec(source="pdok", name="bag_pand", silver_table="silver_pdok_bag_pand",
+                schema=StructType()),
+    DatasetSpec(source="pdok", name="bag_verblijfsobject",
+                silver_table="silver_pdok_bag_verblijfsobject", schema=StructType()),
+    DatasetSpec(source="knmi", name="daily_weather_all_stations",
+                silver_table="silver_knmi_daily_weather_all_stations", schema=StructType()),
+    DatasetSpec(source="ndw", name="current_traffic_sample",
+                silver_table="silver_ndw_current_traffic_sample", schema=StructType()),
+)
+
 # Days back for the weather feed's relative window.
 WEATHER_START_DAYS_AGO = 7
 WEATHER_END_DAYS_AGO = 1

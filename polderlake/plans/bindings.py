@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polderlake.catalog import (DEFAULT_EXTENSION, EXTENSIONS, STATISTICS, DatasetSpec,
+from polderlake.catalog import (DEFAULT_EXTENSION, EXTENSIONS, LANDED_FEEDS, STATISTICS, DatasetSpec,
                                 bronze_path, gold_path, load_catalog, schema_of,
                                 silver_path)
 from polderlake.functions import scalars as fn
@@ -22,7 +22,8 @@ from polderlake.operators import dedupe, incremental, joins, monitor, paging, qu
 from polderlake.operators.normalize import (cast_columns, drop_invalid, flatten_envelope,
                                             rename_columns, tag_gold, tag_lineage)
 from polderlake.plans import gold as gold_plan
-from polderlake.plans.silver import build_silver, refresh_current
+from polderlake.plans.silver import (LANDED_READERS, build_feed_silver, build_silver,
+                                     refresh_current)
 from polderlake.session import scratch_path
 from polderlake.sources import landing, readers, tables
 from polderlake.streaming import streams
@@ -1003,6 +1004,27 @@ def _land_statistics(spark: SparkSession, d: str, bronze: str, ingestion_date: s
         landing.land_envelopes(rows, path)
 
 
+@query
+def landed_feeds(spark, d):
+    """GeoJSON, commented CSV and XML from bronze to silver; values come back from each."""
+    root = scratch_path(spark, "landed-feeds")
+    pand, _, weather, traffic = LANDED_FEEDS
+    folder = lambda spec: f"{bronze_path(root, spec)}/ingestion_date=2024-02-01"
+    suppliers = table(spark, d, "supplier")
+    landing.land_geojson(suppliers, f"{folder(pand)}/data.json", "s_suppkey", "s_suppkey", "s_acctbal")
+    landing.land_xml(suppliers, f"{folder(traffic)}/raw_data.xml", "measurement", "measurements")
+    landing.land_commented_csv(table(spark, d, "events").select("event_id", "user_id", "value"),
+                               f"{folder(weather)}/raw_data.csv")
+    for spec in (pand, weather, traffic):
+        build_feed_silver(spark, spec, LANDED_READERS[spec.name], root, f"{root}/silver", "2024-02-01",
+                          RUN_TS)
+    silver = lambda spec, key: readers.read_silver(spark, silver_path(f"{root}/silver", spec)).agg(
+        F.count("*").alias("n"), F.sum(F.expr(key).cast("long")).alias("keys")).select(
+        F.lit(spec.name).alias("feed"), "n", "keys")
+    return silver(pand, "properties['s_suppkey']").unionByName(silver(weather, "event_id")).unionByName(
+        silver(traffic, "s_suppkey"))
+
+
 @query
 def medallion_market(spark, d):
     """Bronze to silver to gold for the catalogue; the housing stock is loaded twice."""

@@ -376,6 +376,10 @@ UNION ALL SELECT 'silver', event_type, COUNT(*) FROM events WHERE event_type <>
     "stream_dedupe": "SELECT * FROM events",
     "stream_upsert_latest": LATEST_EVENT,
     # whole pipeline
+    "landed_feeds": """SELECT 'bag_pand' AS feed, COUNT(*) AS n, CAST(SUM(s_suppkey) AS BIGINT) AS keys
+FROM supplier UNION ALL SELECT 'daily_weather_all_stations', COUNT(*), CAST(SUM(event_id) AS BIGINT)
+FROM events UNION ALL SELECT 'current_traffic_sample', COUNT(*), CAST(SUM(s_suppkey) AS BIGINT)
+FROM supplier""",
     "medallion_market": f"""WITH {ORC},
 worth AS (SELECT o_custkey, period_code, MAX(o_totalprice) AS worth FROM orc GROUP BY 1, 2),
 stock AS (SELECT o_custkey, period_code, o_orderpriority, COUNT(*) AS n FROM orc GROUP BY 1, 2, 3)

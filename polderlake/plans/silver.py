@@ -14,8 +14,9 @@ from polderlake.operators.dedupe import dedupe_latest, latest_snapshot
 from polderlake.operators.incremental import upsert
 from polderlake.operators.joins import lookup
 from polderlake.operators.normalize import conform, drop_invalid, rename_columns, tag_lineage
-from polderlake.sources.readers import (read_commented_csv, read_envelope, read_json_files,
-                                        read_pages, read_parquet, read_partition, read_silver)
+from polderlake.sources.readers import (comment_names, read_commented_csv, read_envelope,
+                                        read_feature_maps, read_json_files, read_pages, read_parquet,
+                                        read_partition, read_silver)
 from polderlake.sources.tables import load_partitions, observed, run_record, write_gold, write_run
 
 
@@ -147,31 +148,51 @@ def load_counted(spark: SparkSession, build: Callable[[], DataFrame], spec: Data
 
 
 def _weather(spark: SparkSession, path: str) -> DataFrame:
-    return read_commented_csv(spark, f"{path}/*.csv")
+    """Text columns, named by the comment line that lists them: types inferred from one date's
+    values would clash with those of another."""
+    rows = read_commented_csv(spark, f"{path}/*.csv", infer=False)
+    names = comment_names(spark, f"{path}/*.csv")
+    return rows.toDF(*names) if names and len(names) == len(rows.columns) else rows
+
+
+def _features(spark: SparkSession, path: str) -> DataFrame:
+    return read_feature_maps(spark, f"{path}/data.json")
+
+
+def xml_rows(row_tag: str) -> Callable[[SparkSession, str], DataFrame]:
+    """A reader of ``raw_data.xml`` whose rows are the elements of that tag, as text columns."""
+    def read(spark: SparkSession, path: str) -> DataFrame:
+        return spark.read.format("xml").option("rowTag", row_tag).option("mode", "FAILFAST").option(
+            "inferSchema", False).load(f"{path}/raw_data.xml")
+    return read
 
 
 def _traffic(spark: SparkSession, path: str) -> DataFrame:
     return read_json_files(spark, f"{path}/*.json")
 
 
+LANDED_READERS = {"bag_pand": _features, "bag_verblijfsobject": _features,
+                  "daily_weather_all_stations": _weather,
+                  "current_traffic_sample": xml_rows("measurement")}
 FEED_READERS = {"addresses": read_parquet, "weather_stations": _weather, "traffic_flow": _traffic}
 
 
 def build_date(spark: SparkSession, bronze_root: str, silver_root: str, ingestion_date: str,
                run_ts: datetime, runs: str | None = None, layout: str = "envelope",
-               readers: dict[str, Callable[[SparkSession, str], DataFrame]] | None = None
-               ) -> dict[str, int]:
+               readers: dict[str, Callable[[SparkSession, str], DataFrame]] | None = None,
+               feeds: Sequence[DatasetSpec] = FEEDS) -> dict[str, int]:
     """Load one date of all datasets: statistics, which must succeed, then the feeds.
 
     The feeds do not depend on each other: all are tried before the first
     failure is raised. ``readers`` replaces feed readers, for instance by ones
-    with a schema; a feed mapped to None is left out.
+    with a schema; a feed mapped to None is left out. ``feeds`` are the
+    catalogue's ``FEEDS``, its ``LANDED_FEEDS``, or both.
     """
     counts = {spec.name: build_silver(spark, spec, bronze_root, silver_root, ingestion_date,
                                       run_ts, runs, layout) for spec in STATISTICS}
     failure: Exception | None = None
-    for spec in FEEDS:
-        read = {**FEED_READERS, **(readers or {})}[spec.name]
+    for spec in feeds:
+        read = {**FEED_READERS, **LANDED_READERS, **(readers or {})}[spec.name]
         if read is None:
             continue
         try:

@@ -142,17 +142,18 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
 
 def read_commented_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
                        comment: str = "#", header: bool = False,
-                       mode: str = "FAILFAST") -> DataFrame:
+                       mode: str = "FAILFAST", infer: bool = True) -> DataFrame:
     """CSV whose comment lines and blank lines are no data and whose values are padded.
 
     A value is null when nothing stands between its commas; malformed lines fail.
+    With ``infer=False`` and no schema all columns are text.
     """
     reader = (spark.read
               .option("comment", comment)
               .option("header", header)
               .option("ignoreLeadingWhiteSpace", True)
               .option("ignoreTrailingWhiteSpace", True))
-    reader = reader.schema(_as_schema(schema)) if schema else reader.option("inferSchema", True)
+    reader = reader.schema(_as_schema(schema)) if schema else reader.option("inferSchema", infer)
     return reader.option("mode", mode).csv(path)
 
 
@@ -180,6 +181,27 @@ def read_geojson(spark: SparkSession, path: str, properties: StructType | str,
         *[F.col(f"properties.`{f.name}`").alias(f.name) for f in props.fields])
 
 
+def read_feature_maps(spark: SparkSession, path: str) -> DataFrame:
+    """GeoJSON of any properties: id, geometry type, geometry as JSON, properties as a map of text.
+
+    The columns do not depend on the data, so loads of different dates always fit together.
+    """
+    docs = spark.read.option("multiLine", True).schema(
+        "features array<struct<id: string, geometry: struct<type: string, coordinates: string>, "
+        "properties: map<string, string>>>").json(path)
+    return _features(docs).select(
+        F.col("id").alias("feature_id"), F.col("geometry.type").alias("geometry_type"),
+        F.col("geometry.coordinates").alias("coordinates"), "properties")
+
+
+def comment_names(spark: SparkSession, path: str, comment: str = "#") -> list[str] | None:
+    """Column names from the comment line that lists them, None where no comment has a comma."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line")).where(
+        F.startswith("line", F.lit(comment)) & F.contains("line", F.lit(",")))
+    first = lines.limit(1).collect()
+    return [n.strip() for n in first[0]["line"].lstrip(comment).split(",")] if first else None
+
+
 def _features(docs: DataFrame) -> DataFrame:
     checked: Column = F.when(
         F.col("features").isNull(),
