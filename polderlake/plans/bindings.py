@@ -145,8 +145,7 @@ def read_csv_header(spark, d):
 
 @query
 def read_commented_csv(spark, d):
-    df = table(spark, d, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    path = scratch_path(spark, "weather")
+    df, path = table(spark, d, "events"), scratch_path(spark, "weather")
     landing.land_commented_csv(df, path)
     return readers.read_commented_csv(spark, path, df.schema)
 
@@ -1025,8 +1024,7 @@ def landed_feeds(spark, d):
         silver(traffic, "s_suppkey"))
 
 
-@query
-def medallion_market(spark, d):
+def _medallion(spark: SparkSession, d: str) -> str:
     """Bronze to silver to gold for the catalogue; the housing stock is loaded twice."""
     root = scratch_path(spark, "medallion")
     runs = f"{root}/runs"
@@ -1034,4 +1032,21 @@ def medallion_market(spark, d):
     for spec in [*load_catalog(STATISTICS).values(), STATISTICS[2]]:
         build_silver(spark, spec, f"{root}/bronze", f"{root}/silver", "2024-02-01", RUN_TS, runs)
     gold_plan.build_gold(spark, f"{root}/silver", f"{root}/gold", RUN_TS)
-    return readers.read_parquet(spark, gold_path(f"{root}/gold", "cbs", gold_plan.MARKET))
+    return f"{root}/gold"
+
+
+@query
+def medallion_market(spark, d):
+    return readers.read_parquet(spark, gold_path(_medallion(spark, d), "cbs", gold_plan.MARKET))
+
+
+@query
+def medallion_tables(spark, d):
+    """Rows and regions of all five gold tables."""
+    root = _medallion(spark, d)
+    groups = {gold_plan.NEIGHBOURHOOD: "cbs", gold_plan.TRENDS: "cbs", gold_plan.MARKET: "cbs",
+              gold_plan.SOCIO: "cbs", gold_plan.DASHBOARD: "consolidated"}
+    return reduce(DataFrame.unionByName, [
+        readers.read_parquet(spark, gold_path(root, group, name)).groupBy("gold_table").agg(
+            F.count("*").alias("n"), F.count_distinct("RegioS").alias("n_regions"))
+        for name, group in groups.items()])

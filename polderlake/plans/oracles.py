@@ -99,7 +99,7 @@ ORACLES: dict[str, str] = {
     "read_envelope_lines": "SELECT * FROM orders",
     "read_paged_json": "SELECT * FROM orders",
     "read_csv_header": "SELECT * FROM part",
-    "read_commented_csv": "SELECT event_id, ts, user_id, event_type, value FROM events",
+    "read_commented_csv": "SELECT * FROM events",
     "read_geojson_features": """SELECT CAST(s_suppkey AS VARCHAR) AS feature_id,
   'Point' AS geometry_type, CAST(s_suppkey AS DOUBLE) AS x, s_acctbal AS y, * FROM supplier""",
     "read_xml_rows": "SELECT * FROM supplier",
@@ -380,6 +380,16 @@ UNION ALL SELECT 'silver', event_type, COUNT(*) FROM events WHERE event_type <>
 FROM supplier UNION ALL SELECT 'daily_weather_all_stations', COUNT(*), CAST(SUM(event_id) AS BIGINT)
 FROM events UNION ALL SELECT 'current_traffic_sample', COUNT(*), CAST(SUM(s_suppkey) AS BIGINT)
 FROM supplier""",
+    "medallion_tables": f"""WITH {ORC},
+facts AS (SELECT COUNT(*) AS n, COUNT(DISTINCT o_custkey) AS n_regions
+          FROM (SELECT DISTINCT o_custkey, period_code FROM orc)),
+stock AS (SELECT COUNT(*) AS n, COUNT(DISTINCT o_custkey) AS n_regions
+          FROM (SELECT DISTINCT o_custkey, period_code, o_orderpriority FROM orc))
+SELECT 'gold_cbs_neighbourhood_analysis' AS gold_table, * FROM facts
+UNION ALL SELECT 'gold_cbs_property_value_trends', * FROM facts
+UNION ALL SELECT 'gold_cbs_socioeconomic_indicators', * FROM facts
+UNION ALL SELECT 'gold_regional_dashboard', * FROM facts
+UNION ALL SELECT 'gold_cbs_housing_market_analysis', * FROM stock""",
     "medallion_market": f"""WITH {ORC},
 worth AS (SELECT o_custkey, period_code, MAX(o_totalprice) AS worth FROM orc GROUP BY 1, 2),
 stock AS (SELECT o_custkey, period_code, o_orderpriority, COUNT(*) AS n FROM orc GROUP BY 1, 2, 3)
