@@ -81,6 +81,30 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _agreement(a: Column, b: Column, limit: Column, piece) -> Column:
+    """The greatest length up to a limit at which pieces of both texts are equal, by bisection."""
+    def step(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
+        same = piece(a, middle) == piece(b, middle)
+        return F.struct(F.when(same, middle).otherwise(s["low"]).alias("low"),
+                        F.when(same, s["high"]).otherwise(middle - 1).alias("high"))
+
+    rounds = F.ceil(F.log2(limit + 2)).cast("int")
+    start = F.struct(F.lit(0).alias("low"), limit.cast("int").alias("high"))
+    return F.aggregate(F.sequence(F.lit(1), rounds), start, step, lambda s: s["low"])
+
+
+def differing(a: Column, b: Column, edits: int, body) -> Column:
+    """``body`` of both texts without their common start and end, but ``edits`` + 1 letters."""
+    shorter = F.least(F.length(a), F.length(b)) - (edits + 1)
+    ends = lambda t, n: F.substring(t, F.length(t) - n + 1, n)
+    starts = lambda t, n: F.substring(t, F.lit(1), n)
+    limit = F.greatest(shorter, F.lit(0))
+    return _let(_agreement(a, b, limit, starts), lambda head: _let(
+        _agreement(a, b, limit - head, ends), lambda tail: body(*[
+            F.substring(t, head + 1, F.length(t) - head - tail) for t in (a, b)])))
+
+
 def within(a: Column, b: Column, edits: int) -> Column:
     """Whether two texts longer than ``edits`` are within so many edits (Hyyrö's banded form).
 
@@ -117,14 +141,17 @@ def within(a: Column, b: Column, edits: int) -> Column:
                                 - F.call_function("shiftright", hn, m - j + edits).bitwiseAND(long(1))
                             )).alias("far")))))
 
-            return _let(same, column)
+            # Down the diagonal the distance only grows, and each later column takes one off at
+            # most: beyond this sum the columns that are left change nothing.
+            return F.when(s["far"] > 2 * edits + n - m, s).otherwise(_let(same, column))
 
         start = F.struct(long(mask & ~((1 << edits) - 1)).alias("vp"), long(0).alias("vn"),
                          long(edits).alias("far"))
         return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: s["far"] <= edits)
 
     near = F.abs(F.length(a) - F.length(b)) <= edits
-    return near & _let(chars(a), lambda x: _let(chars(b), lambda y: compare(x, y)))
+    return near & differing(a, b, edits, lambda a, b: _let(
+        chars(a), lambda x: _let(chars(b), lambda y: compare(x, y))))
 
 
 def letters_allow(a: Column, b: Column, edits: int, letters: str = "aeinrst") -> Column:
