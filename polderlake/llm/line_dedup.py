@@ -262,7 +262,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
 
 
 def line_counts(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, text_sha256`` (of the text that stays) per row."""
+    """``doc_id, n_lines, text_sha256, n_chars_kept`` per row, the last two of the text that stays."""
     left = dedup_lines(spark, docs.select("doc_id", "text", F.size(F.split(
         text_or_empty(), "\n", -1)).cast("long").alias("n_lines")), **options)
     text = text_or_empty()
