@@ -5,74 +5,153 @@ itself, by a small window network trained here in numpy. The sum of the conditio
 probabilities is the text's pseudo-log-likelihood.
 
 The vocabulary comes from word counts over all documents: the most frequent words are tokens
-of their own, every other word falls into one of the rare-word tokens by its hash. Training
-passes over all documents once: each task trains the common start on its own share, and the
-tasks' networks are averaged, weighed by their tokens. Scoring is one more pass.
-
-Counts combine before their shuffle and grow with the corpus, as does the number of networks
-averaged; the vocabulary and the network are of fixed size, so only they are broadcast.
+of their own, every other word falls into one of the rare-word tokens by its hash. A rare word
+has the chance of its token given the window times its own share of the token's occurrences,
+so no two words are scored alike for want of room. Training passes over all documents once:
+each task trains the common start on its own share, and the tasks' networks are averaged,
+weighed by their tokens. Scoring is one more pass.
+
+The counts of all words stay a distributed table. Documents are cut into blocks of a bounded
+size; a block joins its distinct words to the table and gets back the shares that its texts
+need. Vocabulary and network grow with the number of distinct words (its square root), and
+only they are broadcast.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from polderlake.llm.common import staged
+
 SIDE = 32  # a token is a cell of a square; the network predicts its row, then its column
-VOCABULARY = SIDE * SIDE
-RARE = 64  # tokens that stand for all other words
+VOCABULARY = SIDE * SIDE  # the least; it grows with the distinct words
+RARE_SHARE = 16  # one in so many tokens stands for rarer words
+BLOCK_DOCS, BLOCK_CHARS = 2_000, 4_000_000
 OFFSETS = (-2, -1, 1, 2)
 HIDDEN = 16
 BATCH = 4_096
 RATE = 0.01
 
 
+def side_of(distinct: int) -> int:
+    """Side of the square of tokens for so many distinct words."""
+    return max(SIDE, math.ceil(distinct ** 0.25))
+
+
+def rare_tokens(side: int) -> int:
+    return side * side // RARE_SHARE
+
+
 class Tokens(dict):
     """Token of each word; unknown words are remembered up to a bound."""
 
-    def __init__(self, words: list[str]):
+    def __init__(self, words: list[str], side: int = SIDE):
         super().__init__((w, i) for i, w in enumerate(words))
         self.known = dict(self)
+        self.size, self.rare = side * side, rare_tokens(side)
 
     def __missing__(self, word: str) -> int:
         if len(self) > 300_000:
             self.clear()
             self.update(self.known)
-        token = self[word] = VOCABULARY - RARE + zlib.crc32(word.encode()) % RARE
+        token = self[word] = self.size - self.rare + zlib.crc32(word.encode()) % self.rare
         return token
 
 
-def vocabulary(docs: DataFrame) -> list[str]:
+def words_of(text: str | None) -> list[str]:
+    return (text or "").lower().split()
+
+
+def pack(ids: pa.Array, texts: pa.Array) -> bytes:
+    """Documents of a block, compressed, as they cross a shuffle."""
+    batch, sink = pa.RecordBatch.from_arrays([ids, texts], ["ids", "texts"]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unpack(packed: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(packed.as_buffer()).read_next_batch()
+
+
+def blocks(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """``block, packed, words, counts``: documents in blocks, with each block's words in the
+    order in which they first occur."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            a = 0
+            while a < len(texts):
+                b, chars = a, 0
+                counts: Counter = Counter()
+                while b < len(texts) and b - a < BLOCK_DOCS and chars < BLOCK_CHARS:
+                    counts.update(words_of(texts[b]))
+                    chars += len(texts[b] or "")
+                    b += 1
+                one = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int64()),
+                     pa.array([pack(batch.column(0).slice(a, b - a), pa.array(texts[a:b], pa.string()))]),
+                     one(pa.array(list(counts), pa.string())),
+                     one(pa.array(list(counts.values()), pa.int64()))],
+                    ["block", "packed", "words", "counts"])
+                block, a = block + 1, b
+
+    return staged(spark, docs.select("doc_id", "text").mapInArrow(
+        run, "block long, packed binary, words array<string>, counts array<long>"), "lm-blocks")
+
+
+def word_counts(spark: SparkSession, cut: DataFrame) -> DataFrame:
+    """``word, n``: the occurrences of every word of the corpus."""
+    each = cut.select(F.explode(F.arrays_zip("words", "counts")).alias("w"))
+    return staged(spark, each.groupBy(F.col("w.words").alias("word")).agg(
+        F.sum("w.counts").alias("n")), "lm-words")
+
+
+def vocabulary(counts: DataFrame, side: int) -> list[str]:
     """The most frequent words of all documents, ties by the word."""
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce("text", F.lit(""))), r"\s+")).alias("word"))
-    counts = words.where("word != ''").groupBy("word").count()
-    return [r["word"] for r in counts.orderBy(F.desc("count"), "word")
-            .limit(VOCABULARY - RARE).collect()]
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word")
+            .limit(side * side - rare_tokens(side)).collect()]
+
+
+def shares(spark: SparkSession, counts: DataFrame, words: list[str], side: int) -> DataFrame:
+    """``word, share``: log of each rarer word's part in the occurrences of its token."""
+    known = spark.createDataFrame([(w,) for w in words], "word string")
+    rare = counts.join(F.broadcast(known), "word", "left_anti").withColumn(
+        "token", F.crc32(F.col("word").cast("binary")) % rare_tokens(side))
+    total = rare.groupBy("token").agg(F.sum("n").alias("total"))  # a row for each rare token
+    return rare.join(F.broadcast(total), "token").select(
+        "word", F.log(F.col("n") / F.col("total")).alias("share"))
 
 
 def stream(texts: list[str | None], tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Token ids with room for two neighbours around each text, places of tokens, their counts."""
     ids = [np.fromiter(map(tokens.__getitem__, words), np.int32, len(words))
-           for words in ((t or "").lower().split() for t in texts)]
-    edge = np.full(2, VOCABULARY, np.int32)
+           for words in map(words_of, texts)]
+    edge = np.full(2, tokens.size, np.int32)
     joined = np.concatenate([edge, *(x for d in ids for x in (d, edge))])
-    return joined, np.flatnonzero(joined != VOCABULARY), np.array([len(d) for d in ids])
+    return joined, np.flatnonzero(joined != tokens.size), np.array([len(d) for d in ids])
 
 
-def start() -> dict[str, np.ndarray]:
+def start(side: int = SIDE) -> dict[str, np.ndarray]:
     """The network that every task starts from."""
     r = np.random.default_rng(17)
-    return {"embed": r.normal(0, 0.1, (len(OFFSETS), VOCABULARY + 1, HIDDEN)).astype(np.float32),
+    return {"embed": r.normal(0, 0.1, (len(OFFSETS), side * side + 1, HIDDEN)).astype(np.float32),
             "bias": np.zeros(HIDDEN, np.float32),
-            "to_row": r.normal(0, 0.1, (HIDDEN, SIDE)).astype(np.float32),
-            "row": np.zeros(SIDE, np.float32),
-            "to_column": r.normal(0, 0.1, (HIDDEN, SIDE)).astype(np.float32),
-            "column": np.zeros((SIDE, SIDE), np.float32)}
+            "to_row": r.normal(0, 0.1, (HIDDEN, side)).astype(np.float32),
+            "row": np.zeros(side, np.float32),
+            "to_column": r.normal(0, 0.1, (HIDDEN, side)).astype(np.float32),
+            "column": np.zeros((side, side), np.float32)}
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -89,28 +168,28 @@ def forward(net: dict, ids: np.ndarray, at: np.ndarray):
         hidden += net["embed"][k].take(ids[at + o], axis=0)
     hidden += net["bias"]
     np.tanh(hidden, out=hidden)
-    row = ids[at] // SIDE
+    row = ids[at] // len(net["row"])
     return (hidden, _softmax(hidden @ net["to_row"] + net["row"]),
             _softmax(hidden @ net["to_column"] + net["column"].take(row, axis=0)))
 
 
 def log_chances(net: dict, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log probability of the token at each place given its neighbours."""
-    out = np.empty(len(at))
+    out, side = np.empty(len(at)), len(net["row"])
     for a in range(0, len(at), BATCH):
         part = at[a:a + BATCH]
         _, rows, columns = forward(net, ids, part)
         n, true = np.arange(len(part)), ids[part]
-        out[a:a + len(part)] = np.log(rows[n, true // SIDE] * columns[n, true % SIDE])
+        out[a:a + len(part)] = np.log(rows[n, true // side] * columns[n, true % side])
     return out
 
 
 def gradients(net: dict, ids: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     """Of the mean negative log probability."""
     hidden, rows, columns = forward(net, ids, at)
-    n, true = np.arange(len(at)), ids[at]
-    rows[n, true // SIDE] -= 1
-    columns[n, true % SIDE] -= 1
+    n, true, side = np.arange(len(at)), ids[at], len(net["row"])
+    rows[n, true // side] -= 1
+    columns[n, true % side] -= 1
     rows /= len(at)
     columns /= len(at)
     back = (net["to_row"] @ rows.T + net["to_column"] @ columns.T) * (1 - hidden.T ** 2)
@@ -118,9 +197,9 @@ def gradients(net: dict, ids: np.ndarray, at: np.ndarray) -> dict[str, np.ndarra
     for k, o in enumerate(OFFSETS):
         near = ids[at + o]
         for j in range(HIDDEN):
-            embed[k, :, j] = np.bincount(near, back[j], VOCABULARY + 1)
-    member = np.zeros((len(at), SIDE), np.float32)
-    member[n, true // SIDE] = 1
+            embed[k, :, j] = np.bincount(near, back[j], side * side + 1)
+    member = np.zeros((len(at), side), np.float32)
+    member[n, true // side] = 1
     column = member.T @ columns
     return {"embed": embed, "bias": back.sum(axis=1), "to_row": hidden.T @ rows,
             "row": rows.sum(axis=0), "to_column": hidden.T @ columns, "column": column}
@@ -147,25 +226,27 @@ class Trainer:
                 self.net[k] -= scale * self.mean[k] / (np.sqrt(self.square[k]) + 1e-8)
 
 
-def train(spark: SparkSession, docs: DataFrame, words: list[str]) -> dict[str, np.ndarray]:
+def train(spark: SparkSession, cut: DataFrame, words: list[str], side: int) -> dict[str, np.ndarray]:
     """The average of the networks that the tasks trained on their shares of all documents."""
-    shared = spark.sparkContext.broadcast(words)
+    shared = spark.sparkContext.broadcast((words, side))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, trainer = Tokens(shared.value), Trainer(start())
+        tokens, trainer = Tokens(*shared.value), Trainer(start(shared.value[1]))
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                ids, at, _ = stream(batch.column(0).slice(a, 500).to_pylist(), tokens)
-                trainer.learn(ids, at)
+            for packed in batch.column(0):
+                texts = unpack(packed).column(1)
+                for a in range(0, len(texts), 500):
+                    ids, at, _ = stream(texts.slice(a, 500).to_pylist(), tokens)
+                    trainer.learn(ids, at)
         if trainer.tokens:
             flat = np.concatenate([v.ravel() for v in trainer.net.values()]).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat * trainer.tokens),
                  pa.array(np.full(len(flat), trainer.tokens))], ["weight", "value", "tokens"])
 
-    averaged = docs.select("text").mapInArrow(run, "weight int, value double, tokens long").groupBy(
+    averaged = cut.select("packed").mapInArrow(run, "weight int, value double, tokens long").groupBy(
         "weight").agg((F.sum("value") / F.sum("tokens")).alias("value"))
-    net, at = start(), 0
+    net, at = start(side), 0
     found = {r["weight"]: r["value"] for r in averaged.collect()}  # one row per network weight
     for k, v in net.items():
         if found:
@@ -182,25 +263,39 @@ def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     not read. The network depends on how the input is split over tasks, so another layout of
     the same rows gives slightly other scores.
     """
-    docs = docs.select("doc_id", "text")
-    words = vocabulary(docs)
-    shared = spark.sparkContext.broadcast((words, train(spark, docs, words)))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    cut = blocks(spark, docs)
+    counts = word_counts(spark, cut)
+    side = side_of(counts.count())
+    words = vocabulary(counts, side)
+    shared = spark.sparkContext.broadcast((words, side, train(spark, cut, words, side)))
+    held = cut.select("block", F.posexplode("words").alias("at", "word")).join(
+        shares(spark, counts, words, side), "word").groupBy("block").agg(
+        F.collect_list("at").alias("places"), F.collect_list("share").alias("shares"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, net = shared.value
-        tokens = Tokens(words)
+        words, side, net = shared.value
+        tokens = Tokens(words, side)
         for batch in batches:
-            for a in range(0, batch.num_rows, 500):
-                part = batch.slice(a, 500)
-                ids, at, counts = stream(part.column(1).to_pylist(), tokens)
-                sums = np.concatenate([[0.0], np.cumsum(log_chances(net, ids, at))])
-                ends = np.cumsum(counts)
-                total = sums[ends] - sums[ends - counts]
-                mean = pa.array(total / np.maximum(counts, 1), mask=counts == 0)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(counts.astype(np.int64)), pa.array(total), mean],
-                    ["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_prob"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, pseudo_log_likelihood double, "
-                                "mean_log_prob double")
+            for packed, places, rare in zip(*batch.columns):
+                doc_ids, texts = unpack(packed).columns
+                distinct = list(dict.fromkeys(w for t in texts.to_pylist() for w in words_of(t)))
+                share = dict.fromkeys(distinct, 0.0)  # a frequent word is its token
+                if places.is_valid:
+                    share.update(zip(map(distinct.__getitem__, places.values.to_pylist()),
+                                     rare.values.to_pylist()))
+                for a in range(0, len(texts), 500):
+                    part = texts.slice(a, 500).to_pylist()
+                    ids, at, counts = stream(part, tokens)
+                    sums = np.concatenate([[0.0], np.cumsum(log_chances(net, ids, at))])
+                    ends = np.cumsum(counts)
+                    total = sums[ends] - sums[ends - counts]
+                    total += [math.fsum(map(share.__getitem__, words_of(t))) for t in part]
+                    mean = pa.array(total / np.maximum(counts, 1), mask=counts == 0)
+                    yield pa.RecordBatch.from_arrays(
+                        [doc_ids.slice(a, 500), pa.array(counts.astype(np.int64)),
+                         pa.array(total), mean],
+                        ["doc_id", "n_tokens", "pseudo_log_likelihood", "mean_log_prob"])
+
+    return cut.select("block", "packed").join(held, "block", "left").select("packed", "places", "shares").mapInArrow(
+        run, f"doc_id {kind}, n_tokens long, pseudo_log_likelihood double, mean_log_prob double")

@@ -51,3 +51,29 @@ def test_odd_rows_and_empty_table(spark):
     docs = odd_documents(spark)
     assert lm.score(spark, docs).count() == len(ODD)
     assert lm.score(spark, docs.limit(0)).collect() == []
+
+
+def test_words_of_one_rare_token_have_chances_of_their_own(spark):
+    common = [f"w{i}" for i in range(lm.VOCABULARY)]
+    mates: dict = {}
+    for i in range(10_000):
+        mates.setdefault(lm.Tokens([])[f"rare{i}"], []).append(f"rare{i}")
+    often, once = next(m for m in mates.values() if len(m) > 1)[:2]
+    rows = [(i, " ".join(common)) for i in range(6)] + [(10, f"w1 w2 {often} w3"), (11, f"w1 w2 {once} w3"),
+                                                        (12, f"{often} {often}")]
+    got = {r.doc_id: r.pseudo_log_likelihood for r in lm.score(spark, plain(spark, rows)).collect()}
+    assert abs(got[10] - got[11] - np.log(3)) < 1e-5
+
+
+def test_shares_of_a_rare_token_add_up_to_one(spark):
+    counts = spark.createDataFrame([(f"w{i}", i % 7 + 1) for i in range(3_000)], "word string, n long")
+    words = lm.vocabulary(counts, lm.SIDE)
+    tokens, total = lm.Tokens(words), {}
+    for r in lm.shares(spark, counts, words, lm.SIDE).collect():
+        total[tokens[r.word]] = total.get(tokens[r.word], 0.0) + np.exp(r.share)
+    assert len(total) == tokens.rare and all(abs(x - 1) < 1e-9 for x in total.values())
+
+
+def test_vocabulary_grows_with_the_distinct_words():
+    assert [lm.side_of(n) ** 2 for n in (0, 10_000, 10 ** 8)] == [1_024, 1_024, 10_000]
+    assert lm.start(40)["embed"].shape[1] == 1_601
