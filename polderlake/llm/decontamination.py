@@ -1,10 +1,12 @@
 """Benchmark decontamination: pigeonhole pieces, exact hits, Myers' bit-parallel distance.
 
 An item of length n may occur in a text with up to ``k = floor(rate * n)`` edits. Cut into
-k + 1 pieces, at least one piece then occurs unchanged, so every occurrence is found from the
-exact hits of the pieces. An Aho-Corasick automaton finds the hits of all pieces in one pass
-over a text; each hit fixes where the item would lie, and Myers' algorithm decides whether
-the item matches some part of that window within k edits.
+k + m pieces, at least m pieces then occur unchanged, and where they place the item differs by
+k at most, so every occurrence is found from the exact hits of the pieces. An Aho-Corasick
+automaton finds the hits of all pieces in one pass over a text; where enough different pieces
+agree, Myers' algorithm decides whether the item matches some part of that window within k
+edits. Long items have more pieces than k + 1, so that short pieces that hit by chance do not
+count alone.
 
 The documents are read once for each block of items and never shuffled. A block is a bounded
 number of items, so its automaton is small, however large the benchmark is.
@@ -12,6 +14,7 @@ number of items, so its automaton is small, however large the benchmark is.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ERROR_RATE = 0.1
-MIN_PIECE = 12  # shorter pieces hit by chance; short items allow fewer edits instead
+MIN_PIECE = 1  # a greater one takes edits from items that are too short for such pieces
+PIECE = 8  # an item is cut finer than into k + 1 pieces down to this length
 BLOCK_ITEMS = 5_000
 
 
@@ -34,12 +38,36 @@ def budget(length: int, rate: float = ERROR_RATE, min_piece: int = MIN_PIECE) ->
     return max(0, min(int(rate * length), length // min_piece - 1))
 
 
-def pieces(item: str, k: int) -> list[tuple[int, str]]:
-    """k + 1 consecutive pieces of even length with their places in the item."""
-    cuts = [len(item) * i // (k + 1) for i in range(k + 2)]
+def pieces(item: str, n: int) -> list[tuple[int, str]]:
+    """n consecutive pieces of even length with their places in the item."""
+    cuts = [len(item) * i // n for i in range(n + 1)]
     return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def windows(hits: list[tuple[int, int]], k: int, least: int) -> Iterator[tuple[int, int]]:
+    """First and last start of an item where ``least`` different pieces agree within k.
+
+    ``hits`` are (start of the item, place of the piece in it).
+    """
+    hits = sorted(set(hits))
+    some: Counter = Counter()
+    last, run = 0, None
+    for i, (start, at) in enumerate(hits):
+        while last < len(hits) and hits[last][0] <= start + k:
+            some[hits[last][1]] += 1
+            last += 1
+        if len(some) >= least:
+            if run and start > run[1] + k:
+                yield run
+                run = None
+            run = (run[0] if run else start, start)
+        some[at] -= 1
+        if not some[at]:
+            del some[at]
+    if run:
+        yield run
+
+
 def occurs(masks: dict[str, int], length: int, window: str, k: int) -> bool:
     """Whether some part of the window is within k edits of the item (Myers 1999).
 
@@ -70,7 +98,7 @@ class Matcher:
     """The items of one block, ready to search texts."""
 
     def __init__(self, items: list[tuple[int, str]], rate: float, min_piece: int):
-        self.items: list[tuple[str, int, dict[str, int]]] = []
+        self.items: list[tuple[int, int, int, dict[str, int]]] = []  # length, edits, pieces
         self.ids: list[list[int]] = []
         known: dict[str, int] = {}
         hits: dict[str, list[tuple[int, int]]] = {}
@@ -83,9 +111,10 @@ class Matcher:
             masks: dict[str, int] = {}
             for i, c in enumerate(text):
                 masks[c] = masks.get(c, 0) | 1 << i
-            self.items.append((text, k, masks))
+            cut = max(k + 1, len(text) // PIECE if k else 1)
+            self.items.append((len(text), k, cut - k, masks))
             self.ids.append([item_id])
-            for at, piece in pieces(text, k):
+            for at, piece in pieces(text, cut):
                 hits.setdefault(piece, []).append((n, at))
         self.automaton = ahocorasick.Automaton()
         for piece, places in hits.items():
@@ -96,21 +125,19 @@ class Matcher:
     def search(self, text: str) -> list[int]:
         """Ids of the items that occur in a normalised text."""
         found: set[int] = set()
-        tried: set[tuple[int, int]] = set()
         if not self.items:
             return []
+        hits: dict[int, list[tuple[int, int]]] = {}
         for end, (size, places) in self.automaton.iter(text):
-            for n, at in places:
-                if n in found:
-                    continue
-                item, k, masks = self.items[n]
-                start = end - size + 1 - at  # where the item would begin without edits
-                if (n, start) in tried:
-                    continue
-                tried.add((n, start))
-                window = text[max(0, start - k):start + len(item) + k]
-                if len(window) >= len(item) - k and occurs(masks, len(item), window, k):
+            for n, at in places:  # where the item would begin without edits
+                hits.setdefault(n, []).append((end - size + 1 - at, at))
+        for n, some in hits.items():
+            length, k, least, masks = self.items[n]
+            for first, last in windows(some, k, least) if len(some) >= least else ():
+                window = text[max(0, first - k):last + length + k]
+                if len(window) >= length - k and occurs(masks, length, window, k):
                     found.add(n)
+                    break
         return sorted(i for n in found for i in self.ids[n])
 
 

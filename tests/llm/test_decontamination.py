@@ -69,3 +69,27 @@ def test_odd_rows_and_empty_tables(spark):
     assert dc.drop_contaminated(spark, docs, bench).columns == docs.columns
     assert dc.drop_contaminated(spark, docs, bench.limit(0)).count() == len(ODD)
     assert dc.flagged(spark, docs.limit(0), bench).collect() == []
+
+
+def test_every_item_within_the_declared_rate_is_found():
+    r = random.Random(5)
+    make = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    items = [(i, t) for i, t in enumerate(dc.normalise(make(n)) for n in [
+        *range(8, 40, 3), *range(60, 240, 20)]) if t]
+    matcher, beyond = dc.Matcher(items, dc.ERROR_RATE, dc.MIN_PIECE), 0
+    for _ in range(120):
+        _, item = r.choice(items)
+        text = list(item)
+        for at in r.sample(range(len(text)), min(len(text), r.randint(0, len(item) // 9 + 1))):
+            text[at] = r.choice(["", "z", text[at] + "q"])
+        text = dc.normalise(make(40) + "".join(text) + make(40))
+        want = sorted(i for i, t in items if nearest(t, text) <= int(0.1 * len(t)))
+        beyond += any(nearest(t, text) > max(0, len(t) // 12 - 1) for i, t in items if i in want)
+        assert matcher.search(text) == want
+    assert beyond > 10
+
+
+def test_windows_join_where_starts_overlap():
+    hits = [(0, 0), (2, 8), (3, 0), (50, 0), (50, 0), (90, 8), (93, 0)]
+    assert list(dc.windows(hits, 3, 2)) == [(0, 2), (90, 90)]
+    assert list(dc.windows(hits, 3, 1)) == [(0, 3), (50, 50), (90, 93)]
