@@ -138,13 +138,22 @@ def text_token(text: str, stack: list[Node]) -> str:
     return f"{place}#{xxhash.xxh64_hexdigest(SPACE.sub(' ', text).strip())}"
 
 
+def marked(stack: list[Node]) -> list[str] | None:
+    """Paths of the open elements with a class, id or role below an article or main element."""
+    at = next((i for i, n in enumerate(stack) if n.name in CONTENT), None)
+    return None if at is None else [n.path for n in stack[at + 1:] if "." in n.label.rstrip(".")]
+
+
 def token_counts(page: str) -> Counter:
-    """How often the page holds each markup token and, outside its article, each text."""
+    """How often the page holds each markup token and each text.
+
+    Of an article only the texts in marked elements count: others are the article's own.
+    """
     counts: Counter = Counter()
     for kind, value, stack in events(page):
         if kind == "open":
             counts[value] += 1
-        elif kind == "text" and not value.isspace() and not any(n.name in CONTENT for n in stack):
+        elif kind == "text" and not value.isspace() and marked(stack) != []:
             counts[text_token(value, stack)] += 1
     return counts
 
@@ -195,14 +204,19 @@ def templates(pages: DataFrame, min_support: float = MIN_SUPPORT,
 def main_text(page: str | None, template: frozenset[str]) -> str:
     """The text of the content slots of a page.
 
-    A slot is the innermost template token around a text. Slots in frame elements or marked as
-    other than content are dropped, and so is text that is itself part of the template. If the page or its template has an article or main slot,
-    only text inside it is taken; else every content slot counts, and links-only blocks go.
+    Frame elements and elements marked as other than content are dropped, and so is text that
+    is itself part of the template. If the page has an article or main element, only text inside
+    it is taken; else every content slot counts, and links-only blocks go. Inside an article, a
+    slot is the innermost template token with a class, id or role around a text: one whose texts
+    are all part of the template, such as a notice on each page, goes whole; one that also holds
+    texts of its own stays whole.
     """
     if not page:
         return ""
-    blocks: list[tuple[list[str], bool, bool]] = []  # pieces, inside an article, all links
-    pieces: list[str] = []
+    # Pieces with the slot that repeats them, inside an article, all links.
+    blocks: list[tuple[list[tuple[str, str | None]], bool, bool]] = []
+    pieces: list[tuple[str, str | None]] = []
+    mixed: set[str] = set()  # slots with texts of their own
     inside = linked = False
     prose = 0
 
@@ -212,7 +226,7 @@ def main_text(page: str | None, template: frozenset[str]) -> str:
             blocks.append((pieces, inside, prose == 0))
         pieces, prose = [], 0
 
-    verdict: dict[tuple, tuple[bool, bool, bool]] = {}
+    verdict: dict[tuple, tuple[bool, bool, bool, str | None]] = {}
     for kind, value, stack in events(page):
         if kind == "text":
             key = tuple((n.path, n.bad) for n in stack)
@@ -223,19 +237,20 @@ def main_text(page: str | None, template: frozenset[str]) -> str:
                 outer = stack[content[-1] + 1:] if content else stack
                 framed = any(n.name in RAW for n in stack) or any(n.bad for n in stack) or any(
                     n.name in FRAME for n in outer if not (content and n.name == "header"))
-                slot = next((n.path for n in reversed(stack) if n.path in template), "")
-                framed = framed or any(part.partition(".")[0] in FRAME and not content
-                                       for part in slot.split("/"))
-                verdict[key] = (not framed, bool(content), "a" in names)
-            keep, now_inside, linked = verdict[key]
-            if keep and not now_inside and template and text_token(value, stack) in template:
-                keep = False
+                slot = next((x for x in reversed(marked(stack) or ()) if x in template), None)
+                verdict[key] = (not framed, bool(content), "a" in names, slot)
+            keep, now_inside, linked, slot = verdict[key]
+            if keep and template and (slot or not now_inside) and not value.isspace():
+                repeated = text_token(value, stack) in template
+                keep = now_inside or not repeated
+                if slot and not repeated:
+                    mixed.add(slot)
             if keep:
                 text = html.unescape(value)
                 if now_inside != inside:
                     flush()
                     inside = now_inside
-                pieces.append(text)
+                pieces.append((text, slot))
                 prose += 0 if linked else len(text.strip())
         elif value.rpartition("/")[2].partition(".")[0] in BLOCK:
             flush()
@@ -244,7 +259,8 @@ def main_text(page: str | None, template: frozenset[str]) -> str:
         chosen = [b[0] for b in blocks if b[1]]
     else:
         chosen = [b[0] for b in blocks if not b[2]]
-    lines = (SPACE.sub(" ", "".join(b)).strip() for b in chosen)
+    lines = (SPACE.sub(" ", "".join(t for t, slot in b if not slot or slot in mixed)).strip()
+             for b in chosen)
     return "\n".join(line for line in lines if line)
 
 

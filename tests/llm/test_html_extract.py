@@ -52,3 +52,11 @@ def test_long_pages_odd_rows_and_empty_table(spark):
     got = he.extract(spark, df).collect()
     assert sorted(len(r.text.split()) for r in got) == [0, 1, 5_000, 5_000]
     assert he.extract(spark, df.limit(0)).collect() == []
+
+
+def test_repeated_slot_in_an_article_goes_and_its_own_texts_stay(spark):
+    body = ('<body><article class="post"><h1>Story {n}</h1><div class="zeta"><p>Give to <b>us</b> today</p></div>'
+            '<div class="entry"><h2>Summary</h2><p>It is {n} again</p></div><p>Plain end</p></article></body>')
+    rows = [(n, "https://e.example/x", body.format(n=n)) for n in range(5)]
+    got = {r.page_id: r.text for r in he.extract(spark, pages(spark, rows)).collect()}
+    assert got == {n: f"Story {n}\nSummary\nIt is {n} again\nPlain end" for n in range(5)}
