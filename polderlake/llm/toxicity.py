@@ -4,7 +4,8 @@ A lexicon of abusive terms grows out of the labelled texts: words and word stems
 texts hold far more often than others, in several different surroundings. Its trie intersected
 with the Levenshtein automata of its terms is one machine, made deterministic as it is walked:
 a word passes through it character by character and is a hit when some term lies within the
-edits that the term's length allows. Each hit is weighed by its window: quotation marks and
+edits that the term's length allows. A form that training texts hold at clean texts' rate is a
+word of its own right and no hit. Each hit is weighed by its window: quotation marks and
 words of reporting speak for a quotation, words of address for abuse. A logistic model over a
 text's hits gives the score.
 
@@ -31,7 +32,7 @@ STEMS = (4, 5, 6)
 MIN_TEXTS = 4  # toxic training texts that a term needs, in as many different surroundings
 RATIO = 20.0  # how much more often than in other texts
 STEM_GAIN = 1.3  # how many more texts a stem has than any longer term
-COMMON = 0.05  # share of toxic texts from which a term is also matched with edits
+FORM_RATIO = 2.0  # a form near a term counts if so much more frequent in toxic texts
 
 #: Abuse that needs no labels to be known.
 SEED_TERMS = ("idiot", "moron", "imbecile", "scum", "worthless", "disgusting", "pathetic",
@@ -202,15 +203,14 @@ class Scanner:
 class Model:
     terms: list[str]
     stems: list[str]
-    strict: list[str]
     exceptions: set[str]
     weights: np.ndarray
 
     def scanner(self) -> Scanner:
-        return Scanner(self.terms, self.stems, self.strict, self.exceptions)
+        return Scanner(self.terms, self.stems, [], self.exceptions)
 
     def parts(self) -> tuple:
-        return self.terms, self.stems, self.strict, self.exceptions, self.weights
+        return self.terms, self.stems, self.exceptions, self.weights
 
     def scores(self, scanner: Scanner, texts: list[str | None]) -> np.ndarray:
         rows = np.array([scanner.features(t or "") for t in texts]).reshape(-1, len(FEATURES))
@@ -266,17 +266,20 @@ def _count_terms(wanted):
     return run
 
 
-def mine_terms(spark: SparkSession, rows: DataFrame) -> tuple[list[str], list[str], list[str]]:
-    """Terms, stems and rarer terms that toxic texts hold far more often than others.
+def own_right(toxic: int, clean: int, n_toxic: int, n_clean: int) -> bool:
+    """Whether a form near a term is a word of its own: texts that hold it of all texts."""
+    return clean > 0 and toxic * n_clean <= FORM_RATIO * clean * n_toxic
 
-    Only terms of a fair share of the toxic texts are matched with edits.
+
+def mine_terms(spark: SparkSession, rows: DataFrame) -> tuple[list[str], list[str]]:
+    """Terms and stems that toxic texts hold far more often than others.
 
     Only terms of enough toxic texts reach the driver, and each text has a bounded share in
     their number: the sum of their counts is at most the words of the training rows.
     """
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(1) or not n.get(0):
-        return [], [], []
+        return [], []
     schema = "term string, texts long, around long"
     counted = lambda y, wanted: rows.where(F.col("toxic") == y).select("text").mapInArrow(
         _count_terms(wanted), schema).groupBy("term").agg(
@@ -302,8 +305,7 @@ def mine_terms(spark: SparkSession, rows: DataFrame) -> tuple[list[str], list[st
         if toxic[s + "*"] >= STEM_GAIN * longest.get(s, 0) and not any(s.startswith(x) for x in stems):
             stems.append(s)
     whole = sorted(t for t in good if not t.endswith("*") and not any(t.startswith(x) for x in stems))
-    common = [t for t in whole if toxic[t] >= COMMON * n[1]]
-    return common, stems, [t for t in whole if toxic[t] < COMMON * n[1]]
+    return whole, stems
 
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame,
@@ -311,24 +313,31 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame,
     """Lexicon, exceptions and weights from the labelled texts; without any, the prior model."""
     rows = training_rows(docs, labels, max_labelled).persist()
     try:
-        terms, stems, strict = mine_terms(spark, rows)
+        terms, stems = mine_terms(spark, rows)
         terms = sorted({*terms, *SEED_TERMS})
-        scan = spark.sparkContext.broadcast((terms, stems, strict))
+        scan = spark.sparkContext.broadcast((terms, stems, []))
 
         def near(batches):
-            """Forms of clean texts that are only near a term: words of their own right."""
+            """Forms that are only near a term, with the toxic and the clean texts that hold each."""
             scanner = Scanner(*scan.value, set())
             for batch in batches:
-                forms = set()
-                for text in batch.column(0).to_pylist():
-                    _, found = scanner.hits(text)
-                    forms |= {w for w in found if scanner.forms[w] == "fuzzy"}
-                yield pa.RecordBatch.from_pydict({"form": sorted(forms)},
-                                                 pa.schema([("form", pa.string())]))
-
-        clean = rows.where("toxic = 0").select("text")
-        exceptions = {r["form"] for r in clean.mapInArrow(near, "form string").distinct().collect()}
-        model = Model(terms, stems, strict, exceptions, PRIOR)
+                texts: dict[str, list[int]] = {}
+                for text, toxic in zip(*(c.to_pylist() for c in batch.columns)):
+                    for w in scanner.hits(text)[1]:
+                        if scanner.forms[w] == "fuzzy":
+                            texts.setdefault(w, [0, 0])[1 - toxic] += 1
+                yield pa.RecordBatch.from_pydict(
+                    {"form": list(texts), "toxic": [x[0] for x in texts.values()],
+                     "clean": [x[1] for x in texts.values()]},
+                    pa.schema([("form", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64())]))
+
+        n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+        forms = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(
+            near, "form string, toxic long, clean long").groupBy("form").agg(
+            F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).where("clean > 0")
+        exceptions = {r["form"] for r in forms.collect()
+                      if own_right(r["toxic"], r["clean"], n.get(1, 0), n.get(0, 0))}
+        model = Model(terms, stems, exceptions, PRIOR)
         shared = spark.sparkContext.broadcast(model.parts())
 
         def featured(batches):
@@ -355,7 +364,7 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame,
             weights = weights - step
             if np.abs(step).max() < 1e-8:
                 break
-        model = Model(terms, stems, strict, exceptions, weights)
+        model = Model(terms, stems, exceptions, weights)
     return model
 
 

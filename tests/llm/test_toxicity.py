@@ -87,3 +87,32 @@ def test_odd_rows_and_empty_tables(spark):
     assert tx.toxicity(spark, docs, labels.limit(0)).count() == len(ODD)
     assert tx.toxicity(spark, docs.limit(0), labels).collect() == []
     assert tx.drop_toxic(spark, docs, labels).columns == docs.columns
+
+
+def test_rare_terms_are_matched_with_edits(spark):
+    r, docs, labels = random.Random(9), [], []
+    terms = ["".join(r.choice("bcdfgklmnprtvz") for _ in range(9)) for _ in range(40)]
+    for i in range(1_600):
+        w = [r.choice(CLEAN) + r.choice(["", "s", "er"]) for _ in range(60)]
+        if i % 2:
+            for k in range(3):
+                w[20 * k + r.randrange(20)] = terms[(i // 2 * 3 + k) % len(terms)]
+        docs.append((i, " ".join(w)))
+        labels.append((i, 1, i % 2))
+    # One clean and some toxic training texts spell a term wrongly; it is no word of its own.
+    wrong = "q" + terms[0][1:]
+    for i, toxic in ((2_001, 0), (2_002, 1), (2_003, 1), (2_004, 1), (2_005, 1), (2_006, 1), (2_007, 1)):
+        docs.append((i, f"{' '.join(CLEAN)} {wrong} {i}"))
+        labels.append((i, 1, toxic))
+    model = tx.fit(spark, spark.createDataFrame(docs, "doc_id long, text string"),
+                   spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    scan = model.scanner()
+    assert set(terms) <= set(model.terms)
+    for t in terms:
+        assert scan.hits("x" + t)[1], t
+    assert scan.hits(wrong)[1]
+
+
+def test_forms_of_their_own_right_by_their_share_in_both_classes():
+    assert tx.own_right(0, 1, 100, 900) and tx.own_right(2, 40, 100, 900)
+    assert not tx.own_right(3, 1, 100, 900) and not tx.own_right(0, 0, 100, 900)
