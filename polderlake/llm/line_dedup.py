@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from polderlake.llm.common import BLANKS, power_of_two, staged, text_or_empty
 
 EDITS = 2
-MIN_CHARS = 20  # shorter lines are structure, and always stay
+MIN_CHARS = 20  # shorter lines stay
 MIN_NEAR_CHARS = 40  # shorter lines are compared for equality only
+#: Options under which every line with a letter or digit takes part and a tenth of its length
+#: may differ: 2 edits from 20 characters, 1 from 10, copies only below.
+EVERY_LINE = {"min_chars": 1, "min_near_chars": 20, "short_chars": 10}
 BLOCK_LINES = 64
 MAX_FILTER_BLOCKS = 1 << 20  # 8 MB of filter words
 
@@ -35,8 +38,10 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     for c in ("  ", "\t", "\x0b", "\f", "\r"):
         odd = odd | F.contains("line", F.lit(c))
     squeezed = F.trim(F.when(odd, F.regexp_replace("line", BLANKS, " ")).otherwise(F.col("line")))
+    # Short lines of marks only are structure: rules, brackets, bullets.
     return each.select("doc_id", "line_no", squeezed.alias("line")).where(
-        F.length("line") >= min_chars)
+        (F.length("line") >= min_chars)
+        & ((F.length("line") >= MIN_CHARS) | F.col("line").rlike(r"[\p{L}\p{N}]")))
 
 
 def _hashes() -> list[Column]:
@@ -219,11 +224,19 @@ def near_copies(spark: SparkSession, lines: DataFrame, edits: int = EDITS) -> Da
 
 
 def dropped_lines(spark: SparkSession, docs: DataFrame, edits: int = EDITS,
-                  min_chars: int = MIN_CHARS, min_near_chars: int = MIN_NEAR_CHARS) -> DataFrame:
-    """``doc_id, dropped``: the numbers (from 0) of the lines each document loses."""
+                  min_chars: int = MIN_CHARS, min_near_chars: int = MIN_NEAR_CHARS,
+                  short_chars: int | None = None) -> DataFrame:
+    """``doc_id, dropped``: the numbers (from 0) of the lines each document loses.
+
+    With ``short_chars`` two lines, the shorter of ``short_chars`` to ``min_near_chars``, are
+    near copies within one edit.
+    """
     docs = docs.select("doc_id", "text")
     lines = lines_of(docs, min_chars)
     near = near_copies(spark, lines.where(F.length("line") >= min_near_chars), edits)
+    if short_chars is not None:
+        near = near.unionByName(near_copies(
+            spark, lines.where(F.length("line").between(short_chars, min_near_chars)), 1)).distinct()
     hashed = staged(spark, lines.select("doc_id", "line_no", *_hashes()), "line-hashes")
     copies = hashed.groupBy("h1", "h2").agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
@@ -244,7 +257,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, **options) -> DataFrame:
     All rows and columns stay; ``text`` loses its repeated lines and ``n_chars``, where there
     is one, is counted anew where something was lost. The first occurrence is that of the
     smallest ``(doc_id, line_no)``. Lines compare with blanks squeezed and trimmed; those of
-    under ``min_chars`` stay, those of under ``min_near_chars`` go for equality only. A null
+    under ``min_chars`` stay, those of under ``min_near_chars`` go for equality only or, from
+    ``short_chars``, within one edit; short lines without a letter or digit stay. A null
     text stays null; rows without an id are left as they are and count for no other row; rows
     that share an id share its decisions.
     """

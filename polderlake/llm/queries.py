@@ -72,7 +72,7 @@ def op3_near_dedup(spark, d):
 
 @query
 def op2_line_dedup(spark, d):
-    return line_dedup.line_counts(spark, table(spark, d, "documents"))
+    return line_dedup.line_counts(spark, table(spark, d, "documents"), **line_dedup.EVERY_LINE)
 
 
 @query

@@ -84,3 +84,34 @@ def test_odd_rows_empty_table_and_plan(spark):
     assert "Python" not in out._jdf.queryExecution().toString()
     assert ld.dedup_lines(spark, docs.limit(0)).collect() == []
     assert ld.line_counts(spark, docs).count() == len(ODD)
+
+
+def test_every_line_takes_part_in_the_query_and_the_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    from polderlake.llm.queries import QUERIES
+
+    r, lines = random.Random(6), ["***", "***", "", "", "}", "}", "ok", "ok", "no", "Contents", "Contents"]
+    for _ in range(30):
+        base = "".join(r.choice("abcdefghij") for _ in range(r.randint(8, 42)))
+        lines += [change(r, base, r.randint(0, 3)) for _ in range(4)]
+    r.shuffle(lines)
+    rows = [(i, "\n".join(lines[i * 5:i * 5 + 5])) for i in range(-(-len(lines) // 5))]
+    allowed = lambda n: 2 if n >= 20 else 1 if n >= 10 else 0
+    seen, want = [], []
+    for i, text in rows:
+        kept = []
+        for line in text.split("\n"):
+            if not any(c.isalnum() for c in line):
+                kept.append(line)
+                continue
+            if not any(edits(line, s) <= allowed(min(len(line), len(s))) for s in seen):
+                kept.append(line)
+            seen.append(line)
+        want.append("\n".join(kept))
+    docs = plain(spark, rows)
+    got = corpus_pipeline.dedup_lines(spark, docs, "").orderBy("doc_id").collect()
+    assert [x.text for x in got] == want
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    counts = QUERIES["op2_line_dedup"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [x.n_chars_kept for x in counts] == [len(t) for t in want]
