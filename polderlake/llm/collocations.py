@@ -7,17 +7,19 @@
    counts are merged. Its capacity exceeds the partition's mass divided by ``least``, so what it
    ever takes from a counter stays below ``least`` and every phrase that occurs so often
    survives. A survivor's count plus what was taken is an upper bound; those whose bound is
-   too low are dropped. The hashes of the rest are set in a bitmap.
-3. A second pass counts, by their text, the phrases whose hash is set. What else the bitmap
-   lets through falls short of ``least`` and goes then: the counts are exact.
-
-The number of partitions grows with the words, so a summary stays near ``COUNTERS`` counters.
-Bitmaps have 16 bits for each entry they can hold and at most ``MAX_BITS``: a fuller one lets
-more phrases through to the exact counts and changes no result.
+   too low are dropped. The hashes of the rest go into a Bloom filter.
+3. A second pass counts, by their text, the phrases that the filter holds. What else it lets
+   through falls short of ``least`` and goes then: the counts are exact.
+
+The number of partitions grows with the words: a summary needs some ``COUNTERS`` counters, and a
+partition holds at most ``least`` times as many packed keys. Filters have 24 bits for each entry
+and at most ``MAX_BITS``: a fuller one lets more phrases through to the exact counts and changes
+no result.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -30,11 +32,14 @@ from pyspark.sql import functions as F
 from polderlake.llm.common import power_of_two, shuffle_partitions, staged
 from polderlake.operators.joins import skew_safe_join
 
-COUNTERS = 1 << 18  # counters that a summary needs when hashes fall evenly
+COUNTERS = 1 << 16  # counters that a summary needs when hashes fall evenly
 MAX_BITS = 1 << 28  # 32 MiB, what is broadcast at most
 SEGMENT = 1 << 13  # bits that travel together
-CHUNK_CHARS, HELD = 4_000_000, 1 << 20
-WORDS_HELD = 300_000
+CHUNK_CHARS, HELD = 1_000_000, 1 << 20
+WORDS_HELD = 200_000
+PHRASES_A_BUCKET = 50_000
+PHRASE_NAMES = ["lang", "phrase", "words", "n"]
+PHRASE_TYPES = (pa.string(), pa.binary(), pa.int32(), pa.int64())
 
 # What separates pieces, and letters that lose their case.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -126,19 +131,44 @@ def bitmap(marks: DataFrame, bits: int) -> np.ndarray:
 
 
 def bits_for(entries: int) -> int:
-    return max(SEGMENT, min(MAX_BITS, power_of_two(16 * entries)))
+    return max(SEGMENT, min(MAX_BITS, power_of_two(24 * entries)))
+
+
+# Odd factors, the usual constants of 64-bit mixing: each gives a hash another place.
+FACTORS = tuple(np.uint64(x) for x in (
+    0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+
+
+def place(hashes: np.ndarray, factor: np.uint64, bits: int) -> np.ndarray:
+    h = hashes * factor
+    return ((h ^ h >> np.uint64(32)) * factor >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
 
 
 def places(hashes: np.ndarray, bits: int) -> np.ndarray:
-    return (hashes >> np.uint64(64 - (bits.bit_length() - 1))).astype(np.int64)
+    """All places of all hashes."""
+    return np.unique(np.concatenate([place(hashes, f, bits) for f in FACTORS]))
 
 
 def is_set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = places(hashes, 8 * len(bitmap))
-    return (bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    left = np.arange(len(hashes))
+    for f in FACTORS:
+        at = place(hashes[left], f, 8 * len(bitmap))
+        left = left[(bitmap[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+    out = np.zeros(len(hashes), bool)
+    out[left] = True
+    return out
+
+
+def marks(hashes: DataFrame, bits: int) -> DataFrame:
+    """``mark``: places to set for a column of hashes."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(places(batch.column(0).to_numpy().view(np.uint64), bits))], ["mark"])
+    return hashes.mapInArrow(run, "mark long")
 
 
-def word_marks(words: DataFrame, bits: int) -> DataFrame:
+def hashed_words(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by_lang: dict[str, list[bytes]] = {}
@@ -146,8 +176,8 @@ def word_marks(words: DataFrame, bits: int) -> DataFrame:
                 by_lang.setdefault(lang, []).append(word)
             for lang, of_lang in by_lang.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(places(word_hashes(lang, of_lang), bits))], ["mark"])
-    return words.select("lang", "word").mapInArrow(run, "mark long")
+                    [pa.array(word_hashes(lang, of_lang).view(np.int64))], ["hash"])
+    return words.select("lang", "word").mapInArrow(run, "hash long")
 
 
 # ---- phrases of a task ------------------------------------------------------------------
@@ -199,20 +229,25 @@ def mixed(hashes: np.ndarray, next_word: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def phrase_hashes(ids: np.ndarray, hashes: np.ndarray, longest: int,
+def phrase_hashes(ids: np.ndarray, hashes: np.ndarray, longest: int, drop: np.uint64,
                   only: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For 2 to ``longest`` words: where phrases start, and their hashes. With a bitmap only
-    phrases that are set there, which start with such phrases."""
+    """For 2 to ``longest`` words: where phrases start, and the bits kept of their hashes. With a
+    filter only phrases that it holds, which start and end with such phrases."""
     at = np.flatnonzero(ids)
+    held = np.ones(len(ids) + 1, bool)
     h = hashes[ids[at]]
     for n in range(2, longest + 1):
         goes_on = ids[np.minimum(at + n - 1, len(ids) - 1)] != 0  # the last id is a cut
         at, h = at[goes_on], h[goes_on]
         h = mixed(h, hashes[ids[at + n - 1]])
         if only is not None:
-            hit = is_set(only, h)
+            ends = held[at + 1]
+            at, h = at[ends], h[ends]
+            hit = is_set(only, h >> drop)
             at, h = at[hit], h[hit]
-        yield n, at, h
+            held[:] = False
+            held[at] = True
+        yield n, at, h >> drop
 
 
 def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -222,31 +257,40 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def dropped_bits(partitions: int) -> np.uint64:
+    """A hash is kept without so many of its last bits: the partition's, and 32 for the key."""
+    return np.uint64(32 - (partitions.bit_length() - 1))
+
+
 def partitioned_counts(docs: DataFrame, frequent, longest: int, partitions: int) -> DataFrame:
-    """``part, mass, hashes, counts``: each task's phrase counts, packed by hash partition."""
-    edges = (np.arange(1, partitions, dtype=np.uint64)
-             << np.uint64(64 - (partitions.bit_length() - 1)) if partitions > 1
-             else np.zeros(0, np.uint64))
+    """``part, mass, keys, many, counts``: each task's phrase counts, packed by hash partition.
+
+    A partition is the first bits of the hash, a key the 32 bits that follow; counts are listed
+    for the keys (by place) that were met more than once. What a partition holds does not grow
+    with the corpus, so neither does the share of keys that two phrases have in common.
+    """
+    drop = dropped_bits(partitions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(frequent.value)
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
         def flushed() -> pa.RecordBatch:
-            cuts = np.r_[0, np.searchsorted(keys, edges), len(keys)]
-            full = [p for p in range(partitions) if cuts[p + 1] > cuts[p]]
-            one = lambda x, p: x[cuts[p]:cuts[p + 1]]
-            return pa.RecordBatch.from_arrays(
-                [pa.array(full, pa.int32()),
-                 pa.array([int(one(counts, p).sum()) for p in full], pa.int64()),
-                 pa.array([one(keys, p).tobytes() for p in full], pa.binary()),
-                 pa.array([one(counts, p).astype(np.uint32).tobytes() for p in full], pa.binary())],
-                ["part", "mass", "hashes", "counts"])
+            cuts = np.searchsorted(keys, np.arange(partitions + 1, dtype=np.uint64) << np.uint64(32))
+            rows = []
+            for p in np.flatnonzero(np.diff(cuts)):
+                k, c = keys[cuts[p]:cuts[p + 1]], counts[cuts[p]:cuts[p + 1]]
+                many = np.flatnonzero(c > 1)
+                rows.append((int(p), int(c.sum()), k.astype(np.uint32).tobytes(),
+                             many.astype(np.uint32).tobytes(), c[many].astype(np.uint32).tobytes()))
+            kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            columns = zip(*rows) if rows else [()] * 5
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)],
+                                              ["part", "mass", "keys", "many", "counts"])
 
         for part in chunks(batches):
             ids = stream(words, part)
-            new = np.concatenate([h for _, _, h in phrase_hashes(
-                ids, words.hashes, longest)])
+            new = np.concatenate([h for _, _, h in phrase_hashes(ids, words.hashes, longest, drop)])
             keys, counts = summed(np.concatenate([keys, new]),
                                   np.concatenate([counts, np.ones(len(new), np.int64)]))
             if len(keys) > HELD or counts.sum() >> 31:
@@ -254,7 +298,14 @@ def partitioned_counts(docs: DataFrame, frequent, longest: int, partitions: int)
                 keys, counts = keys[:0], counts[:0]
         yield flushed()
 
-    return docs.mapInArrow(run, "part int, mass long, hashes binary, counts binary")
+    return docs.mapInArrow(run, "part int, mass long, keys binary, many binary, counts binary")
+
+
+def unpacked(keys: bytes, many: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    keys = np.frombuffer(keys, np.uint32).astype(np.uint64)
+    each = np.ones(len(keys), np.int64)
+    each[np.frombuffer(many, np.uint32)] = np.frombuffer(counts, np.uint32)
+    return keys, each
 
 
 class Summary:
@@ -279,68 +330,69 @@ class Summary:
         return self.keys[self.counts + self.taken >= least]
 
 
-def survivors(packed: DataFrame, least: int, bits: int, partitions: int) -> DataFrame:
-    """``mark``: places in the bitmap of what survives the summaries."""
-    mass = packed.groupBy("part").agg(F.sum("mass").alias("total"))
+def survivors(packed: DataFrame, least: int, partitions: int) -> DataFrame:
+    """``hash``: the kept bits of every hash that survives its partition's summary.
+
+    A partition's packed counts are held until its mass is known, which fixes the capacity.
+    """
+    def of_partition(part: int, rows: list) -> pa.RecordBatch:
+        summary = Summary(sum(mass for mass, *_ in rows) // least + 1)
+        waiting, held = [], 0
+        for i, (_, *row) in enumerate(rows):
+            waiting.append(unpacked(*row))
+            held += len(waiting[-1][0])
+            if held > HELD or i == len(rows) - 1:
+                summary.merge(*map(np.concatenate, zip(*waiting)))
+                waiting, held = [], 0
+        whole = summary.at_least(least) | np.uint64(part) << np.uint64(32)
+        return pa.RecordBatch.from_arrays([pa.array(whole.view(np.int64))], ["hash"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, summary, waiting, held = None, None, [], 0
+        part, rows = None, []
+        for batch in batches:
+            for p, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and p != part:
+                    yield of_partition(part, rows)
+                    rows = []
+                part = p
+                rows.append(row)
+        if rows:
+            yield of_partition(part, rows)
 
-        def merged() -> None:
-            if waiting:
-                summary.merge(np.concatenate([k for k, _ in waiting]),
-                              np.concatenate([c for _, c in waiting]))
-                waiting.clear()
+    return (packed.repartition(partitions, "part").sortWithinPartitions("part")
+            .mapInArrow(run, "hash long"))
 
-        def marks() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.unique(places(summary.at_least(least), bits)))], ["mark"])
 
-        for batch in batches:
-            for p, total, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
-                if p != part:
-                    if summary is not None:
-                        merged()
-                        yield marks()
-                    part, held = p, 0
-                    summary = Summary(total // least + 1)
-                waiting.append((np.frombuffer(keys, np.uint64),
-                                np.frombuffer(counts, np.uint32).astype(np.int64)))
-                held += len(waiting[-1][0])
-                if held > HELD:
-                    merged()
-                    held = 0
-        if summary is not None:
-            merged()
-            yield marks()
-
-    tasks = min(partitions, max(8, shuffle_partitions(packed.sparkSession)))
-    return (packed.join(F.broadcast(mass), "part").select("part", "total", "hashes", "counts")
-            .repartition(tasks, "part").sortWithinPartitions("part")
-            .mapInArrow(run, "mark long"))
-
-
-def exact_counts(docs: DataFrame, frequent, chosen, longest: int) -> DataFrame:
-    """``lang, phrase, words, n`` of every phrase whose hash is set in ``chosen``."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def exact_counts(docs: DataFrame, frequent, chosen, longest: int, partitions: int,
+                 buckets: int) -> DataFrame:
+    """``lang, phrase, words, n`` of every phrase that the filter ``chosen`` holds.
+
+    A task sends its counts packed, one row for each bucket of phrases; a bucket's rows are
+    added up where they meet.
+    """
+    drop = dropped_bits(partitions)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(frequent.value)
         held: Counter = Counter()
 
         def flushed() -> pa.RecordBatch:
-            rows = [(words.langs[key[0]], b" ".join(map(words.words.__getitem__, key)), len(key), n)
-                    for key, n in held.items()]
+            by_bucket: dict[int, list[tuple]] = {}
+            for key, n in held.items():
+                phrase = b" ".join(map(words.words.__getitem__, key))
+                by_bucket.setdefault(zlib.crc32(phrase) % buckets, []).append(
+                    (words.langs[key[0]], phrase, len(key), n))
             held.clear()
-            columns = zip(*rows) if rows else ((), (), (), ())
+            columns = list(zip(*(zip(*rows) for rows in by_bucket.values()))) or [()] * 4
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.binary(), pa.int32(),
-                                                          pa.int64()))],
-                ["lang", "phrase", "words", "n"])
+                [pa.array(list(by_bucket), pa.int32()),
+                 *(pa.array(list(map(list, c)), pa.list_(t)) for c, t in zip(columns, PHRASE_TYPES))],
+                ["bucket", *PHRASE_NAMES])
 
         for part in chunks(batches):
             ids = stream(words, part)
             dense, vocabulary = ids, len(words.words)
-            for n, at, _ in phrase_hashes(ids, words.hashes, longest,
-                                          chosen.value):
+            for n, at, _ in phrase_hashes(ids, words.hashes, longest, drop, chosen.value):
                 # A phrase's number is that of its first words times the vocabulary, plus its
                 # last word: equal numbers are equal phrases, without a hash.
                 number = dense[at] * vocabulary + ids[at + n - 1]
@@ -355,8 +407,27 @@ def exact_counts(docs: DataFrame, frequent, chosen, longest: int) -> DataFrame:
                 yield flushed()
         yield flushed()
 
-    return (docs.mapInArrow(run, "lang string, phrase binary, words int, n long")
-            .groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")))
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, total = None, Counter()
+
+        def added() -> pa.RecordBatch:
+            columns = zip(*((*key, n) for key, n in total.items())) if total else [()] * 4
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(columns, PHRASE_TYPES)], PHRASE_NAMES)
+
+        for batch in batches:
+            for i, b in enumerate(batch.column(0).to_pylist()):
+                if b != bucket:
+                    yield added()
+                    bucket, total = b, Counter()
+                *key, n = (batch.column(c)[i].values.to_pylist() for c in range(1, 5))
+                total.update(dict(zip(zip(*key), n)))
+        yield added()
+
+    packed = docs.mapInArrow(count, "bucket int, lang array<string>, phrase array<binary>, "
+                                    "words array<int>, n array<long>")
+    return (packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+            .mapInArrow(add, "lang string, phrase binary, words int, n long"))
 
 
 # ---- phrases of the corpus --------------------------------------------------------------
@@ -372,16 +443,17 @@ def frequent_phrases(spark: SparkSession, docs: DataFrame, least: int,
     common = words.where(F.col("n") >= least)
     size = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") >= least, 1)).alias("common")).first()
     bits = bits_for(size["common"])
-    frequent = spark.sparkContext.broadcast(bitmap(word_marks(common, bits), bits))
+    frequent = spark.sparkContext.broadcast(bitmap(marks(hashed_words(common), bits), bits))
     most = (longest - 1) * (size["n"] or 0)  # phrases there can be
     partitions = power_of_two(max(most / (least * COUNTERS), shuffle_partitions(spark)))
-    packed = staged(spark, partitioned_counts(docs, frequent, longest, partitions),
-                    "phrase-hashes", "lz4")
-    mass = packed.agg(F.sum("mass").alias("n")).first()["n"] or 0
-    bits = bits_for(mass // least + 1)
-    chosen = spark.sparkContext.broadcast(
-        bitmap(survivors(packed, least, bits, partitions), bits))
-    phrases = exact_counts(docs, frequent, chosen, longest).where(F.col("n") >= least)
+    chosen = staged(spark, survivors(partitioned_counts(docs, frequent, longest, partitions),
+                                     least, partitions), "phrase-hashes")
+    survived = chosen.count()
+    bits = bits_for(survived)
+    held = spark.sparkContext.broadcast(bitmap(marks(chosen, bits), bits))
+    buckets = power_of_two(max(survived / PHRASES_A_BUCKET, shuffle_partitions(spark)))
+    phrases = exact_counts(docs, frequent, held, longest, partitions, buckets).where(
+        F.col("n") >= least)
     both = common.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n")
     return (staged(spark, both.unionByName(phrases).withColumn(
         "phrase", F.col("phrase").cast("string")), "phrases"), totals)

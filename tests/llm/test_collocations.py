@@ -71,8 +71,9 @@ def test_equals_brute_force(spark, monkeypatch, least, top):
 
 def test_full_bitmaps_and_tight_summaries_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(c, "MAX_BITS", c.SEGMENT)
-    monkeypatch.setattr(c, "COUNTERS", 1)
+    monkeypatch.setattr(c, "COUNTERS", 40)
     rows = corpus(5, 150)
+    monkeypatch.setattr(c, "FACTORS", c.FACTORS[:1])
     assert found(spark, rows, least=5) == brute(rows, 5)
 
 
