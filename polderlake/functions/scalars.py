@@ -13,9 +13,6 @@ LINE_BREAKS = ("\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u20
 NON_BLANK = (r"[^\t\n\x0b\x0c\r\x1c-\x20\x85\xa0"
              r"\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
-# Doubles are summed as decimals of this type while they are below the bound; 10**8 of the
-# largest still fit the sum. Larger ones, infinities and NaN are summed as doubles.
-WIDE, WIDE_BOUND = "decimal(38,18)", 1e12
 
 
 def comparable(df: DataFrame, columns: Iterable[str] | None = None) -> list[Column]:
@@ -25,27 +22,57 @@ def comparable(df: DataFrame, columns: Iterable[str] | None = None) -> list[Colu
             else F.col(c) for c in names]
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """``name``, with underscores before it until no frame has such a column."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def sum_parts(column: str, kind: DataType) -> dict[str, Column]:
-    """Mergeable parts of an exact sum: ``s``, and for doubles ``r``, what is too large for it.
+    """Mergeable parts of a sum that does not depend on the order of the rows.
 
-    Whole numbers and decimals are summed in their own type. Doubles are summed as wide
-    decimals, so the result does not depend on the order of the rows.
+    Whole numbers and decimals are summed in their own type, as ``s``. A double is taken as the
+    decimal that its shortest text shows and cut in words that are summed apart: ``h``, its whole
+    part, below 1e24; ``l``, its fraction, from 1e-10 on; ``t``, all of it below that, down to
+    1e-20. Each word has room for the sum of 10**12 rows. What lies outside, infinities and NaN
+    are summed as doubles, ``r``.
     """
     value = F.col(column)
     if isinstance(kind, (IntegralType, DecimalType)):
         return {"s": F.sum(value)}
-    value = value.cast("double")
-    fits = F.abs(value) < WIDE_BOUND
-    return {"s": F.sum(F.when(fits, value.cast(WIDE))), "r": F.sum(F.when(~fits, value))}
+    x = value.cast("double")
+    size, whole = F.abs(x), x - x % 1
+    worded = (size >= 1e-10) & (size < 1e24) | (size == 0)
+    tiny = (size >= 1e-20) & (size < 1e-10)
+    high = F.when(size < 1e18, whole.cast("bigint").cast("decimal(28,0)")).otherwise(
+        x.cast("decimal(28,0)"))
+    low = (F.when(size < 1e11, x.cast("decimal(37,26)") - whole.cast("decimal(11,0)"))
+           .when(size < 1e18, (x.cast("decimal(28,6)") - whole.cast("decimal(22,0)"))
+                 .cast("decimal(28,26)")))
+    return {"h": F.sum(F.when(worded, high)),
+            "l": F.sum(F.when(worded, low.cast("decimal(28,26)"))),
+            "t": F.sum(F.when(tiny, x.cast("decimal(36,36)"))),
+            "r": F.sum(F.when(~worded & ~tiny, x))}
 
 
 def sum_result(parts: Mapping[str, Column]) -> Column:
-    """The sum as a double, null when there was no value."""
-    exact = parts["s"].cast("double")
-    if "r" not in parts:
-        return exact
-    return F.when(parts["r"].isNull(), exact).otherwise(
-        F.coalesce(exact, F.lit(0.0)) + parts["r"])
+    """The sum as a double, null when there was no value.
+
+    Whole part and fraction are added as decimals, with as many places as 38 digits allow.
+    """
+    if "s" in parts:
+        return parts["s"].cast("double")
+    high = F.coalesce(parts["h"], F.lit(0).cast("decimal(38,0)"))
+    low = F.coalesce(parts["l"], F.lit(0).cast("decimal(38,26)"))
+    added = lambda h, l: (high.cast(h) + low.cast(l)).cast("double")
+    both = (F.when((F.abs(high) < 10**10) & (F.abs(low) < 10**10), added("decimal(11,0)", "decimal(37,26)"))
+            .when(F.abs(high) < 10**18, added("decimal(19,0)", "decimal(30,18)"))
+            .otherwise(added("decimal(37,0)", "decimal(14,0)")))
+    some = F.coalesce(parts["h"].cast("double"), parts["t"].cast("double"), parts["r"])
+    return F.when(some.isNotNull(), both + F.coalesce(parts["t"].cast("double"), F.lit(0.0))
+                  + F.coalesce(parts["r"], F.lit(0.0)))
 
 
 def exact_sum(df: DataFrame, column: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from polderlake.catalog import DatasetSpec
-from polderlake.functions.scalars import comparable
+from polderlake.functions.scalars import comparable, fresh
 
 
 def dedupe_latest(df: DataFrame, keys: Sequence[str], order_by: str | Sequence[str],
@@ -30,10 +30,9 @@ def dedupe_latest(df: DataFrame, keys: Sequence[str], order_by: str | Sequence[s
 
 
 def _first_ranked(df: DataFrame, keys: Sequence[Column], ranking: Sequence[Column]) -> DataFrame:
+    rank = fresh("_rank", df)
     window = Window.partitionBy(*keys).orderBy(*ranking)
-    return (df.withColumn("_rank", F.row_number().over(window))
-            .where(F.col("_rank") == 1)
-            .drop("_rank"))
+    return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) == 1).drop(rank)
 
 
 def dedupe_by_grain(df: DataFrame, spec: DatasetSpec, order_by: str | Sequence[str],

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from polderlake.functions.scalars import comparable, fresh
 from polderlake.operators.dedupe import dedupe_latest
 from polderlake.operators.joins import skew_safe_join
 from polderlake.sources.tables import clear_partitions, load_partitions, observed
@@ -19,41 +20,52 @@ def union_batches(*batches: DataFrame) -> DataFrame:
 
 
 def upsert(base: DataFrame, delta: DataFrame, keys: Sequence[str],
-           latest_by: str | Sequence[str] | None = None) -> DataFrame:
+           latest_by: str | Sequence[str] | None = None, side: str = "unique") -> DataFrame:
     """The latest delta row of each key, and the base rows whose key the delta does not hold.
 
     A delta with several versions of a key is reduced to the one of the
-    greatest ``latest_by``; without it to the greatest by all columns. Null
-    keys are equal to each other.
+    greatest ``latest_by``; without it to the greatest by all columns. Keys are compared by
+    value as grouping does: null equals null, 0.0 equals -0.0, timestamps count to the
+    microsecond. Adaptive execution splits a key that holds much of the base; with
+    ``side="salted"`` such keys are looked for and salted.
     """
     delta = dedupe_latest(delta, keys, latest_by if latest_by is not None else [
         c for c in delta.columns if c not in keys])
-    marks = [f"_key{i}" for i in range(len(keys))]
-    # The text of a key as JSON is set for a null key too, so that null keys meet.
-    marked = lambda df: df.withColumns({
-        m: F.to_json(F.struct(F.col(k).alias("k"))) for m, k in zip(marks, keys)})
-    kept = skew_safe_join(marked(base), marked(delta).select(*marks), marks, "left_anti").drop(*marks)
-    return union_batches(delta, kept)
+    common = union_batches(base.select(*keys).limit(0), delta.select(*keys).limit(0)).schema
+    mark = fresh("_key", base, delta)
+    # Structs are equal where their fields are, null fields too.
+    key = F.struct(*[F.col(k).cast(common[k].dataType).alias(k) for k in keys]).alias(mark)
+    kept = skew_safe_join(base.withColumn(mark, key), delta.select(key), [mark], "left_anti", side)
+    return union_batches(delta, kept.drop(mark))
 
 
 def detect_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], columns: Sequence[str],
                    latest_by: str | Sequence[str] | None = None) -> DataFrame:
     """Each key labelled ``new``, ``changed``, ``same`` or ``missing`` (only in the old load).
 
-    Both loads are reduced to one row per key: the latest by ``latest_by``, or
-    the greatest by all compared columns. Null keys are equal to each other. Values are compared null-safely and in full, so no change
-    can hide behind a hash collision.
+    Both loads are reduced to one row per key: the latest by ``latest_by``, ties by the other
+    columns, or the greatest by all compared columns. Null keys are equal to each other. Values
+    are compared null-safely and in full, so no change can hide behind a hash collision. One
+    aggregate does both: a key's rows combine before the shuffle.
     """
-    def side(df: DataFrame, name: str) -> DataFrame:
-        single = dedupe_latest(df, keys, latest_by if latest_by is not None else list(columns))
-        return single.select(*keys, F.struct(*columns).alias(name))
-
-    # One row per key and side: the lists hold at most one value, and null keys group.
-    both = union_batches(side(old, "_old"), side(new, "_new")).groupBy(*keys).agg(
-        F.collect_list("_old").alias("_old"), F.collect_list("_new").alias("_new"))
-    label = (F.when(F.size("_old") == 0, "new")
-             .when(F.size("_new") == 0, "missing")
-             .when(F.get("_old", F.lit(0)).eqNullSafe(F.get("_new", F.lit(0))), "same")
+    if latest_by is None:
+        first = []
+    else:
+        first = [latest_by] if isinstance(latest_by, str) else list(latest_by)
+    was, now = fresh("_old", old, new), fresh("_new", old, new)
+
+    def side(df: DataFrame, name: str, other: str) -> DataFrame:
+        rest = columns if latest_by is None else [
+            *(c for c in df.columns if c not in keys and c not in first)]
+        ranked = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(comparable(df, [*first, *rest]))])
+        return df.select(*keys, F.struct(
+            ranked.alias("rank"), F.struct(*comparable(df, columns)).alias("row")).alias(name))
+
+    both = union_batches(side(old, was, now), side(new, now, was)).groupBy(*keys).agg(
+        F.max(was).alias(was), F.max(now).alias(now))
+    label = (F.when(F.col(was).isNull(), "new")
+             .when(F.col(now).isNull(), "missing")
+             .when(F.col(f"{was}.row").eqNullSafe(F.col(f"{now}.row")), "same")
              .otherwise("changed"))
     return both.withColumn("change", label).select(*keys, "change")
 

@@ -168,44 +168,3 @@ def orphans(child: DataFrame, parent: DataFrame, on: Sequence[str],
     """Rows whose key the parent lacks."""
     return skew_safe_join(child, parent.select(*on), on, "left_anti", max_bytes=max_bytes)
 
-
-def assign_region(points: DataFrame, boxes: DataFrame, x: str, y: str, cell: float,
-                  how: str = "left", region: str = "region_id",
-                  max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Region of each point, by an equi-join on grid cells refined by the box bounds.
-
-    ``boxes`` holds ``region, x_min, y_min, x_max, y_max``, upper bounds
-    exclusive. Cells double in width from level to level, and a box is listed
-    at the level whose cells are no smaller than it, so in at most four cells
-    however large it is. The levels in use are few, at most the binary range of
-    the box sizes, and each costs one join. A point in no box keeps a null
-    region with ``how="left"``; a point in overlapping boxes appears once per box.
-    """
-    if how not in ("inner", "left"):
-        raise ValueError(f"join type not supported here: {how}")
-    width = F.greatest(F.col("x_max") - F.col("x_min"), F.col("y_max") - F.col("y_min"))
-    level = F.greatest(F.lit(0), F.ceil(F.log2(width / F.lit(cell)))).cast("int")
-    levelled = boxes.where(width > 0).withColumn("_level", level)
-    found = points.withColumn("_boxes", F.array().cast(
-        f"array<struct<_region:{boxes.schema[region].dataType.simpleString()},"
-        "x_min:double,y_min:double,x_max:double,y_max:double>>"))
-    for row in levelled.select("_level").distinct().orderBy("_level").collect():
-        size = F.lit(float(cell) * 2.0 ** row["_level"])
-        cell_of = lambda value: F.floor(F.col(value).cast("double") / size)
-        listed = (levelled.where(F.col("_level") == row["_level"])
-                  .withColumn("_cx", F.explode(F.sequence(cell_of("x_min"), cell_of("x_max"))))
-                  .withColumn("_cy", F.explode(F.sequence(cell_of("y_min"), cell_of("y_max"))))
-                  .groupBy("_cx", "_cy").agg(F.collect_list(F.struct(
-                      F.col(region).alias("_region"), *[F.col(c).cast("double").alias(c) for c in
-                                                        ("x_min", "y_min", "x_max", "y_max")])).alias("_more")))
-        placed = found.withColumns({"_cx": cell_of(x), "_cy": cell_of(y)})
-        met = skew_safe_join(placed, listed, ["_cx", "_cy"], "left", max_bytes=max_bytes)
-        # Coordinates are outer references: a box keeps its bounds, the point its place.
-        inside = F.filter("_more", lambda b: (
-            (F.col(x) >= b["x_min"]) & (F.col(x) < b["x_max"])
-            & (F.col(y) >= b["y_min"]) & (F.col(y) < b["y_max"])))
-        found = met.withColumn("_boxes", F.concat("_boxes", F.coalesce(inside, F.array()))).drop(
-            "_cx", "_cy", "_more")
-    spread = F.explode_outer if how == "left" else F.explode
-    return found.withColumn("_box", spread("_boxes")).select(
-        *points.columns, F.col("_box._region").alias(region))

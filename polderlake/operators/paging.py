@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from polderlake.catalog import PAGE_SIZE
-from polderlake.functions.scalars import comparable, part_name
+from polderlake.functions.scalars import comparable, fresh, part_name
 from polderlake.session import scratch_root
 
 
@@ -20,34 +20,31 @@ def assign_pages(df: DataFrame, order_by: str | Sequence[str], page_size: int =
     that both passes see the same ranges, and each row's number is its place in
     its range plus the rows of the ranges before. Ties are ordered by a hash of
     the row, full copies by where they came from, so a key or a row repeated
-    very often still spreads over ranges.
+    very often still spreads over ranges. Columns that already have one of the
+    four names are replaced; all others stay.
     """
     spark = df.sparkSession
     scratch_root(spark)
     order = [order_by] if isinstance(order_by, str) else list(order_by)
-    keyed = df.withColumns({
-        "_row": F.xxhash64(*comparable(df)),
-        "_from": F.spark_partition_id(),
-    })
-    ranking = [*[F.col(c).asc_nulls_last() for c in order], F.col("_row").asc(),
-               F.col("_from").asc()]
+    row, origin, at, span, place, before, rows = (
+        fresh(n, df) for n in ("_row", "_from", "_id", "_range", "_place", "_before", "_n"))
+    keyed = df.withColumns({row: F.xxhash64(*comparable(df)), origin: F.spark_partition_id()})
+    ranking = [*[F.col(c).asc_nulls_last() for c in order], F.col(row).asc(), F.col(origin).asc()]
     ranged = (keyed.repartitionByRange(partitions, *ranking) if partitions
               else keyed.repartitionByRange(*ranking))
-    fixed = ranged.sortWithinPartitions(*ranking).drop("_row", "_from").checkpoint()
-    numbered = fixed.withColumn("_id", F.monotonically_increasing_id()).withColumns({
-        "_range": F.shiftright("_id", 33),
-        "_place": F.col("_id").bitwiseAND((1 << 33) - 1),
-    })
+    fixed = ranged.sortWithinPartitions(*ranking).drop(row, origin).checkpoint()
+    numbered = fixed.withColumn(at, F.monotonically_increasing_id()).withColumns({
+        span: F.shiftright(at, 33), place: F.col(at).bitwiseAND((1 << 33) - 1)})
     # One row per range: the frame and the window below hold as many rows as there are ranges.
-    sizes = numbered.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return (numbered.join(F.broadcast(offsets), "_range")
-            .withColumn("row_idx", F.col("_before") + F.col("_place"))
+    sizes = numbered.groupBy(span).agg(F.count(F.lit(1)).alias(rows))
+    earlier = Window.orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(span, F.coalesce(F.sum(rows).over(earlier), F.lit(0)).alias(before))
+    return (numbered.join(F.broadcast(offsets), span)
+            .withColumn("row_idx", F.col(before) + F.col(place))
             .withColumn("page_idx", F.expr(f"row_idx div {int(page_size)}"))
             .withColumn("skip", F.col("page_idx") * page_size)
             .withColumn("part_name", part_name(F.col("page_idx")))
-            .drop("_id", "_range", "_place", "_before"))
+            .drop(at, span, place, before))
 
 
 def page_manifest(pages: DataFrame, page_size: int = PAGE_SIZE) -> DataFrame:

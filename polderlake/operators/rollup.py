@@ -65,7 +65,7 @@ def rollup(df: DataFrame, keys: Sequence[str], measures: Sequence[Measure]) -> D
         m.result(m.parts(df).__getitem__, df) for m in measures])
 
 
-MERGE = {"s": F.sum, "r": F.sum, "n": F.sum, "min": F.min, "max": F.max}
+MERGE = {**dict.fromkeys(("s", "h", "l", "t", "r"), F.sum), "n": F.sum, "min": F.min, "max": F.max}
 
 
 def rollup_through(facts: DataFrame, dimension: DataFrame, on: Sequence[str],

@@ -18,14 +18,15 @@ from polderlake.catalog import (DEFAULT_EXTENSION, EXTENSIONS, LANDED_FEEDS, STA
                                 bronze_path, gold_path, load_catalog, schema_of,
                                 silver_path)
 from polderlake.functions import scalars as fn
-from polderlake.operators import dedupe, incremental, joins, monitor, paging, quality, rollup
+from polderlake.operators import (dedupe, deltas, digests, incremental, joins, monitor, paging,
+                                  quality, regions, rollup)
 from polderlake.operators.normalize import (cast_columns, drop_invalid, flatten_envelope,
                                             rename_columns, tag_gold, tag_lineage)
 from polderlake.plans import gold as gold_plan
 from polderlake.plans.silver import (LANDED_READERS, build_feed_silver, build_silver,
                                      refresh_current)
 from polderlake.session import scratch_path
-from polderlake.sources import landing, readers, tables
+from polderlake.sources import buckets, landing, readers, tables
 from polderlake.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -414,6 +415,16 @@ EVENTS = DatasetSpec(
     grain=("user_id", "event_type"), measures=("value",))
 
 
+@query
+def latest_with_clashing_names(spark, d):
+    """Columns named like the operators' own stay."""
+    lines = table(spark, d, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_shipdate", F.col("l_quantity").alias("_rank"),
+        F.col("l_extendedprice").alias("_row"), F.col("l_tax").alias("_id"))
+    latest = dedupe.dedupe_latest(lines, ["l_orderkey", "l_linenumber"], "l_shipdate")
+    return paging.assign_pages(latest, ["l_orderkey", "l_linenumber"], page_size=500)
+
+
 @query
 def dedupe_by_grain(spark, d):
     return dedupe.dedupe_by_grain(table(spark, d, "events"), EVENTS, "ts")
@@ -508,6 +519,74 @@ def detect_new_and_changed(spark, d):
     return changes.groupBy("change").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _events_base_and_delta(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Readings keyed by their timestamp; those of errors come again, some under a new time."""
+    events = table(spark, d, "events").select("ts", "event_type", "value")
+    late = F.expr("ts + make_dt_interval(0, 0, 0, 0.000001)")
+    errors = events.where("event_type = 'error'").withColumn("value", -F.col("value"))
+    return events, errors.unionByName(errors.where("value < -100").withColumn("ts", late))
+
+
+@query
+def upsert_by_timestamp(spark, d):
+    """Keys that differ by one microsecond are two keys."""
+    base, delta = _events_base_and_delta(spark, d)
+    return incremental.upsert(base, delta, ["ts", "event_type"], ["value"])
+
+
+@query
+def bucketed_upsert(spark, d):
+    """The same upsert into a table of key-hash buckets, of which it rewrites the touched ones."""
+    path = scratch_path(spark, "bucketed")
+    base, delta = _base_and_delta(spark, d)
+    buckets.create_bucketed(base, path, ["o_orderkey"], 16)
+    buckets.upsert_bucketed(spark, path, delta, ["o_totalprice"])
+    return buckets.read_bucketed(spark, path)
+
+
+@query
+def changes_by_digest(spark, d):
+    """Changed keys between two loads of the orders, found from the root of their digest trees."""
+    base, delta = _base_and_delta(spark, d)
+    load = incremental.upsert(base, delta, ["o_orderkey"]).where("o_custkey % 97 <> 0")
+    return digests.changes_by_digest(base, load, ["o_orderkey"], ["o_custkey", "o_totalprice"])
+
+
+@query
+def reconcile_fingerprints(spark, d):
+    """Lines against their orders: some lose a line, some gain one, counts per status may agree."""
+    lines = table(spark, d, "lineitem").select("l_returnflag", "l_orderkey")
+    moved = lines.where("l_orderkey % 101 <> 0").unionByName(
+        lines.where("l_orderkey % 103 = 0 AND l_returnflag = 'R'"))
+    off = digests.unreconciled_keys(lines, moved, ["l_returnflag"], ["l_orderkey"])
+    counted = off.groupBy("l_returnflag", "what").agg(F.count(F.lit(1)).alias("n_keys"))
+    state = digests.reconcile(lines, moved, ["l_returnflag"], ["l_orderkey"])
+    return counted.join(state, "l_returnflag")
+
+
+GOLD_MEASURES = [
+    rollup.Measure("n_orders", "count", "o_orderkey"), rollup.Measure("total", "sum", "o_totalprice"),
+    rollup.Measure("avg_price", "avg", "o_totalprice"), rollup.Measure("min_price", "min", "o_totalprice"),
+    rollup.Measure("max_price", "max", "o_totalprice"), rollup.Measure("newest", "newest", "o_orderdate")]
+
+
+@query
+def incremental_gold(spark, d):
+    """Gold per customer group and status after a change, from its state before and the delta."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate",
+                                              "o_orderstatus")
+    before = orders.withColumn("region", F.col("o_custkey") % 25)
+    keys = ["region", "o_orderstatus"]
+    path = scratch_path(spark, "gold-state")
+    deltas.gold_state(before, keys, GOLD_MEASURES).write.parquet(path)
+    left = before.where("o_orderkey % 50 = 3 OR (region = 7 AND o_orderstatus = 'P')")
+    came = before.where("o_orderkey % 50 = 3 AND o_orderkey % 4 = 1").withColumn(
+        "o_totalprice", F.col("o_totalprice") / 2)
+    after = before.where("NOT (o_orderkey % 50 = 3 OR (region = 7 AND o_orderstatus = 'P'))").unionByName(came)
+    state = deltas.apply_delta(spark.read.parquet(path), came, left, after, keys, GOLD_MEASURES)
+    return deltas.gold_from_state(state, after, keys, GOLD_MEASURES)
+
+
 @query
 def reprocess_date(spark, d):
     """All dates loaded, one reprocessed with other rows; the others stay."""
@@ -572,7 +651,7 @@ def assign_region_grid(spark, d):
     points = table(spark, d, "embeddings").select(
         "vec_id", F.element_at("embedding", 1).cast("double").alias("x"),
         F.element_at("embedding", 2).cast("double").alias("y"))
-    return joins.assign_region(points, _boxes(spark), "x", "y", cell=0.25).select(
+    return regions.assign_region(points, _boxes(spark), "x", "y", cell=0.25).select(
         "vec_id", "region_id")
 
 
@@ -584,10 +663,30 @@ def assign_region_levels(spark, d):
         F.element_at("embedding", 2).cast("double").alias("y"))
     wide = spark.range(1).select(F.lit("wide").alias("region_id"), *[
         F.lit(v).alias(c) for c, v in (("x_min", -62.5), ("x_max", 62.5), ("y_min", -62.5), ("y_max", 0.0))])
-    return joins.assign_region(points, _boxes(spark).unionByName(wide), "x", "y", cell=0.125).select(
+    return regions.assign_region(points, _boxes(spark).unionByName(wide), "x", "y", cell=0.125).select(
         "vec_id", "region_id")
 
 
+# A star with four points, and the square hole in its middle, around a place.
+STAR = ((4, 0), (1, 1), (0, 4), (-1, 1), (-4, 0), (-1, -1), (0, -4), (1, -1))
+HOLE = ((0.5, 0.5), (-0.5, 0.5), (-0.5, -0.5), (0.5, -0.5))
+
+
+@query
+def assign_polygon_regions(spark, d):
+    """One concave polygon with a hole per nation, larger ones for later regions, overlapping."""
+    east, north = (F.col("n_nationkey") % 5 - 2) * 0.125, (F.floor(F.col("n_nationkey") / 5) - 2) * 0.125
+    scale = F.pow(F.lit(2.0), F.col("n_regionkey") - 6)
+    ring = lambda corners: F.array(*[
+        F.array(east + scale * a, north + scale * b) for a, b in corners])
+    polygons = table(spark, d, "nation").select(
+        F.col("n_name").alias("region_id"), F.array(ring(STAR), ring(HOLE)).alias("rings"))
+    points = table(spark, d, "embeddings").select(
+        "vec_id", F.element_at("embedding", 1).cast("double").alias("x"),
+        F.element_at("embedding", 2).cast("double").alias("y"))
+    return regions.assign_polygon(points, polygons, "x", "y", cell=0.125).select("vec_id", "region_id")
+
+
 def _boxes(spark: SparkSession) -> DataFrame:
     """4 x 4 boxes over [-0.25, 0.25) squared, so that some points lie in none."""
     side, low = 0.125, -0.25
@@ -677,6 +776,17 @@ def sums_of_fine_and_large_values(spark, d):
         rollup.Measure("sum_large", "sum", "large")])
 
 
+@query
+def sums_of_any_size(spark, d):
+    """Totals far beyond 1e20, values near 1e-20, and cents beside billions."""
+    lines = table(spark, d, "lineitem").withColumns({
+        "huge": F.col("l_quantity") * 1e20, "tiny": F.col("l_quantity") / 1e20,
+        "mixed": F.when(F.col("l_linenumber") == 1, F.col("l_quantity") * 1e12).otherwise(
+            F.col("l_extendedprice"))})
+    return rollup.rollup(lines, ["l_returnflag", "l_linestatus"], [
+        rollup.Measure(f"sum_{c}", "sum", c) for c in ("huge", "tiny", "mixed")])
+
+
 @query
 def regional_feature_mart(spark, d):
     """Geography, housing, mobility and climate per region, each reduced before the join."""

@@ -212,6 +212,101 @@ WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
     "dq_referential_report": """SELECT 'referential' AS "check", 'documents' AS dataset,
   'doc_id' AS "column", COUNT(*) AS n_bad, COUNT(*) = 0 AS passed FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
+    "assign_polygon_regions": """WITH corner AS (
+  SELECT * FROM (VALUES (0, 0, 4.0, 0.0), (0, 1, 1, 1), (0, 2, 0, 4), (0, 3, -1, 1), (0, 4, -4, 0),
+    (0, 5, -1, -1), (0, 6, 0, -4), (0, 7, 1, -1), (1, 0, 0.5, 0.5), (1, 1, -0.5, 0.5),
+    (1, 2, -0.5, -0.5), (1, 3, 0.5, -0.5)) t(ring, i, a, b)),
+place AS (
+  SELECT n_name, (n_nationkey % 5 - 2) * 0.125::DOUBLE AS east,
+         (n_nationkey // 5 - 2) * 0.125::DOUBLE AS north, 2.0::DOUBLE ** (n_regionkey - 6) AS scale
+  FROM nation),
+vertex AS (
+  SELECT n_name, ring, i, east + scale * a::DOUBLE AS x, north + scale * b::DOUBLE AS y,
+         count(*) OVER (PARTITION BY n_name, ring) AS k
+  FROM place, corner),
+edge AS (
+  SELECT p.n_name, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2
+  FROM vertex p JOIN vertex q ON p.n_name = q.n_name AND p.ring = q.ring AND q.i = (p.i + 1) % p.k),
+points AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+hit AS (
+  SELECT vec_id, n_name FROM points JOIN edge
+    ON (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+  GROUP BY vec_id, n_name HAVING count(*) % 2 = 1)
+SELECT vec_id, n_name AS region_id FROM points LEFT JOIN hit USING (vec_id)""",
+    "latest_with_clashing_names": """SELECT *, (row_idx // 500) AS page_idx, (row_idx // 500) * 500 AS skip,
+       printf('part-%05d.json', row_idx // 500) AS part_name
+FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1 AS row_idx FROM (
+  SELECT l_orderkey, l_linenumber, l_shipdate, l_quantity AS _rank, l_extendedprice AS _row, l_tax AS _id
+  FROM lineitem QUALIFY row_number() OVER (
+    PARTITION BY l_orderkey, l_linenumber
+    ORDER BY l_shipdate DESC, l_quantity DESC, l_extendedprice DESC, l_tax DESC) = 1))""",
+    "upsert_by_timestamp": """WITH e AS (SELECT ts, event_type, value FROM events),
+x AS (SELECT ts, event_type, -value AS value FROM e WHERE event_type = 'error'),
+delta AS (
+  SELECT * FROM (SELECT * FROM x UNION ALL
+    SELECT ts + INTERVAL 1 MICROSECOND, event_type, value FROM x WHERE value < -100)
+  QUALIFY row_number() OVER (PARTITION BY ts, event_type ORDER BY value DESC) = 1)
+SELECT * FROM delta UNION ALL
+SELECT * FROM e WHERE NOT EXISTS (
+  SELECT 1 FROM delta d WHERE d.ts = e.ts AND d.event_type = e.event_type)""",
+    "bucketed_upsert": """WITH delta AS (
+  SELECT o_orderkey, o_custkey, o_totalprice * 2 AS o_totalprice FROM orders
+  WHERE year(o_orderdate) = 2001 UNION ALL
+  SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+  WHERE year(o_orderdate) = 2000 AND o_orderstatus = 'F' UNION ALL
+  SELECT o_orderkey + 1000000000000, o_custkey, o_totalprice FROM orders
+  WHERE year(o_orderdate) = 2000 AND o_orderstatus = 'P')
+SELECT * FROM delta UNION ALL
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+WHERE o_orderkey NOT IN (SELECT o_orderkey FROM delta)""",
+    "changes_by_digest": """WITH delta AS (
+  SELECT o_orderkey, o_custkey, o_totalprice * 2 AS o_totalprice FROM orders
+  WHERE year(o_orderdate) = 2001 UNION ALL
+  SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+  WHERE year(o_orderdate) = 2000 AND o_orderstatus = 'F' UNION ALL
+  SELECT o_orderkey + 1000000000000, o_custkey, o_totalprice FROM orders
+  WHERE year(o_orderdate) = 2000 AND o_orderstatus = 'P'),
+load AS (
+  SELECT * FROM (SELECT * FROM delta UNION ALL
+    SELECT o_orderkey, o_custkey, o_totalprice FROM orders
+    WHERE o_orderkey NOT IN (SELECT o_orderkey FROM delta))
+  WHERE o_custkey % 97 <> 0)
+SELECT coalesce(n.o_orderkey, o.o_orderkey) AS o_orderkey,
+       CASE WHEN o.o_orderkey IS NULL THEN 'new' WHEN n.o_orderkey IS NULL THEN 'missing'
+            ELSE 'changed' END AS change
+FROM orders o FULL JOIN load n ON o.o_orderkey = n.o_orderkey
+WHERE o.o_orderkey IS NULL OR n.o_orderkey IS NULL
+   OR (o.o_custkey, o.o_totalprice) IS DISTINCT FROM (n.o_custkey, n.o_totalprice)""",
+    "reconcile_fingerprints": """WITH moved AS (
+  SELECT l_returnflag, l_orderkey FROM lineitem WHERE l_orderkey % 101 <> 0 UNION ALL
+  SELECT l_returnflag, l_orderkey FROM lineitem WHERE l_orderkey % 103 = 0 AND l_returnflag = 'R'),
+a AS (SELECT l_returnflag, l_orderkey, count(*) AS x FROM lineitem GROUP BY ALL),
+b AS (SELECT l_returnflag, l_orderkey, count(*) AS y FROM moved GROUP BY ALL),
+c AS (SELECT l_returnflag, l_orderkey, coalesce(x, 0) AS x, coalesce(y, 0) AS y
+      FROM a FULL JOIN b USING (l_returnflag, l_orderkey)),
+s AS (SELECT l_returnflag, sum(x)::BIGINT AS rows_before, sum(y)::BIGINT AS rows_after,
+             bool_and(x = y) AS same_keys FROM c GROUP BY ALL)
+SELECT l_returnflag, CASE WHEN y = 0 THEN 'vanished' WHEN x = 0 THEN 'appeared'
+         WHEN y > x THEN 'multiplied' ELSE 'reduced' END AS what, count(*) AS n_keys,
+       any_value(rows_before) AS rows_before, any_value(rows_after) AS rows_after,
+       any_value(same_keys) AS same_keys
+FROM c JOIN s USING (l_returnflag) WHERE x <> y GROUP BY 1, 2""",
+    "incremental_gold": """WITH o AS (
+  SELECT o_orderkey, o_custkey % 25 AS region, o_orderstatus, o_totalprice, o_orderdate FROM orders),
+rest AS (
+  SELECT * FROM o WHERE NOT (o_orderkey % 50 = 3 OR (region = 7 AND o_orderstatus = 'P')) UNION ALL
+  SELECT o_orderkey, region, o_orderstatus, o_totalprice / 2, o_orderdate FROM o
+  WHERE o_orderkey % 50 = 3 AND o_orderkey % 4 = 1)
+SELECT region, o_orderstatus, count(o_orderkey) AS n_orders, EXACT_SUM(o_totalprice) AS total,
+       EXACT_SUM(o_totalprice) / COUNT(o_totalprice) AS avg_price, min(o_totalprice) AS min_price,
+       max(o_totalprice) AS max_price, strftime(max(o_orderdate), '%Y-%m-%d') AS newest
+FROM rest GROUP BY region, o_orderstatus""",
+    "sums_of_any_size": """SELECT l_returnflag, l_linestatus,
+  CAST(CAST(SUM(CAST(l_quantity AS HUGEINT)) * 100000000000000000000::HUGEINT AS VARCHAR) AS DOUBLE) AS sum_huge,
+  CAST(SUM(CAST(l_quantity AS HUGEINT)) AS DOUBLE) / 1e20 AS sum_tiny,
+  CAST(CAST(SUM(CASE WHEN l_linenumber = 1 THEN CAST(l_quantity AS DECIMAL(38,2)) * 1000000000000
+       ELSE CAST(CAST(l_extendedprice AS VARCHAR) AS DECIMAL(38,2)) END) AS VARCHAR) AS DOUBLE) AS sum_mixed
+FROM lineitem GROUP BY 1, 2""",
     "assign_region_levels": """WITH boxes AS (
   SELECT printf('box-%02d', i) AS region_id, (i // 4) * 0.125::DOUBLE - 0.25::DOUBLE AS x0,
          (i // 4) * 0.125::DOUBLE - 0.125::DOUBLE AS x1,

@@ -2,7 +2,7 @@ import pytest
 from conftest import collect
 from pyspark.sql import functions as F
 
-from polderlake.operators import joins, rollup
+from polderlake.operators import joins, regions, rollup
 
 
 @pytest.fixture(scope="module")
@@ -112,7 +112,7 @@ def test_regions_equal_brute_force(spark, limit):
     points += [(1000 + i, 0.5, 0.5) for i in range(150)]
     p = spark.createDataFrame(points, "id int, x double, y double")
     b = spark.createDataFrame(boxes, "region_id string, x_min double, y_min double, x_max double, y_max double")
-    out = joins.assign_region(p, b, "x", "y", cell=1.0, max_bytes=limit).select("id", "region_id")
+    out = regions.assign_region(p, b, "x", "y", cell=1.0, max_bytes=limit).select("id", "region_id")
     want = []
     for i, x, y in points:
         hits = [n for n, x0, y0, x1, y1 in boxes if x0 <= x < x1 and y0 <= y < y1]
