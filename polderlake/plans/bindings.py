@@ -26,7 +26,7 @@ from polderlake.plans import gold as gold_plan
 from polderlake.plans.silver import (LANDED_READERS, build_feed_silver, build_silver,
                                      refresh_current)
 from polderlake.session import scratch_path
-from polderlake.sources import buckets, landing, readers, tables
+from polderlake.sources import buckets, landing, readers, recut, tables
 from polderlake.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -95,6 +95,20 @@ def read_envelope_lines(spark, d):
     return readers.read_envelope(spark, path, df.schema, multi_line=False)
 
 
+@query
+def recut_envelope(spark, d):
+    """All documents in one pretty-printed file, cut into lines by many tasks and read back."""
+    df, path = table(spark, d, "conversations"), scratch_path(spark, "whole")
+    odd = df.withColumn("text", F.concat(F.col("text"), F.lit(' }] \\" {[ "value": [')))
+    # One file takes one writer; what is tested is that many tasks read it.
+    odd.select(F.to_json(F.struct(*odd.columns)).alias("v")).coalesce(1).select(F.concat(
+        F.when(F.monotonically_increasing_id() == 0, F.lit('{"source": "a}[{\\"", "value": [\n')).otherwise(F.lit(",\n")),
+        "v").alias("value")).unionByName(
+        spark.range(1).select(F.lit("]}").alias("value"))).coalesce(1).write.text(path)
+    recut.recut(spark, path, f"{path}-lines")
+    return readers.read_pages(spark, f"{path}-lines", df.schema)
+
+
 @query
 def read_paged_json(spark, d):
     df, path = table(spark, d, "orders"), scratch_path(spark, "pages")

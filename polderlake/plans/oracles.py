@@ -212,6 +212,7 @@ WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
     "dq_referential_report": """SELECT 'referential' AS "check", 'documents' AS dataset,
   'doc_id' AS "column", COUNT(*) AS n_bad, COUNT(*) = 0 AS passed FROM documents d
 WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""",
+    "recut_envelope": """SELECT * REPLACE (text || ' }] \\" {[ "value": [' AS text) FROM conversations""",
     "assign_polygon_regions": """WITH corner AS (
   SELECT * FROM (VALUES (0, 0, 4.0, 0.0), (0, 1, 1, 1), (0, 2, 0, 4), (0, 3, -1, 1), (0, 4, -4, 0),
     (0, 5, -1, -1), (0, 6, 0, -4), (0, 7, 1, -1), (1, 0, 0.5, 0.5), (1, 1, -0.5, 0.5),
