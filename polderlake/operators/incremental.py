@@ -43,29 +43,24 @@ def detect_changes(old: DataFrame, new: DataFrame, keys: Sequence[str], columns:
                    latest_by: str | Sequence[str] | None = None) -> DataFrame:
     """Each key labelled ``new``, ``changed``, ``same`` or ``missing`` (only in the old load).
 
-    Both loads are reduced to one row per key: the latest by ``latest_by``, ties by the other
-    columns, or the greatest by all compared columns. Null keys are equal to each other. Values
-    are compared null-safely and in full, so no change can hide behind a hash collision. One
-    aggregate does both: a key's rows combine before the shuffle.
+    Both loads are reduced to one row per key: the latest by ``latest_by``, or
+    the greatest by all compared columns. Null keys are equal to each other. Values are compared
+    null-safely and in full, so no change can hide behind a hash collision.
     """
-    if latest_by is None:
-        first = []
-    else:
-        first = [latest_by] if isinstance(latest_by, str) else list(latest_by)
     was, now = fresh("_old", old, new), fresh("_new", old, new)
 
-    def side(df: DataFrame, name: str, other: str) -> DataFrame:
-        rest = columns if latest_by is None else [
-            *(c for c in df.columns if c not in keys and c not in first)]
-        ranked = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(comparable(df, [*first, *rest]))])
-        return df.select(*keys, F.struct(
-            ranked.alias("rank"), F.struct(*comparable(df, columns)).alias("row")).alias(name))
-
-    both = union_batches(side(old, was, now), side(new, now, was)).groupBy(*keys).agg(
-        F.max(was).alias(was), F.max(now).alias(now))
-    label = (F.when(F.col(was).isNull(), "new")
-             .when(F.col(now).isNull(), "missing")
-             .when(F.col(f"{was}.row").eqNullSafe(F.col(f"{now}.row")), "same")
+    def side(df: DataFrame, name: str) -> DataFrame:
+        if latest_by is None:
+            df = df.select(*dict.fromkeys([*keys, *columns]))  # nothing else decides
+        single = dedupe_latest(df, keys, latest_by if latest_by is not None else list(columns))
+        return single.select(*keys, F.struct(*comparable(df, columns)).alias(name))
+
+    # One row per key and side: the lists hold at most one value, and null keys group.
+    both = union_batches(side(old, was), side(new, now)).groupBy(*keys).agg(
+        F.collect_list(was).alias(was), F.collect_list(now).alias(now))
+    label = (F.when(F.size(was) == 0, "new")
+             .when(F.size(now) == 0, "missing")
+             .when(F.get(was, F.lit(0)).eqNullSafe(F.get(now, F.lit(0))), "same")
              .otherwise("changed"))
     return both.withColumn("change", label).select(*keys, "change")
 

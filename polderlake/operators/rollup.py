@@ -105,9 +105,13 @@ def latest_load(column: str = "ingestion_date") -> Measure:
     return Measure("last_updated", "newest", column)
 
 
+#: How a table is rolled up by keys: anew (``rollup``), or from a state kept by deltas.
+Roll = Callable[[DataFrame, Sequence[str], Sequence[Measure]], DataFrame]
+
+
 def region_period_stats(df: DataFrame, keys: Sequence[str], population: str, households: str,
-                        income: str) -> DataFrame:
-    return rollup(df, keys, [
+                        income: str, roll: Roll = rollup) -> DataFrame:
+    return roll(df, keys, [
         Measure("avg_population", "avg", population),
         Measure("max_population", "max", population),
         Measure("avg_households", "avg", households),
@@ -116,8 +120,8 @@ def region_period_stats(df: DataFrame, keys: Sequence[str], population: str, hou
     ])
 
 
-def value_trends(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    return rollup(df, keys, [
+def value_trends(df: DataFrame, keys: Sequence[str], value: str, roll: Roll = rollup) -> DataFrame:
+    return roll(df, keys, [
         Measure("avg_property_value", "avg", value),
         Measure("max_property_value", "max", value),
         Measure("min_property_value", "min", value),
@@ -126,14 +130,15 @@ def value_trends(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 
 def market_analysis(housing: DataFrame, values: DataFrame, keys: Sequence[str],
-                    join_keys: Sequence[str], dwellings: str, value: str) -> DataFrame:
+                    join_keys: Sequence[str], dwellings: str, value: str,
+                    roll: Roll = rollup) -> DataFrame:
     """Dwellings by keys with the property value of their region and period.
 
     The housing rows are aggregated before the join: ``keys`` contain the join
     keys and ``values`` has one row per join key, so its value is constant
     within a group, and the join moves group rows instead of facts.
     """
-    totals = rollup(housing, keys, [
+    totals = roll(housing, keys, [
         Measure("avg_dwellings", "avg", dwellings),
         Measure("total_dwellings", "sum", dwellings),
         latest_load(),
@@ -172,13 +177,14 @@ def market_from_facts(facts: DataFrame, join_keys: Sequence[str], extra: Sequenc
 
 def socio_indicators(income: DataFrame, residents: DataFrame, keys: Sequence[str],
                      join_keys: Sequence[str], avg_income: str, median_income: str,
-                     per_resident: str, median_name: str = "avg_median_income") -> DataFrame:
+                     per_resident: str, median_name: str = "avg_median_income",
+                     roll: Roll = rollup) -> DataFrame:
     """Income by keys where the residents table knows the region and period.
 
     The mean of a column of medians is what is computed; it is not a median,
     and is named so unless ``median_name`` asks for another name.
     """
-    totals = rollup(income, keys, [
+    totals = roll(income, keys, [
         Measure("avg_household_income", "avg", avg_income),
         Measure(median_name, "avg", median_income),
         latest_load(),

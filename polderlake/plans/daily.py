@@ -1,4 +1,4 @@
-"""Command line: load one date into silver, pass the gate, refresh snapshots, rebuild gold.
+"""Command line: load one date into silver, pass the gate, refresh snapshots, update gold by deltas.
 
     spark-submit -m polderlake.plans.daily --bronze ... --silver ... --gold ... [--date ...]
 """
@@ -37,8 +37,8 @@ def main(argv: list[str] | None = None) -> dict[str, int]:
         if args.runs:
             runs = read_silver(spark, args.runs, RUN_SCHEMA)
             enforce_gate(run_summary(runs.where(F.col("ingestion_date") == args.date)))
-        as_of = refresh_all(spark, args.silver, args.date)
-        return {**counts, **build_gold(spark, args.silver, args.gold, now, as_of)}
+        as_of, previous = refresh_all(spark, args.silver, args.date)
+        return {**counts, **build_gold(spark, args.silver, args.gold, now, as_of, previous)}
     finally:
         clear_scratch(spark)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from polderlake.catalog import (FEEDS, STATISTICS, DatasetSpec, bronze_path, current_path,
@@ -47,11 +47,13 @@ def with_titles(df: DataFrame, titles: DataFrame, code: str, name: str) -> DataF
 def build_silver(spark: SparkSession, spec: DatasetSpec, bronze_root: str, silver_root: str,
                  ingestion_date: str, run_ts: datetime, runs: str | None = None,
                  layout: str = "envelope", business_names: bool = False,
-                 order_by: Sequence[str] = (), titles: dict[str, tuple[str, str]] | None = None) -> int:
+                 order_by: Sequence[str] = (), titles: dict[str, tuple[str, str]] | None = None,
+                 endpoints: bool = False) -> int:
     """Load one date of a statistics dataset; loading it again replaces that date.
 
     ``titles`` maps a dimension file of the same date to the code and name
     columns it explains, as in ``{"regions.json": ("RegioS", "RegioNaam")}``.
+    With ``endpoints`` the run records also say how many rows came from each landed file.
     """
     if layout not in ("envelope", "pages"):
         raise ValueError(f"unknown bronze layout: {layout}")
@@ -61,13 +63,43 @@ def build_silver(spark: SparkSession, spec: DatasetSpec, bronze_root: str, silve
         raw = (read_envelope(spark, f"{base}/typeddataset.json", spec.schema)
                if layout == "envelope" else read_pages(spark, f"{base}/typed_dataset", spec.schema))
         raw = conform(raw, spec.schema)
+        if endpoints:
+            raw, landed[FACTS] = observed(raw, f"bronze_{spec.name}")
         for file, (code, name) in (titles or {}).items():
             dimension = read_pages(spark, f"{base}/{file}", "Key string, Title string",
                                    multi_line=True)
+            if endpoints:
+                landed[file.removesuffix(".json")] = dimension
             raw = with_titles(raw, dimension, code, name)
         return clean(raw, spec, ingestion_date, run_ts, order_by, business_names)
 
-    return load_counted(spark, build, spec, silver_root, ingestion_date, run_ts, runs)
+    landed: dict[str, Observation | DataFrame] = {}
+    n = load_counted(spark, build, spec, silver_root, ingestion_date, run_ts, runs)
+    if runs is not None:
+        for endpoint, rows in landed.items():
+            count = rows.get["n_records"] if isinstance(rows, Observation) else rows.count()
+            write_run(run_record(spark, spec.source, spec.name, ingestion_date, endpoint, count,
+                                 run_ts, table_id=spec.table_id), runs)
+    return n
+
+
+#: The endpoint of the facts, as run records name it.
+FACTS = "typeddataset"
+#: Dimension files whose titles fill in what facts lack: code and name column.
+TITLES = {"regions.json": ("RegioS", "RegioNaam")}
+
+
+def landed_titles(spark: SparkSession, spec: DatasetSpec, bronze_root: str, ingestion_date: str,
+                  titles: dict[str, tuple[str, str]] | None = None) -> dict[str, tuple[str, str]]:
+    """Those of the titles whose file was landed that day and whose columns the dataset has."""
+    found = {}
+    for file, columns in (TITLES if titles is None else titles).items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(
+            f"{bronze_path(bronze_root, spec)}/ingestion_date={ingestion_date}/{file}")
+        there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+        if there and set(columns) <= set(spec.schema.fieldNames()):
+            found[file] = columns
+    return found
 
 
 def refresh_current(spark: SparkSession, spec: DatasetSpec, silver_root: str, as_of: str,
@@ -100,19 +132,23 @@ def snapshot_dates(spark: SparkSession, spec: DatasetSpec, silver_root: str) ->
     return sorted(s.getPath().getName().partition("=")[2] for s in fs.globStatus(pattern) or [])
 
 
-def refresh_all(spark: SparkSession, silver_root: str, ingestion_date: str) -> str:
-    """Snapshots of the statistics after the load of a date; returns the date they stand for.
+def refresh_all(spark: SparkSession, silver_root: str, ingestion_date: str
+                ) -> tuple[str, dict[str, str | None]]:
+    """Snapshots of the statistics after the load of a date; returns the date they stand for and,
+    by dataset, the date of the snapshot each was made from.
 
     A new date is merged into the snapshot before it. When later dates were
     loaded already, the newest snapshot is ranked anew over all loads.
     """
+    made_from: dict[str, str | None] = {}
     newest = max([ingestion_date, *[d for spec in STATISTICS
                                     for d in snapshot_dates(spark, spec, silver_root)]])
     for spec in STATISTICS:
         earlier = [d for d in snapshot_dates(spark, spec, silver_root) if d < ingestion_date]
         previous = earlier[-1] if earlier and newest == ingestion_date else None
         refresh_current(spark, spec, silver_root, newest, previous)
-    return newest
+        made_from[spec.name] = previous
+    return newest, made_from
 
 
 def build_feed_silver(spark: SparkSession, spec: DatasetSpec,
@@ -180,16 +216,20 @@ FEED_READERS = {"addresses": read_parquet, "weather_stations": _weather, "traffi
 def build_date(spark: SparkSession, bronze_root: str, silver_root: str, ingestion_date: str,
                run_ts: datetime, runs: str | None = None, layout: str = "envelope",
                readers: dict[str, Callable[[SparkSession, str], DataFrame]] | None = None,
-               feeds: Sequence[DatasetSpec] = FEEDS) -> dict[str, int]:
+               feeds: Sequence[DatasetSpec] = FEEDS,
+               titles: dict[str, tuple[str, str]] | None = None) -> dict[str, int]:
     """Load one date of all datasets: statistics, which must succeed, then the feeds.
 
     The feeds do not depend on each other: all are tried before the first
     failure is raised. ``readers`` replaces feed readers, for instance by ones
     with a schema; a feed mapped to None is left out. ``feeds`` are the
-    catalogue's ``FEEDS``, its ``LANDED_FEEDS``, or both.
+    catalogue's ``FEEDS``, its ``LANDED_FEEDS``, or both. ``titles`` are the dimension files used
+    where they were landed, by default ``TITLES``.
     """
-    counts = {spec.name: build_silver(spark, spec, bronze_root, silver_root, ingestion_date,
-                                      run_ts, runs, layout) for spec in STATISTICS}
+    counts = {spec.name: build_silver(
+        spark, spec, bronze_root, silver_root, ingestion_date, run_ts, runs, layout,
+        titles=landed_titles(spark, spec, bronze_root, ingestion_date, titles), endpoints=True)
+        for spec in STATISTICS}
     failure: Exception | None = None
     for spec in feeds:
         read = {**FEED_READERS, **LANDED_READERS, **(readers or {})}[spec.name]
