@@ -986,6 +986,35 @@ def latency(spark, d):
                            F.col("o_orderdate"), F.col("l_shipdate"))
 
 
+@query
+def latency_distribution(spark, d):
+    """Sketches of each order month, kept apart and merged by order year."""
+    orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderdate")
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_shipdate", "l_linenumber")
+    dated = joins.enrich(lines, orders, ["l_orderkey"], ["o_orderdate"], "inner")
+    arrived = F.expr("l_shipdate + make_dt_interval(0, l_orderkey % 24, l_linenumber, 0)")
+    months = monitor.latency_sketch(
+        dated.withColumns({"period_code": year("o_orderdate"), "month": F.month("o_orderdate")}),
+        ["period_code", "month"], F.col("o_orderdate"), arrived)
+    path = scratch_path(spark, "latency-sketches")
+    months.write.partitionBy("month").parquet(path)
+    merged = monitor.merge_sketches([spark.read.parquet(path)], ["period_code"])
+    return monitor.sketch_quantiles(merged, ["period_code"], [0.5, 0.95, 0.99])
+
+
+@query
+def lineage_reachable(spark, d):
+    """Regions lead to nations, nations to customers and suppliers, suppliers to the parts they ship."""
+    node = lambda kind, key: F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
+    edge = lambda df, a, b: df.select(node(*a).alias("from_table"), node(*b).alias("to_table"))
+    edges = reduce(DataFrame.unionByName, [
+        edge(table(spark, d, "nation"), ("region", "n_regionkey"), ("nation", "n_nationkey")),
+        edge(table(spark, d, "customer"), ("nation", "c_nationkey"), ("customer", "c_custkey")),
+        edge(table(spark, d, "supplier"), ("nation", "s_nationkey"), ("supplier", "s_suppkey")),
+        edge(table(spark, d, "lineitem"), ("supplier", "l_suppkey"), ("flag", "l_returnflag"))])
+    return monitor.reachable(edges)
+
+
 @query
 def failure_rate(spark, d):
     return monitor.failure_rate(table(spark, d, "events"), fn.iso_date(F.col("ts")),

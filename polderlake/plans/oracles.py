@@ -447,6 +447,29 @@ UNION ALL SELECT 'events_none', COUNT(*) > 0 FROM events WHERE event_type = 'non
   CAST(SUM(date_diff('day', o_orderdate, l_shipdate)) AS DOUBLE) / COUNT(*) AS avg_days,
   quantile_cont(date_diff('day', o_orderdate, l_shipdate), 0.95) AS p95_days
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1""",
+    "latency_distribution": """WITH delays AS (
+  SELECT CAST(year(o_orderdate) AS INT) AS period_code, date_diff('microsecond', o_orderdate::TIMESTAMP,
+    l_shipdate::TIMESTAMP + to_hours(l_orderkey % 24) + to_minutes(l_linenumber)) AS v
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+cut AS (SELECT period_code, abs(v) AS v, CASE WHEN v < 0 THEN -1 ELSE 1 END AS side,
+               greatest(0, length(bin(abs(v))) - 8) AS s FROM delays),
+b AS (SELECT period_code, side * ((v >> s) << s) AS bucket, side, s, count(*) AS n FROM cut GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY period_code ORDER BY bucket) AS upto,
+             sum(n) OVER (PARTITION BY period_code) AS whole,
+             side * ((abs(bucket) + CASE WHEN s > 0 THEN (1::BIGINT << s) / 2 ELSE 0 END) / 1e6) AS value
+      FROM b)
+SELECT period_code, max(whole)::BIGINT AS n,
+  min(value) FILTER (upto >= ceil(whole * 0.5)) AS p50_seconds,
+  min(value) FILTER (upto >= ceil(whole * 0.95)) AS p95_seconds,
+  min(value) FILTER (upto >= ceil(whole * 0.99)) AS p99_seconds
+FROM c GROUP BY period_code""",
+    "lineage_reachable": """WITH RECURSIVE e AS (
+  SELECT 'region:' || n_regionkey AS a, 'nation:' || n_nationkey AS b FROM nation UNION
+  SELECT 'nation:' || c_nationkey, 'customer:' || c_custkey FROM customer UNION
+  SELECT 'nation:' || s_nationkey, 'supplier:' || s_suppkey FROM supplier UNION
+  SELECT 'supplier:' || l_suppkey, 'flag:' || l_returnflag FROM lineitem),
+r AS (SELECT a, b, 1 AS hops FROM e UNION SELECT r.a, e.b, hops + 1 FROM r JOIN e ON r.b = e.a)
+SELECT a AS source, b AS target, min(hops)::INTEGER AS hops FROM r GROUP BY a, b""",
     "failure_rate": """SELECT strftime(ts, '%Y-%m-%d') AS day, COUNT(*) AS n,
   COUNT(*) FILTER (event_type = 'error') AS failures,
   CAST(COUNT(*) FILTER (event_type = 'error') AS DOUBLE) / COUNT(*) AS rate FROM events GROUP BY 1""",
