@@ -97,14 +97,10 @@ def read_envelope_lines(spark, d):
 
 @query
 def recut_envelope(spark, d):
-    """All documents in one pretty-printed file, cut into lines by many tasks and read back."""
+    """Large pretty-printed documents, cut into lines by tasks that each see a part, and read back."""
     df, path = table(spark, d, "conversations"), scratch_path(spark, "whole")
     odd = df.withColumn("text", F.concat(F.col("text"), F.lit(' }] \\" {[ "value": [')))
-    # One file takes one writer; what is tested is that many tasks read it.
-    odd.select(F.to_json(F.struct(*odd.columns)).alias("v")).coalesce(1).select(F.concat(
-        F.when(F.monotonically_increasing_id() == 0, F.lit('{"source": "a}[{\\"", "value": [\n')).otherwise(F.lit(",\n")),
-        "v").alias("value")).unionByName(
-        spark.range(1).select(F.lit("]}").alias("value"))).coalesce(1).write.text(path)
+    landing.land_envelopes(odd, path, rows_per_file=20_000)
     recut.recut(spark, path, f"{path}-lines")
     return readers.read_pages(spark, f"{path}-lines", df.schema)
 
