@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from polderlake.functions.scalars import comparable
+from polderlake.functions.scalars import comparable, fresh
 
 
 def bundle(df: DataFrame, rows_per_file: int) -> DataFrame:
@@ -16,11 +16,12 @@ def bundle(df: DataFrame, rows_per_file: int) -> DataFrame:
     local sort fixes which row gets which number: a task run again after a
     lost executor deals the same rows to the same documents.
     """
+    at = fresh("_id", df)
     numbered = (df.sortWithinPartitions(F.xxhash64(*comparable(df)), *comparable(df))
-                .withColumn("_id", F.monotonically_increasing_id()))
+                .withColumn(at, F.monotonically_increasing_id()))
     return (numbered
-            .groupBy(F.shiftright("_id", 33).alias("_part"),
-                     F.expr(f"(_id & {(1 << 33) - 1}) div {int(rows_per_file)}").alias("_block"))
+            .groupBy(F.shiftright(at, 33).alias("_part"),
+                     F.expr(f"({at} & {(1 << 33) - 1}) div {int(rows_per_file)}").alias("_block"))
             .agg(F.collect_list(F.struct(*df.columns)).alias("rows")))
 
 

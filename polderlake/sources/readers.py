@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, DoubleType, StringType, StructField, StructType
 
+from polderlake.functions.scalars import fresh
 from polderlake.operators.normalize import flatten_envelope
 
 
@@ -127,9 +128,10 @@ def parse_json(df: DataFrame, column: str, schema: StructType | str,
                prefix: str = "") -> DataFrame:
     """Add the fields of a JSON text column; unparsable text gives nulls."""
     row = _as_schema(schema)
-    parsed = df.withColumn("_parsed", F.from_json(F.col(column), row))
-    fields = {f"{prefix}{f.name}": F.col(f"_parsed.`{f.name}`") for f in row.fields}
-    return parsed.withColumns(fields).drop("_parsed")
+    mark = fresh("_parsed", df)
+    parsed = df.withColumn(mark, F.from_json(F.col(column), row))
+    fields = {f"{prefix}{f.name}": F.col(f"{mark}.`{f.name}`") for f in row.fields}
+    return parsed.withColumns(fields).drop(mark)
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
