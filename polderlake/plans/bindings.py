@@ -26,7 +26,7 @@ from polderlake.plans import gold as gold_plan
 from polderlake.plans.silver import (LANDED_READERS, build_feed_silver, build_silver,
                                      refresh_current)
 from polderlake.session import scratch_path
-from polderlake.sources import buckets, landing, readers, recut, tables
+from polderlake.sources import buckets, history, landing, readers, recut, tables
 from polderlake.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -283,6 +283,33 @@ def append_schema_evolution(spark, d):
         "party_key", "party_name", "balance", "segment", "nation_key")
 
 
+def _widened(spark: SparkSession, d: str) -> str:
+    """Orders in three loads: amounts as int, as long, and with cents and a status."""
+    path, orders = scratch_path(spark, "widened"), table(spark, d, "orders")
+    for i, (key, amount) in enumerate([("int", "int"), ("long", "long"), ("long", "decimal(15,2)")]):
+        price = "o_totalprice" if i == 2 else "floor(o_totalprice)"
+        load = orders.where(f"o_orderkey % 3 = {i}").select(
+            F.col("o_orderkey").cast(key).alias("order_key"), F.expr(price).cast(amount).alias("amount"),
+            *(["o_orderstatus"] if i == 2 else []))
+        history.append_versioned(load, path, f"load-{i}")
+    return path
+
+
+@query
+def widened_loads(spark, d):
+    return history.read_versioned(spark, _widened(spark, d)).withColumn("amount", F.col("amount").cast("double"))
+
+
+@query
+def schema_history(spark, d):
+    """What each load changed, with the rows visible at its version."""
+    path = _widened(spark, d)
+    seen = reduce(DataFrame.unionByName, [
+        history.read_versioned(spark, path, v).agg(F.count(F.lit(1)).alias("n_rows"))
+        .withColumn("version", F.lit(v)) for v in range(3)])
+    return history.schema_history(spark, path).join(seen, "version")
+
+
 def _parties(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     customers = table(spark, d, "customer").select(
         F.col("c_custkey").alias("party_key"), F.col("c_name").alias("party_name"),
@@ -317,6 +344,44 @@ def page_gaps(spark, d):
     return paging.page_gaps(paging.page_manifest(pages, 10))
 
 
+def _byte_pages(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return paging.assign_pages_by_bytes(orders, "o_orderkey", page_bytes=20_000)
+
+
+@query
+def assign_pages_by_bytes(spark, d):
+    return _byte_pages(spark, d)
+
+
+@query
+def byte_manifest(spark, d):
+    return paging.byte_manifest(_byte_pages(spark, d))
+
+
+def _landed_pages(spark: SparkSession, d: str) -> tuple[DataFrame, str, DataFrame]:
+    """Pages landed under their names, some of them lost and some cut: all, where, which to repeat."""
+    pages, path = _byte_pages(spark, d), scratch_path(spark, "named-pages")
+    landing.land_named_pages(pages.where("page_idx % 7 != 3 AND (page_idx % 5 != 2 OR row_idx % 2 = 0)"), path)
+    return pages, path, paging.page_requests(paging.byte_manifest(pages), landing.landed_pages(spark, path))
+
+
+@query
+def landed_page_requests(spark, d):
+    return _landed_pages(spark, d)[2]
+
+
+@query
+def landed_pages_repaired(spark, d):
+    """The pages of the list landed again; then the rows of all pages."""
+    pages, path, requests = _landed_pages(spark, d)
+    asked = scratch_path(spark, "requests")
+    requests.select("part_name").write.parquet(asked)
+    landing.land_named_pages(joins.restrict_to(pages, spark.read.parquet(asked), ["part_name"]), path)
+    own = pages.select("o_orderkey", "o_custkey", "o_orderstatus").schema
+    return readers.read_pages(spark, path, own).select(*own.fieldNames())
+
+
 # ---- projections, filters, scalar functions ---------------------------------------------
 
 

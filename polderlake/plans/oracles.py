@@ -45,6 +45,16 @@ FROM orders"""
 PAGED = """p AS (SELECT o_orderkey, o_custkey,
   CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS row_idx FROM orders)"""
 
+BYTE_PAGED = """sized AS (SELECT o_orderkey, o_custkey, o_orderstatus, CAST(1 + strlen('{"o_orderkey":' ||
+    o_orderkey || ',"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}') AS BIGINT) AS row_bytes
+  FROM orders),
+p AS (SELECT *, CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS row_idx,
+    CAST(coalesce(sum(row_bytes) OVER (ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+         // 20000 AS BIGINT) AS page_idx FROM sized),
+m AS (SELECT page_idx, printf('part-%05d.json', page_idx) AS part_name, MIN(row_idx) AS skip, COUNT(*) AS n,
+    CAST(SUM(row_bytes) + 1 AS BIGINT) AS n_bytes,
+    page_idx = (SELECT MAX(page_idx) FROM p) AS is_last FROM p GROUP BY page_idx)"""
+
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 NON_BLANK = (r"[^\t\n\x0b\x0c\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
              r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
@@ -114,6 +124,24 @@ FROM orders WHERE year(o_orderdate) = 1998""",
 FROM orders GROUP BY 1""",
     "gold_overwrite_roundtrip": TRENDS,
     "append_schema_evolution": PARTIES,
+    "widened_loads": """SELECT o_orderkey AS order_key,
+  CAST(CASE WHEN o_orderkey % 3 = 2 THEN o_totalprice ELSE floor(o_totalprice) END AS DOUBLE) AS amount,
+  CASE WHEN o_orderkey % 3 = 2 THEN o_orderstatus END AS o_orderstatus FROM orders""",
+    "schema_history": """SELECT version, column_name, type, change,
+  (SELECT COUNT(*) FROM orders WHERE o_orderkey % 3 <= version) AS n_rows
+FROM (VALUES (0, 'order_key', 'int', 'added'), (0, 'amount', 'int', 'added'), (1, 'order_key', 'bigint', 'widened'),
+  (1, 'amount', 'bigint', 'widened'), (2, 'amount', 'decimal(21,2)', 'widened'),
+  (2, 'o_orderstatus', 'string', 'added')) t(version, column_name, type, change)""",
+    "assign_pages_by_bytes": f"""WITH {BYTE_PAGED}
+SELECT *, printf('part-%05d.json', page_idx) AS part_name FROM p""",
+    "byte_manifest": f"WITH {BYTE_PAGED} SELECT * FROM m",
+    "landed_page_requests": f"""WITH {BYTE_PAGED},
+l AS (SELECT page_idx, COUNT(*) AS n_landed FROM p
+  WHERE page_idx % 7 <> 3 AND (page_idx % 5 <> 2 OR row_idx % 2 = 0) GROUP BY 1)
+SELECT part_name, page_idx, skip, n, coalesce(n_landed, 0) AS n_landed,
+  CASE WHEN n_landed IS NULL THEN 'missing' ELSE 'short' END AS reason
+FROM m LEFT JOIN l USING (page_idx) WHERE n_landed IS NULL OR n_landed < n""",
+    "landed_pages_repaired": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
     "assign_pages": f"""WITH {PAGED}
 SELECT *, row_idx // 1000 AS page_idx, row_idx // 1000 * 1000 AS skip,
        printf('part-%05d.json', row_idx // 1000) AS part_name FROM p""",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from polderlake.functions.scalars import comparable, fresh
+from polderlake.operators.paging import BYTE_PAGE
 
 
 def bundle(df: DataFrame, rows_per_file: int) -> DataFrame:
@@ -46,6 +47,39 @@ def land_pages(df: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
     _write_documents(docs.select(F.to_json("rows").alias("value")), path)
 
 
+def land_named_pages(pages: DataFrame, path: str) -> None:
+    """Bare JSON arrays, each in a folder of its page's name: ``part_name=part-00010.json``.
+
+    ``pages`` comes from ``assign_pages_by_bytes``, so a page fits a task. Only the pages
+    present in it are written, in place of what was under their names: landing the pages of
+    ``page_requests`` once more repairs a table and touches no other page.
+    """
+    own = [c for c in pages.columns if c not in BYTE_PAGE]
+    row = F.struct(*own) if own else F.struct(F.lit(None).cast("int").alias("none"))
+    texts = pages.groupBy("part_name").agg(F.array_sort(F.collect_list(
+        F.struct("row_idx", F.to_json(row).alias("text")))).alias("rows"))
+    value = F.concat(F.lit("["), F.array_join("rows.text", ","), F.lit("]")).alias("value")
+    (texts.select(value, "part_name").write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("part_name").text(path))
+
+
+def landed_pages(spark: SparkSession, path: str) -> DataFrame:
+    """``part_name, n_files, n_landed, n_bytes`` of the pages under their names.
+
+    The rows are counted without reading their fields. ``n_landed`` is null when a file of the
+    page is no JSON array. Spark does not read files without a byte: such a page is not there.
+    """
+    read = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"part_name=([^/]+)", 1)
+    text = F.rtrim(F.col("value"), F.lit("\n"))
+    held = read.select(name.alias("part_name"), F.octet_length(text).cast("long").alias("bytes"),
+                       F.json_array_length(text).cast("long").alias("rows"))
+    return held.groupBy("part_name").agg(
+        F.count(F.lit(1)).alias("n_files"),
+        F.when(F.count("rows") == F.count(F.lit(1)), F.sum("rows")).alias("n_landed"),
+        F.sum("bytes").alias("n_bytes"))
+
+
 def land_geojson(df: DataFrame, path: str, id_column: str, x: str, y: str,
                  rows_per_file: int = 1_000) -> None:
     """FeatureCollections of points, one per file; every column is a property."""

@@ -2,6 +2,7 @@ from conftest import collect
 from pyspark.sql import functions as F
 
 from polderlake.operators import paging
+from polderlake.sources import landing, readers
 
 
 def test_pages_are_full_but_for_the_last(spark):
@@ -45,3 +46,72 @@ def test_gaps(spark):
 def test_a_short_page_in_the_middle_shows(spark):
     pages = spark.createDataFrame([(0,)] * 3 + [(1,)] * 2 + [(2,)] * 3, "page_idx bigint")
     assert [m[4] for m in collect(paging.page_manifest(pages, 3))] == [False, True, True]
+
+
+def byte_pages(rows, budget):
+    """Page of each row by running sums, a row above the budget counting as one budget."""
+    at, pages = 0, []
+    for size in rows:
+        pages.append(at // budget)
+        at += min(size, budget)
+    return pages
+
+
+def test_byte_pages_equal_running_sums(spark):
+    """Rows of every size, some far above the budget, over several ranges."""
+    df = spark.range(0, 3_000, 1, 7).select(
+        F.col("id").alias("k"), F.when(F.col("id") % 11 > 0, F.repeat(F.lit("é"), (F.col("id") % 97).cast("int")))
+        .alias("text"), F.when(F.col("id") % 500 == 3, F.repeat(F.lit("x"), F.lit(5_000))).alias("big"))
+    pages = paging.assign_pages_by_bytes(df, "k", 1_000, partitions=5)
+    rows = sorted(pages.collect(), key=lambda r: r.k)
+    assert [r.row_idx for r in rows] == list(range(3_000))
+    assert [r.page_idx for r in rows] == byte_pages([r.row_bytes for r in rows], 1_000)
+    manifest = sorted(paging.byte_manifest(pages).collect())
+    assert [m.page_idx for m in manifest] == list(range(len(manifest)))  # no number left out
+    assert sum(m.n for m in manifest) == 3_000 and [m.is_last for m in manifest].index(True) == len(manifest) - 1
+    last = {r.page_idx: r.row_bytes for r in rows}
+    assert all(m.n_bytes - 1 - last[m.page_idx] < 1_000 for m in manifest)
+
+
+def test_landed_pages_are_held_against_the_manifest(spark, tmp_path):
+    path = str(tmp_path / "pages")
+    df = spark.range(0, 400, 1, 3).select(F.col("id").alias("k"), F.lit('a"\n,é').alias("text"),
+                                          F.when(F.col("id") % 2 == 0, F.col("id")).alias("half"))
+    pages = paging.assign_pages_by_bytes(df, "k", 600, partitions=3)
+    manifest = paging.byte_manifest(pages)
+    landing.land_named_pages(pages, path)
+    look = lambda: {r.part_name: r.reason for r in paging.page_requests(
+        manifest, landing.landed_pages(spark, path)).collect()}
+    assert look() == {}
+    folder = lambda i: tmp_path / "pages" / f"part_name=part-{i:05d}.json"
+    file = lambda i: next(f for f in folder(i).iterdir() if f.name.startswith("part-"))
+    for hidden in (tmp_path / "pages").rglob(".*.crc"):
+        hidden.unlink()
+    whole = {i: file(i).read_text() for i in range(8)}
+    file(0).write_text(whole[0][:-20])
+    file(1).write_text("")
+    file(2).write_text(whole[2].replace("}]", '},{"k":1}]'))
+    file(3).write_text("[]")
+    file(4).write_text(whole[4].replace("é", "e", 1))
+    (folder(5) / "part-again.txt").write_text(whole[5])
+    (tmp_path / "pages" / "part_name=part-99999.json").mkdir()
+    (tmp_path / "pages" / "part_name=part-99999.json" / "part-0.txt").write_text("[]")
+    name = "part-{:05d}.json".format
+    assert look() == {name(0): "damaged", name(1): "missing", name(2): "long", name(3): "short", name(4): "altered",
+                      name(5): "repeated", name(99999): "unknown"}
+    untouched = file(6).stat().st_mtime_ns
+    landing.land_named_pages(pages.where("page_idx < 6"), path)
+    assert look() == {name(99999): "unknown"} and file(6).stat().st_mtime_ns == untouched
+    back = readers.read_pages(spark, path, df.schema).select(*df.columns)
+    assert collect(back) == collect(df)
+
+
+def test_byte_pages_of_odd_tables(spark):
+    odd = spark.createDataFrame([(None, "x", 1), (None, "x", 1), (2, None, 5), (2, None, 5)],
+                                "_range int, _start string, page_idx int")
+    pages = paging.assign_pages_by_bytes(odd, ["page_idx", "_range"], 1)
+    rows = sorted(pages.collect(), key=lambda r: r.row_idx)
+    assert [(r._range, r._start, r.page_idx, r.row_idx) for r in rows] == [
+        (None, "x", 0, 0), (None, "x", 1, 1), (2, None, 2, 2), (2, None, 3, 3)]
+    assert paging.assign_pages_by_bytes(odd.limit(0), "_range", 10).collect() == []
+    assert paging.byte_manifest(paging.assign_pages_by_bytes(odd.limit(0), "_range", 10)).collect() == []
