@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from polderlake.catalog import (DEFAULT_EXTENSION, EXTENSIONS, LANDED_FEEDS, STATISTICS, DatasetSpec,
                                 bronze_path, gold_path, load_catalog, schema_of,
@@ -26,7 +27,7 @@ from polderlake.plans import gold as gold_plan
 from polderlake.plans.silver import (LANDED_READERS, build_feed_silver, build_silver,
                                      refresh_current)
 from polderlake.session import scratch_path
-from polderlake.sources import buckets, history, landing, readers, recut, tables
+from polderlake.sources import buckets, compaction, history, landing, readers, recut, tables
 from polderlake.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1030,6 +1031,25 @@ def run_manifest(spark, d):
         "dataset_name", "ingestion_datetime", "endpoint", "n_records", "status")
 
 
+def _small_files(spark: SparkSession, d: str) -> tuple[str, StructType]:
+    """Events by month in many small files, those of the first months compacted, the rest loose."""
+    path, events = scratch_path(spark, "small-files"), table(spark, d, "events")
+    months = events.withColumn("batch_id", F.month("ts")).repartition(6, "event_id")
+    months.write.partitionBy("batch_id").parquet(path)
+    compaction.compact_batches(spark, path, months.schema, last_batch=4)
+    events.withColumn("batch_id", F.lit(99)).where("value > 50").write.mode("append").partitionBy(
+        "batch_id").parquet(path)  # a writer goes on beside the compaction
+    compaction.compact_batches(spark, path, months.schema, last_batch=8)
+    compaction.expire(spark, path)
+    return path, months.schema
+
+
+@query
+def compacted_batches(spark, d):
+    return compaction.read_packed(spark, *_small_files(spark, d)).select(
+        "event_id", "user_id", "event_type", "value", "batch_id")
+
+
 @query
 def freshness(spark, d):
     anchor = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")

@@ -14,7 +14,7 @@ from polderlake.operators.quality import enforce_gate, run_summary
 from polderlake.plans.gold import build_gold
 from polderlake.plans.silver import FEED_READERS, build_date, refresh_all
 from polderlake.session import build_session, clear_scratch
-from polderlake.sources.readers import read_silver
+from polderlake.sources.compaction import compact, read_packed
 from polderlake.sources.tables import RUN_SCHEMA
 
 
@@ -35,8 +35,9 @@ def main(argv: list[str] | None = None) -> dict[str, int]:
         counts = build_date(spark, args.bronze, args.silver, args.date, now, args.runs, args.layout,
                             {name: None for name in args.skip})
         if args.runs:
-            runs = read_silver(spark, args.runs, RUN_SCHEMA)
+            runs = read_packed(spark, args.runs, RUN_SCHEMA)
             enforce_gate(run_summary(runs.where(F.col("ingestion_date") == args.date)))
+            compact(spark, args.runs, RUN_SCHEMA)  # each run leaves some files of a few rows
         as_of, previous = refresh_all(spark, args.silver, args.date)
         return {**counts, **build_gold(spark, args.silver, args.gold, now, as_of, previous)}
     finally:

@@ -141,6 +141,8 @@ l AS (SELECT page_idx, COUNT(*) AS n_landed FROM p
 SELECT part_name, page_idx, skip, n, coalesce(n_landed, 0) AS n_landed,
   CASE WHEN n_landed IS NULL THEN 'missing' ELSE 'short' END AS reason
 FROM m LEFT JOIN l USING (page_idx) WHERE n_landed IS NULL OR n_landed < n""",
+    "compacted_batches": """SELECT event_id, user_id, event_type, value, CAST(month(ts) AS INT) AS batch_id FROM events
+UNION ALL SELECT event_id, user_id, event_type, value, 99 FROM events WHERE value > 50""",
     "landed_pages_repaired": "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders",
     "assign_pages": f"""WITH {PAGED}
 SELECT *, row_idx // 1000 AS page_idx, row_idx // 1000 * 1000 AS skip,
