@@ -116,3 +116,41 @@ def test_rare_terms_are_matched_with_edits(spark):
 def test_forms_of_their_own_right_by_their_share_in_both_classes():
     assert tx.own_right(0, 1, 100, 900) and tx.own_right(2, 40, 100, 900)
     assert not tx.own_right(3, 1, 100, 900) and not tx.own_right(0, 0, 100, 900)
+
+
+def test_misspelt_toxic_texts_are_still_caught(spark):
+    """One letter changed in every learned term of the held-out toxic texts."""
+    docs, labels = labelled(spark)
+    model = tx.fit(spark, docs, labels)
+    scan = model.scanner()
+    rows = docs.join(labels, "doc_id").where(tx.held_out("doc_id")).collect()
+    toxic = [r.text for r in rows if r.toxic]
+    wrong = [tx.misspelt(t, scan.hits(t)[1]) for t in toxic]
+    assert all(a != b and len(a) == len(b) for a, b in zip(toxic, wrong))
+    assert (model.scores(scan, wrong) >= 0.5).mean() >= 0.85
+    assert (model.scores(scan, [r.text for r in rows if not r.toxic]) < 0.5).mean() >= 0.99
+    assert model.weights[tx.FEATURES.index("fuzzy")] >= 0
+
+
+def test_a_term_among_clean_words_allows_fewer_edits(spark):
+    rows = [(f"t {w} x{i}", 1) for i in range(20) for w in ("worthless", "moronic")]
+    rows += [(f"c {w} y{i}", 0) for i, w in enumerate(["worthlest", "worthlesp", "worthlesd"] * 40)]
+    df = spark.createDataFrame(rows, "text string, toxic int")
+    got = tx.allowed_edits(spark, df, {"worthless": 20, "moronic": 20}, [], {1: 40, 0: 120})
+    assert got == {"worthless": 0}
+    machine = tx.Automaton(["worthless", "moronic"], [], [], got)
+    assert [machine.look_up(w) for w in ("worthless", "worthlest", "moronyc")] == ["exact", None, "fuzzy"]
+    assert machine.near("moronyc") == [("moronic", 1)]
+
+
+def test_label_ties_have_a_rule(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate("aabbbcd")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 0), (4, 1), (5, 0), (5, 1), (6, None)],
+                                   "doc_id long, toxic int")
+    held = {i for i in range(7) if zlib.crc32(str(i).encode()) % 5 == 0}
+    want: dict[str, list] = {}
+    for i, t in enumerate("aabbbc"):
+        if i not in held:
+            want.setdefault(t, []).append({0: 0, 1: 1, 2: 0, 3: 0, 4: 1, 5: 1}[i])
+    got = {r.text: r.toxic for r in tx.training_rows(docs, labels).collect()}
+    assert got == {t: int(2 * sum(v) >= len(v)) for t, v in want.items()}
