@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from fixtures import ODD, odd_documents, plain
 
 from polderlake.llm import near_dedup as nd
@@ -90,3 +91,18 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark, links).collect()}
     assert got == {**{i: 10 for i in range(10, 41)}, 1: 1, 3: 1, 5: 1, 7: 7, 8: 7}
     assert components(spark, links.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("times", [1, 5, 20, 60])
+def test_texts_that_repeat_parts_of_themselves_meet(times):
+    """Pairs of set Jaccard similarity just above 0.8, a part of one text many times over."""
+    r, met, pairs = np.random.default_rng(times), 0, 400
+    for _ in range(pairs):
+        sets = r.integers(0, 2**63, 111, np.uint64)
+        both, more = sets[:90], sets[90:]
+        half = np.repeat(both[:r.integers(1, 90)], times)
+        a = np.concatenate([both, half, more[:10]])
+        b = np.concatenate([both, more[10:]])
+        keys = nd.sketches([a, b], nd.BANDS * nd.ROWS).reshape(2, nd.BANDS, -1)
+        met += bool((keys[0] == keys[1]).all(axis=1).any())
+    assert met >= 0.99 * pairs
