@@ -60,3 +60,109 @@ def test_repeated_slot_in_an_article_goes_and_its_own_texts_stay(spark):
     rows = [(n, "https://e.example/x", body.format(n=n)) for n in range(5)]
     got = {r.page_id: r.text for r in he.extract(spark, pages(spark, rows)).collect()}
     assert got == {n: f"Story {n}\nSummary\nIt is {n} again\nPlain end" for n in range(5)}
+
+
+@pytest.mark.parametrize("html, want", [
+    ('<article class="post tag-politics"><h1>A</h1><p>b</p></article>', "A\nb"),
+    ('<body class="single no-sidebar"><p>text</p></body>', "text"),
+    ('<article><div class="entry-header"><h1>Title</h1></div><section id="legal">law</section></article>', "Title\nlaw"),
+    ("<p>a</p><p><a href=x>one link</a></p><p><math><mi>x</mi></math> y</p>", "a\none link\nx y"),
+    ("<ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><p>text</p>", "text"),
+    ('<article>post</article><article class="comment even">hi</article><div class="Sidebar">s</div>', "post"),
+    ("<p class=it's>a</p><p title='b>c'>d</p>", "a\nd"),
+    ('<a b="x>y', "y"),  # an open quote ends with its tag
+    ('<p hidden>a</p><p style="display: none">b</p><p data-class="ads">c</p>', "c")])
+def test_names_are_a_prior(html, want):
+    assert he.main_text(html) == want
+
+
+def neutral(n):
+    links = "".join(f"<i><a href=/{k}>topic {(n * 7 + k) % 60}</a></i> " for k in range(5))
+    return (f'<body><div class="k1">Bulletin {n % 2}: all is well</div><div class="k2">{links}</div>'
+            f'<div class="k3"><h1>Title {n}</h1><div class="alert">Story {n} tells of {n * n} things that came to '
+            f'pass, one after the other</div></div><div class="k4">Made with care</div></body>')
+
+
+def test_template_decides_where_names_say_nothing(spark):
+    rows = [(n, "http://f.example/x", neutral(n)) for n in range(40)]
+    on = {r.page_id: r.text for r in he.extract(spark, pages(spark, rows)).collect()}
+    off = {n: he.main_text(neutral(n)) for n in range(40)}
+    # The rotating bulletin, the links and the fixed line go, the story marked as an alert stays.
+    assert on == {n: f"Title {n}\nStory {n} tells of {n * n} things that came to pass, one after the other"
+                  for n in range(40)}
+    assert all(on[n] != off[n] for n in on)
+
+
+def test_prose_outside_the_article_stays_if_it_varies_and_weighs(spark):
+    page = ("<body><article><h1>T {n}</h1><p>First part of story {n} is here</p></article><div><p>And the second "
+            "part, {n} words long, follows</p></div><div class=x>short {n}</div></body>")
+    rows = [(n, "http://g.example/", page.format(n=n)) for n in range(12)]
+    got = {r.page_id: r.text for r in he.extract(spark, pages(spark, rows)).collect()}
+    assert got == {n: f"T {n}\nFirst part of story {n} is here\nAnd the second part, {n} words long, follows"
+                   for n in range(12)}
+
+
+def brute_template(htmls):
+    """Classes and slots of one host by whole vectors and by comparing all pairs of positions."""
+    flat = []
+    for page in htmls:
+        tokens = []
+        for kind, value, node in he.events(page):
+            if kind == "text":
+                if not node.raw and not value.isspace() and (not node.inside or node.marked):
+                    tokens.append(he.text_token(value, node))
+            else:
+                tokens.append(value + (">" if kind == "close" else ""))
+        flat.append(tokens)
+    vectors = {t: tuple(p.count(t) for p in flat) for t in {t for p in flat for t in p}}
+    groups = {}
+    for t, v in vectors.items():
+        if max(v) == 1 and sum(v) >= he.MIN_SUPPORT * len(flat):
+            groups.setdefault(v, set()).add(t)
+    groups = {v: ts for v, ts in groups.items() if len(ts) >= he.MIN_CLASS}
+    bad = set()
+    for v, ts in groups.items():
+        if len({tuple(t for t in p if t in ts) for p in flat if ts & set(p)}) > 1:
+            bad.add(v)
+    crossed = []
+    for v, ts in groups.items():
+        for w, us in groups.items():
+            for p in flat:
+                a, b = ([i for i, t in enumerate(p) if t in s] for s in (ts, us))
+                if v < w and a and b:
+                    gaps = [{sum(x < y for x in s) for y in r} for s, r in ((a, b), (b, a))]
+                    if len(gaps[0]) > 1 and len(gaps[1]) > 1:
+                        crossed.append((v, w))
+    return groups, bad, crossed
+
+
+def varied(n):
+    nav = "<div class=n><u>1</u></div>" if n % 6 else ""
+    pair = ["<s id=a>left</s>", "<s id=b>right</s>"]
+    swapped = "".join(pair if n % 2 else pair[::-1])
+    split = ["<em>q</em>", "<strong>r</strong>"] if n % 6 != 1 else ["", ""]
+    return f"<body>{nav}{split[0]}<div class=m>{swapped}<p>own {n}</p></div>{split[1]}<footer>f</footer></body>"
+
+
+def test_classes_equal_brute_force(spark):
+    htmls = [varied(n) for n in range(24)]
+    groups, bad, crossed = brute_template(htmls)
+    assert bad and crossed  # a changing order, and classes that interleave
+    # The loser of a crossing is the class on fewer pages.
+    lost = {min((v, w), key=sum) for v, w in crossed}
+    assert all(sum(v) != sum(w) for v, w in crossed)
+    want = {t for v, ts in groups.items() if v not in bad | lost for t in ts if not t.endswith(">")}
+    df = pages(spark, [(n, "http://h.example/", h) for n, h in enumerate(htmls)])
+    got = he.templates(df).collect()
+    assert set(got[0].tokens if got else []) == want
+
+
+def test_long_and_deep_pages_take_time_in_proportion():
+    import time
+    for part in ("<div>x", '<a href="x ', "<a b='>x", "<", '<div class="a b">x', "<p>a<b>x"):
+        took = []
+        for size in (50_000, 400_000):
+            start = time.process_time()
+            he.main_text(part * (size // len(part)))
+            took.append(time.process_time() - start)
+        assert took[1] < 24 * took[0] + 0.2, part
