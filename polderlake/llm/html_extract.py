@@ -414,7 +414,7 @@ def slot_texts(page: str, template: Template) -> dict[str, list]:
     return found
 
 
-def _slots(pages: DataFrame, classes: DataFrame) -> DataFrame:
+def _slots(spark: SparkSession, pages: DataFrame, classes: DataFrame) -> DataFrame:
     """``host, slots``: what each host's slots say, one line for each slot with text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = _Templates()
@@ -429,8 +429,8 @@ def _slots(pages: DataFrame, classes: DataFrame) -> DataFrame:
     texts = _with(pages, classes).where("tokens IS NOT NULL").select("host", "html", "tokens").mapInArrow(
         run, TEXTS)
     sums = [F.sum(c).alias(c) for c in ("chars", "linked", "pages")]
-    slots = texts.groupBy("host", "slot", "text").agg(*sums).groupBy("host", "slot").agg(
-        *sums, F.count(F.lit(1)).alias("texts"))
+    slots = staged(spark, texts.groupBy("host", "slot", "text").agg(*sums).groupBy("host", "slot").agg(
+        *sums, F.count(F.lit(1)).alias("texts")), "slot-texts")
     prose = F.expr("chars - linked")
     largest = slots.groupBy("host").agg(F.max(F.struct(prose.alias("prose"), "slot")).alias("top"))
     varies = (F.col("slot") == F.col("top.slot")) | (
@@ -467,7 +467,7 @@ def deduce(spark: SparkSession, pages: DataFrame, min_support: float = MIN_SUPPO
                    "template-classes")
     bad = _checks(pages, staged(spark, _classes(lines), "template-candidates"))
     kept = staged(spark, _classes(lines.join(bad, ["host", "class"], "left_anti")), "template-tokens")
-    return staged(spark, kept.join(_slots(pages, kept), "host", "left"), "template-slots")
+    return staged(spark, kept.join(_slots(spark, pages, kept), "host", "left"), "template-slots")
 
 
 def templates(pages: DataFrame, min_support: float = MIN_SUPPORT,
