@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from polderlake.functions.scalars import comparable, fresh
 from polderlake.operators.incremental import detect_changes, union_batches
+from polderlake.operators.joins import skew_safe_join
+from polderlake.session import scratch_root
 
 LEAVES, FANOUT = 1 << 12, 16
 PARTS = ("n", "d1", "d2")
@@ -130,20 +132,21 @@ def unreconciled_keys(before: DataFrame, after: DataFrame, by: Sequence[str],
                       keys: Sequence[str]) -> DataFrame:
     """Keys that vanished, appeared, or are there more or fewer times than before.
 
-    Only partitions whose fingerprints differ are counted key by key.
+    Only partitions whose fingerprints differ are counted key by key. Those are found first, once;
+    rows are held against that list, not shuffled by partition, as a few of them may hold all rows.
     """
     both = [*by, *(k for k in keys if k not in by)]
+    scratch_root(before.sparkSession)
+    mark = fresh("_by", before, after)
     off = reconcile(before, after, by, keys).where(~F.col("same_keys")).select(
-        F.struct(*by).alias("_by"))
+        F.struct(*by).alias(mark)).checkpoint()
 
-    def side(df: DataFrame, name: str) -> DataFrame:
-        mark = fresh("_by", df)
-        kept = df.select(*both).withColumn(mark, F.struct(*by)).join(
-            off.withColumnRenamed("_by", mark), mark, "left_semi")
-        return kept.groupBy(*both).agg(F.count(F.lit(1)).alias(name))
+    def side(df: DataFrame, n_before: int, n_after: int) -> DataFrame:
+        kept = skew_safe_join(df.select(*both, F.struct(*by).alias(mark)), off, [mark], "left_semi")
+        return kept.select(*both, F.lit(n_before).alias("n_before"), F.lit(n_after).alias("n_after"))
 
-    counted = union_batches(side(before, "n_before"), side(after, "n_after")).groupBy(*both).agg(
-        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n_before", "n_after")])
+    counted = union_batches(side(before, 1, 0), side(after, 0, 1)).groupBy(*both).agg(
+        *[F.sum(n).alias(n) for n in ("n_before", "n_after")])
     what = (F.when(F.col("n_after") == 0, "vanished").when(F.col("n_before") == 0, "appeared")
             .when(F.col("n_after") > F.col("n_before"), "multiplied").otherwise("reduced"))
     return counted.where("n_before <> n_after").withColumn("what", what)

@@ -57,3 +57,13 @@ def test_reconciliation_names_what_counts_hide(spark):
     assert collect(off) == [("a", 1, 1, 2, "multiplied"), ("a", 2, 1, 0, "vanished"),
                             ("c", 5, 2, 1, "reduced"), ("d", 6, 0, 1, "appeared")]
     assert digests.unreconciled_keys(before, before, ["p"], ["k"]).collect() == []
+
+
+def test_rows_are_not_shuffled_by_partition_to_find_keys(spark):
+    rows = spark.range(4_000).selectExpr("id % 2 AS p", "id AS k").repartition(4)
+    off = digests.unreconciled_keys(rows, rows.where("k % 100 <> 0"), ["p"], ["k"])
+    assert collect(off) == sorted([(0, k, 1, 0, "vanished") for k in range(0, 4_000, 100)], key=repr)
+    plan = off._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in plan
+    before = off._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" not in before and before.count("BroadcastHashJoin") == 2
