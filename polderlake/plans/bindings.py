@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ from polderlake.operators.normalize import (cast_columns, drop_invalid, flatten_
 from polderlake.plans import gold as gold_plan
 from polderlake.plans.silver import (LANDED_READERS, build_feed_silver, build_silver,
                                      refresh_current)
-from polderlake.session import scratch_path
+from polderlake.session import scratch_path, side_by_side
 from polderlake.sources import buckets, compaction, history, landing, readers, recut, tables
 from polderlake.streaming import streams
 
@@ -1214,10 +1214,12 @@ def _land_statistics(spark: SparkSession, d: str, bronze: str, ingestion_date: s
     """The four statistics datasets, one row per customer and order year, as envelopes."""
     orders = orders_by_region(spark, d)
     keys = ["o_custkey", "period_code"]
-    facts = orders.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.max("o_custkey").alias("households"),
-        F.max("o_totalprice").alias("worth"), F.min("o_totalprice").alias("low"),
-        F.max("c_acctbal").alias("income"))
+    by_type = gold_plan.staged(spark, orders.groupBy(*keys, "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("worth"),
+        F.min("o_totalprice").alias("low"), F.max("c_acctbal").alias("income")), "facts-by-type")
+    facts = gold_plan.staged(spark, by_type.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.max("o_custkey").alias("households"), F.max("worth").alias("worth"),
+        F.min("low").alias("low"), F.max("income").alias("income")), "facts")
     region = F.concat(F.lit("BU"), F.col("o_custkey").cast("string"))
     named = {
         "RegioS": region, "RegioNaam": F.concat(F.lit("Buurt "), F.col("o_custkey").cast("string")),
@@ -1227,15 +1229,15 @@ def _land_statistics(spark: SparkSession, d: str, bronze: str, ingestion_date: s
         "GemiddeldInkomenPerInwoner_25": F.col("income"), "GemiddeldeWOZWaarde_1": F.col("worth"),
         "AantalWoningen_1": F.col("n"), "GemiddeldInkomenHuishouden_6": F.col("worth"),
         "MediaanInkomenHuishouden_7": F.col("low"), "TypeWoning_3": F.col("o_orderpriority")}
-    by_type = orders.groupBy(*keys, "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
-    facts = gold_plan.staged(spark, facts, "facts")
-    by_type = gold_plan.staged(spark, by_type, "facts-by-type")
-    for spec in STATISTICS:
+
+    def land(spec: DatasetSpec) -> None:
         rows = by_type if "dwelling_type" in spec.grain else facts
         rows = rows.select(*[named[c].alias(c) for c in spec.schema.fieldNames()])
         path = f"{bronze_path(bronze, spec)}/ingestion_date={ingestion_date}/typeddataset.json"
         landing.land_envelopes(rows, path)
 
+    side_by_side(spark, [partial(land, spec) for spec in STATISTICS])
+
 
 @query
 def landed_feeds(spark, d):
@@ -1263,8 +1265,10 @@ def _medallion(spark: SparkSession, d: str) -> str:
     root = scratch_path(spark, "medallion")
     runs = f"{root}/runs"
     _land_statistics(spark, d, f"{root}/bronze", "2024-02-01")
-    for spec in [*load_catalog(STATISTICS).values(), STATISTICS[2]]:
-        build_silver(spark, spec, f"{root}/bronze", f"{root}/silver", "2024-02-01", RUN_TS, runs)
+    load = lambda spec: build_silver(
+        spark, spec, f"{root}/bronze", f"{root}/silver", "2024-02-01", RUN_TS, runs)
+    side_by_side(spark, [partial(load, spec) for spec in load_catalog(STATISTICS).values()])
+    load(STATISTICS[2])
     gold_plan.build_gold(spark, f"{root}/silver", f"{root}/gold", RUN_TS)
     return f"{root}/gold"
 

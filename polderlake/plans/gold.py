@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from polderlake.operators.joins import skew_safe_join, wide_join
 from polderlake.operators.normalize import tag_gold
 from polderlake.operators.rollup import (Measure, Roll, market_analysis, region_period_stats, rollup,
                                          socio_indicators, value_trends)
-from polderlake.session import scratch_path
+from polderlake.session import scratch_path, side_by_side
 from polderlake.sources.readers import read_partition, read_silver
 from polderlake.sources.tables import existing_schema, observed, write_gold
 
@@ -33,9 +34,19 @@ REGION_PERIOD = ["RegioS", "RegioNaam", "Perioden"]
 
 
 def current(spark: SparkSession, silver_root: str, spec: DatasetSpec) -> DataFrame:
-    """Latest row per grain of a silver table over all its loads."""
+    """Latest row per grain of a silver table over all its loads.
+
+    Each load holds one row per grain (``silver.clean``), so a single load is not ranked again.
+    """
     df = read_silver(spark, silver_path(silver_root, spec), spec.silver_schema)
-    return latest_snapshot(df, spec.source_grain)
+    return df if single_load(spark, silver_root, spec) else latest_snapshot(df, spec.source_grain)
+
+
+def single_load(spark: SparkSession, silver_root: str, spec: DatasetSpec) -> bool:
+    """Whether the silver table holds one date of a dataset that is loaded as one row per grain."""
+    dates = spark._jvm.org.apache.hadoop.fs.Path(f"{silver_path(silver_root, spec)}/ingestion_date=*")
+    fs = dates.getFileSystem(spark._jsc.hadoopConfiguration())
+    return bool(spec.grain) and len(fs.globStatus(dates) or []) == 1
 
 
 def gold_tables(read: Callable[[str], DataFrame], run_ts: datetime,
@@ -112,24 +123,31 @@ def build_gold(spark: SparkSession, silver_root: str, gold_root: str, run_ts: da
 
     With ``as_of`` the snapshots kept by ``refresh_current`` are read, and no
     history is ranked again. With ``previous`` as well, the date by dataset whose snapshot that
-    of ``as_of`` was made from (or None), the rollups are kept by deltas.
+    of ``as_of`` was made from (or None), the rollups are kept by deltas. Snapshots do not depend
+    on each other, nor do the tables: they are written side by side.
     """
     def snapshot(spec: DatasetSpec) -> DataFrame:
         if as_of is not None:
             return read_silver(spark, current_path(silver_root, spec, as_of), spec.silver_schema)
-        return staged(spark, current(spark, silver_root, spec), f"current-{spec.name}")
-
-    snapshots = {spec.name: snapshot(spec) for spec in load_catalog(STATISTICS).values()}
+        rows = current(spark, silver_root, spec)
+        if single_load(spark, silver_root, spec):
+            return rows
+        return staged(spark, rows, f"current-{spec.name}")
+
+    specs = load_catalog(STATISTICS).values()
+    snapshots = dict(zip([spec.name for spec in specs],
+                         side_by_side(spark, [partial(snapshot, spec) for spec in specs])))
     if previous is None:
         tables = gold_tables(snapshots.__getitem__, run_ts)
     else:
         specs = {spec.name: spec for spec in load_catalog(STATISTICS).values()}
         tables = gold_tables(snapshots.__getitem__, run_ts, lambda name: kept_rollup(
             spark, specs[name], silver_root, f"{gold_root}/state", as_of, previous.get(name)))
-    counts: dict[str, int] = {}
-    for name, df in tables.items():
-        counted, seen = observed(df, name)
+
+    def write(name: str) -> int:
+        counted, seen = observed(tables[name], name)
         group = "consolidated" if name == DASHBOARD else "cbs"
         write_gold(counted, gold_path(gold_root, group, name))
-        counts[name] = seen.get["n_records"]
-    return counts
+        return seen.get["n_records"]
+
+    return dict(zip(tables, side_by_side(spark, [partial(write, name) for name in tables])))

@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
+T = TypeVar("T")
+
 # Settings the operators are planned for. Nothing here is needed for right
 # results: a session built elsewhere gives the same rows.
 RECOMMENDED = {
@@ -64,3 +70,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     """A new, unused path below the shared scratch folder."""
     app = spark.sparkContext.applicationId
     return f"{scratch_root(spark)}/polderlake/{app}/{label}-{uuid.uuid4().hex[:12]}"
+
+
+def side_by_side(spark: SparkSession, calls: Sequence[Callable[[], T]]) -> list[T]:
+    """Results of calls that do not depend on each other; their Spark jobs share the cores.
+
+    All are waited for before the first failure, in the order of the calls, is raised.
+    """
+    with ThreadPoolExecutor(max(1, len(calls))) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(call)) for call in calls]
+    return [r.result() for r in running]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import datetime
+from threading import Lock
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -98,6 +99,11 @@ def run_record(spark: SparkSession, source: str, dataset: str, ingestion_date: s
         F.lit(value).cast(f.dataType).alias(f.name) for f, value in zip(RUN_SCHEMA.fields, row)])
 
 
+# Appends to one folder at the same time would remove each other's temporary files.
+_one_append = Lock()
+
+
 def write_run(runs: DataFrame, path: str) -> None:
     """Append run records. A table, because Spark skips files named ``_summary.json``."""
-    runs.select(RUN_SCHEMA.fieldNames()).coalesce(1).write.mode("append").parquet(path)
+    with _one_append:
+        runs.select(RUN_SCHEMA.fieldNames()).coalesce(1).write.mode("append").parquet(path)
