@@ -1234,7 +1234,7 @@ def _land_statistics(spark: SparkSession, d: str, bronze: str, ingestion_date: s
         rows = by_type if "dwelling_type" in spec.grain else facts
         rows = rows.select(*[named[c].alias(c) for c in spec.schema.fieldNames()])
         path = f"{bronze_path(bronze, spec)}/ingestion_date={ingestion_date}/typeddataset.json"
-        landing.land_envelopes(rows, path)
+        landing.land_envelopes(rows, path, compression="lz4")
 
     side_by_side(spark, [partial(land, spec) for spec in STATISTICS])
 

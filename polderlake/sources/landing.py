@@ -26,19 +26,26 @@ def bundle(df: DataFrame, rows_per_file: int) -> DataFrame:
             .agg(F.collect_list(F.struct(*df.columns)).alias("rows")))
 
 
-def _write_documents(docs: DataFrame, path: str) -> None:
-    docs.write.mode("overwrite").option("maxRecordsPerFile", 1).text(path)
+def _write_documents(docs: DataFrame, path: str, compression: str = "none") -> None:
+    docs.write.mode("overwrite").option("maxRecordsPerFile", 1).option(
+        "compression", compression).text(path)
 
 
 def land_envelopes(df: DataFrame, path: str, rows_per_file: int = 10_000,
-                   column: str = "value", pretty: bool = True) -> None:
-    """``{"value": [...]}`` documents: pretty-printed one per file, or compact one per line."""
+                   column: str = "value", pretty: bool = True, compression: str = "none") -> None:
+    """``{"value": [...]}`` documents: pretty-printed one per file, or compact one per line.
+
+    ``compression`` is a codec of Spark's text writer; the readers see it by the ending of the
+    files. ``recut`` cuts at bytes and needs documents without.
+    """
     docs = bundle(df, rows_per_file)
     wrapped = F.struct(F.col("rows").alias(column))
     if pretty:
-        _write_documents(docs.select(F.to_json(wrapped, {"pretty": "true"}).alias("value")), path)
+        _write_documents(docs.select(F.to_json(wrapped, {"pretty": "true"}).alias("value")), path,
+                         compression)
     else:
-        docs.select(F.to_json(wrapped).alias("value")).write.mode("overwrite").text(path)
+        docs.select(F.to_json(wrapped).alias("value")).write.mode("overwrite").option(
+            "compression", compression).text(path)
 
 
 def land_pages(df: DataFrame, path: str, rows_per_file: int = 10_000) -> None:
