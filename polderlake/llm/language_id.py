@@ -196,7 +196,11 @@ def lookups(net: dict) -> dict[int, np.ndarray]:
 
 
 def chances(net: dict, tables: dict[int, np.ndarray], cut: np.ndarray) -> np.ndarray:
-    """The same chances as ``forward`` gives, by lookup."""
+    """The same chances as ``forward`` gives, by lookup.
+
+    The last product is of doubles: in singles a window's chances would depend in the eighth
+    digit on the windows beside it, and so a score on how the rows are partitioned.
+    """
     pair = cut[:, :-1].astype(np.int32) << 8 | cut[:, 1:]
     pooled = []
     for w in WIDTHS:
@@ -205,8 +209,8 @@ def chances(net: dict, tables: dict[int, np.ndarray], cut: np.ndarray) -> np.nda
         for k in range(1, w // 2):
             answers += tables[w][k].take(pair[:, 2 * k:2 * k + places], axis=0)
         pooled.append(answers.max(axis=1))
-    pooled = np.maximum(np.concatenate(pooled, axis=1), 0)
-    return softmax(pooled @ net["out"] + net["out_bias"])
+    pooled = np.maximum(np.concatenate(pooled, axis=1), 0).astype(np.float64)
+    return softmax(pooled @ net["out"].astype(np.float64) + net["out_bias"])
 
 
 def text_chances(net: Network, tables: dict, texts: pa.Array) -> np.ndarray:

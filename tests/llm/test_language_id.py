@@ -100,3 +100,13 @@ def test_odd_rows_and_empty_tables(spark):
     assert {r["lang_pred"] for r in li.identify(spark, none).collect()} == {"und"}
     one = spark.createDataFrame([(2, "1 2 3", "en"), (3, "abc", "en")], "doc_id long, text string, lang string")
     assert {r["doc_id"]: r["lang_pred"] for r in li.identify(spark, one).collect()}[2] == "und"
+
+
+def test_chances_of_a_window_do_not_depend_on_the_windows_beside_it():
+    net = li.start(3)
+    cut = np.random.default_rng(0).integers(97, 123, (301, li.WINDOW)).astype(np.uint8)
+    tables = li.lookups(net)
+    whole = li.chances(net, tables, cut)
+    for size in (1, 2, 5, 100):
+        parts = [li.chances(net, tables, cut[i:i + size]) for i in range(0, len(cut), size)]
+        assert np.abs(np.concatenate(parts) - whole).max() < 1e-12
