@@ -35,8 +35,8 @@ from polderlake.operators.joins import skew_safe_join
 COUNTERS = 1 << 16  # counters that a summary needs when hashes fall evenly
 MAX_BITS = 1 << 28  # 32 MiB, what is broadcast at most
 SEGMENT = 1 << 13  # bits that travel together
-CHUNK_CHARS, HELD = 1_000_000, 1 << 20
-WORDS_HELD = 200_000
+CHUNK_CHARS, HELD = 500_000, 1 << 20
+WORDS_HELD = 100_000  # words and phrases with their text that a task keeps, of all languages
 PHRASES_A_BUCKET = 50_000
 PHRASE_NAMES = ["lang", "phrase", "words", "n"]
 PHRASE_TYPES = (pa.string(), pa.binary(), pa.int32(), pa.int64())
@@ -83,20 +83,20 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter] = {}
 
-        def flushed() -> pa.RecordBatch:
-            rows = [(lang, w, n) for lang, c in held.items() for w, n in c.items() if w != BREAK]
-            held.clear()
-            langs, words, ns = zip(*rows) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(words, pa.binary()), pa.array(ns, pa.int64())],
-                ["lang", "word", "n"])
+        def flushed() -> Iterator[pa.RecordBatch]:
+            while held:
+                lang, c = held.popitem()
+                c.pop(BREAK, None)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(c), pa.string()), pa.array(list(c), pa.binary()),
+                     pa.array(list(c.values()), pa.int64())], ["lang", "word", "n"])
 
         for part in chunks(batches):
             for lang, text in part:
                 held.setdefault(lang, Counter()).update(tokens(text))
             if sum(map(len, held.values())) > WORDS_HELD:
-                yield flushed()
-        yield flushed()
+                yield from flushed()
+        yield from flushed()
 
     return (docs.mapInArrow(run, "lang string, word binary, n long")
             .groupBy("lang", "word").agg(F.sum("n").alias("n")))
@@ -168,7 +168,8 @@ def marks(hashes: DataFrame, bits: int) -> DataFrame:
     return hashes.mapInArrow(run, "mark long")
 
 
-def hashed_words(words: DataFrame) -> DataFrame:
+def word_marks(words: DataFrame, bits: int) -> DataFrame:
+    """``mark``: places to set for words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             by_lang: dict[str, list[bytes]] = {}
@@ -176,8 +177,8 @@ def hashed_words(words: DataFrame) -> DataFrame:
                 by_lang.setdefault(lang, []).append(word)
             for lang, of_lang in by_lang.items():
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(word_hashes(lang, of_lang).view(np.int64))], ["hash"])
-    return words.select("lang", "word").mapInArrow(run, "hash long")
+                    [pa.array(places(word_hashes(lang, of_lang), bits))], ["mark"])
+    return words.select("lang", "word").mapInArrow(run, "mark long")
 
 
 # ---- phrases of a task ------------------------------------------------------------------
@@ -195,8 +196,10 @@ class Words:
         """Ids of a language's words, with those of ``met`` among them."""
         ids = self.by_lang.setdefault(lang, {BREAK: 0})
         new = list(set(met) - ids.keys())
-        if len(ids) + len(new) > WORDS_HELD:  # forget rare ones, keep the ids given out
-            ids = self.by_lang[lang] = {w: i for w, i in ids.items() if i or w == BREAK}
+        if sum(map(len, self.by_lang.values())) + len(new) > WORDS_HELD + len(self.words):
+            for other, held in self.by_lang.items():  # forget rare ones, keep the ids given out
+                self.by_lang[other] = {w: i for w, i in held.items() if i or w == BREAK}
+            ids = self.by_lang[lang]
             new = list(set(met) - ids.keys())
         hashes = word_hashes(lang, new)
         often = is_set(self.frequent, hashes)
@@ -257,6 +260,21 @@ def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def merged(keys: np.ndarray, counts: np.ndarray, new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and their counts with one more for each of ``new``, which is sorted in place."""
+    new.sort()
+    first = np.flatnonzero(np.r_[True, new[1:] != new[:-1]]) if len(new) else np.zeros(0, int)
+    times = np.diff(np.append(first, len(new)))
+    new = new[first]
+    at = np.searchsorted(keys, new)
+    met = np.zeros(len(new), bool)
+    inside = at < len(keys)
+    met[inside] = keys[at[inside]] == new[inside]
+    counts[at[met]] += times[met]
+    at, new, times = at[~met], new[~met], times[~met]
+    return np.insert(keys, at, new), np.insert(counts, at, times)
+
+
 def dropped_bits(partitions: int) -> np.uint64:
     """A hash is kept without so many of its last bits: the partition's, and 32 for the key."""
     return np.uint64(32 - (partitions.bit_length() - 1))
@@ -290,9 +308,8 @@ def partitioned_counts(docs: DataFrame, frequent, longest: int, partitions: int)
 
         for part in chunks(batches):
             ids = stream(words, part)
-            new = np.concatenate([h for _, _, h in phrase_hashes(ids, words.hashes, longest, drop)])
-            keys, counts = summed(np.concatenate([keys, new]),
-                                  np.concatenate([counts, np.ones(len(new), np.int64)]))
+            keys, counts = merged(keys, counts, np.concatenate(
+                [h for _, _, h in phrase_hashes(ids, words.hashes, longest, drop)]))
             if len(keys) > HELD or counts.sum() >> 31:
                 yield flushed()
                 keys, counts = keys[:0], counts[:0]
@@ -374,19 +391,23 @@ def exact_counts(docs: DataFrame, frequent, chosen, longest: int, partitions: in
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words(frequent.value)
-        held: Counter = Counter()
+        held: dict[bytes, int] = {}  # by the ids of a phrase's words, packed
 
         def flushed() -> pa.RecordBatch:
-            by_bucket: dict[int, list[tuple]] = {}
-            for key, n in held.items():
-                phrase = b" ".join(map(words.words.__getitem__, key))
-                by_bucket.setdefault(zlib.crc32(phrase) % buckets, []).append(
-                    (words.langs[key[0]], phrase, len(key), n))
+            keys = [np.frombuffer(key, np.int32).tolist() for key in held]
+            counts = np.fromiter(held.values(), np.int64, len(held))
             held.clear()
-            columns = list(zip(*(zip(*rows) for rows in by_bucket.values()))) or [()] * 4
+            phrases = [b" ".join(map(words.words.__getitem__, key)) for key in keys]
+            bucket = np.fromiter((zlib.crc32(p) % buckets for p in phrases), np.int64, len(phrases))
+            order = np.argsort(bucket, kind="stable")
+            bucket = bucket[order]
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else bucket
+            bounds = pa.array(np.append(cuts, len(bucket)), pa.int32())
+            columns = ([words.langs[key[0]] for key in keys], phrases, list(map(len, keys)), counts)
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(by_bucket), pa.int32()),
-                 *(pa.array(list(map(list, c)), pa.list_(t)) for c, t in zip(columns, PHRASE_TYPES))],
+                [pa.array(bucket[cuts], pa.int32()),
+                 *(pa.ListArray.from_arrays(bounds, pa.array(c, t).take(pa.array(order)))
+                   for c, t in zip(columns, PHRASE_TYPES))],
                 ["bucket", *PHRASE_NAMES])
 
         for part in chunks(batches):
@@ -401,8 +422,9 @@ def exact_counts(docs: DataFrame, frequent, chosen, longest: int, partitions: in
                 dense = np.zeros(len(ids), np.int64)
                 dense[at] = of
                 starts = at[first]
-                held.update(dict(zip(
-                    map(tuple, ids[starts[:, None] + np.arange(n)].tolist()), counts.tolist())))
+                packed = ids[starts[:, None] + np.arange(n)].astype(np.int32).view(f"V{4 * n}")
+                for key, times in zip(packed.ravel().tolist(), counts.tolist()):
+                    held[key] = held.get(key, 0) + times
             if len(held) > WORDS_HELD:
                 yield flushed()
         yield flushed()
@@ -443,7 +465,7 @@ def frequent_phrases(spark: SparkSession, docs: DataFrame, least: int,
     common = words.where(F.col("n") >= least)
     size = words.agg(F.sum("n").alias("n"), F.count(F.when(F.col("n") >= least, 1)).alias("common")).first()
     bits = bits_for(size["common"])
-    frequent = spark.sparkContext.broadcast(bitmap(marks(hashed_words(common), bits), bits))
+    frequent = spark.sparkContext.broadcast(bitmap(word_marks(common, bits), bits))
     most = (longest - 1) * (size["n"] or 0)  # phrases there can be
     partitions = power_of_two(max(most / (least * COUNTERS), shuffle_partitions(spark)))
     chosen = staged(spark, survivors(partitioned_counts(docs, frequent, longest, partitions),

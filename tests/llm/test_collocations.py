@@ -92,6 +92,29 @@ def test_summary_keeps_every_frequent_key_and_bounds_its_count():
         assert n <= true[k] <= n + s.taken
 
 
+def test_words_of_all_languages_share_one_bound(monkeypatch):
+    monkeypatch.setattr(c, "WORDS_HELD", 100)
+    words = c.Words(np.zeros(c.SEGMENT // 8, np.uint8))  # no word is frequent
+    for i in range(40):
+        words.known(f"l{i % 8}", [f"{i} {j}".encode() for j in range(60)])
+        assert sum(map(len, words.by_lang.values())) <= 100 + len(words.by_lang) + 1
+    frequent = c.Words(np.full(c.SEGMENT // 8, 255, np.uint8))
+    ids = {lang: dict(frequent.known(lang, [b"a", b"b", c.BREAK])) for lang in "xyz"}
+    for lang in "xyz":
+        frequent.known(lang, [str(j).encode() for j in range(200)])
+    assert all(frequent.by_lang[lang][w] == i for lang in "xyz" for w, i in ids[lang].items())
+
+
+def test_merged_counts_equal_counting():
+    r = np.random.default_rng(2)
+    keys, counts, every = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+    for size in (0, 1, 500, 0, 3, 2_000):
+        new = r.integers(0, 900, size).astype(np.uint64)
+        every += new.tolist()
+        keys, counts = c.merged(keys, counts, new)
+        assert dict(zip(keys.tolist(), counts.tolist())) == Counter(every) and (np.diff(keys.astype(int)) > 0).all()
+
+
 def test_a_phrase_that_is_most_of_the_mass(spark):
     rows = [("en", "the same words " * 400)] * 3 + corpus(9, 60)
     assert found(spark, rows, least=10) == brute(rows, 10)
