@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
@@ -40,6 +41,24 @@ def build_session(app: str = "polderlake", master: str | None = None,
     return builder.getOrCreate()
 
 
+LISTING = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+
+
+@contextmanager
+def listing_by_cores(spark: SparkSession) -> Iterator[None]:
+    """Folders that are opened within are listed by a few tasks for each core.
+
+    Spark's default is a task for each folder, up to 10,000, and a task costs far more than the
+    listing of a folder. The setting only deals the folders, so it changes no result.
+    """
+    before = spark.conf.get(LISTING)
+    spark.conf.set(LISTING, str(min(int(before), max(32, 4 * spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(LISTING, before)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from polderlake.functions.scalars import comparable, fresh
 from polderlake.operators.paging import BYTE_PAGE
+from polderlake.session import listing_by_cores
 
 
 def bundle(df: DataFrame, rows_per_file: int) -> DataFrame:
@@ -76,7 +77,8 @@ def landed_pages(spark: SparkSession, path: str) -> DataFrame:
     The rows are counted without reading their fields. ``n_landed`` is null when a file of the
     page is no JSON array. Spark does not read files without a byte: such a page is not there.
     """
-    read = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    with listing_by_cores(spark):
+        read = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"part_name=([^/]+)", 1)
     text = F.rtrim(F.col("value"), F.lit("\n"))
     held = read.select(name.alias("part_name"), F.octet_length(text).cast("long").alias("bytes"),

@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, DataType, DoubleType, StringType, Struc
 
 from polderlake.functions.scalars import fresh
 from polderlake.operators.normalize import flatten_envelope
+from polderlake.session import listing_by_cores
 
 
 def _as_schema(schema: StructType | str | None) -> StructType | None:
@@ -109,7 +110,8 @@ def read_pages(spark: SparkSession, path: str, schema: StructType | str | None =
     file is then read by one task. A page that is no JSON, such as one that
     was cut off, fails the read.
     """
-    rows = _json(spark, _as_schema(schema), multi_line).json(path)
+    with listing_by_cores(spark):
+        rows = _json(spark, _as_schema(schema), multi_line).json(path)
     good = ~_broken_row(rows)
     names = [c for c in rows.columns if c != CORRUPT]
     if skip_damaged:

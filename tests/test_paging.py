@@ -2,6 +2,7 @@ from conftest import collect
 from pyspark.sql import functions as F
 
 from polderlake.operators import paging
+from polderlake.session import LISTING
 from polderlake.sources import landing, readers
 
 
@@ -106,6 +107,26 @@ def test_landed_pages_are_held_against_the_manifest(spark, tmp_path):
     assert collect(back) == collect(df)
 
 
+def test_page_folders_are_listed_by_few_tasks(spark, tmp_path):
+    path, sc = str(tmp_path / "pages"), spark.sparkContext
+    pages = paging.assign_pages_by_bytes(spark.range(0, 300, 1, 2), "id", 20, partitions=2)
+    landing.land_named_pages(pages, path)
+    assert paging.byte_manifest(pages).count() > 100
+    before = spark.conf.get(LISTING)
+
+    def tasks_to_open(group, read):
+        sc.setJobGroup(group, "")
+        read()
+        jobs = sc.statusTracker().getJobIdsForGroup(group)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        stages = [s for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds]
+        return sum(sc.statusTracker().getStageInfo(s).numTasks for s in stages)
+
+    assert 0 < tasks_to_open("landed", lambda: landing.landed_pages(spark, path)) <= max(32, 4 * sc.defaultParallelism)
+    assert 0 < tasks_to_open("read", lambda: readers.read_pages(spark, path, "id long")) <= max(32, 4 * sc.defaultParallelism)
+    assert spark.conf.get(LISTING) == before
+
+
 def test_byte_pages_of_odd_tables(spark):
     odd = spark.createDataFrame([(None, "x", 1), (None, "x", 1), (2, None, 5), (2, None, 5)],
                                 "_range int, _start string, page_idx int")
