@@ -77,3 +77,16 @@ def test_shares_of_a_rare_token_add_up_to_one(spark):
 def test_vocabulary_grows_with_the_distinct_words():
     assert [lm.side_of(n) ** 2 for n in (0, 10_000, 10 ** 8)] == [1_024, 1_024, 10_000]
     assert lm.start(40)["embed"].shape[1] == 1_601
+
+
+def test_a_text_is_split_once_and_then_the_places_of_its_words(spark):
+    wide = " ".join(f"w{i}" for i in range(70_000))  # more places than 16 bits
+    rows = [(1, "b a B  a"), (2, None), (3, ""), (4, "c\tb\n"), (5, wide), (6, "a w69999")]
+    cut = lm.blocks(spark, plain(spark, rows).coalesce(1)).toArrow()
+    back = {}
+    for packed, words, counts in zip(*(cut.column(c) for c in ("packed", "words", "counts"))):
+        places, bounds, ids = lm.unpack(packed)
+        words = words.as_py()
+        assert len(set(words)) == len(words) and counts.as_py() == np.bincount(places).tolist()
+        back |= {i.as_py(): [words[p] for p in places[a:b]] for i, a, b in zip(ids, bounds, bounds[1:])}
+    assert back == {i: lm.words_of(t) for i, t in rows}
