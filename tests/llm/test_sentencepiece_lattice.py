@@ -62,3 +62,18 @@ def test_odd_rows_clashes_and_empty_table(spark, table):
     out = sl.encode(docs, table)
     assert out.count() == len(ODD) and out.columns[-1] == "piece_ids" and out.columns.count("piece_ids") == 1
     assert sl.encode(docs.limit(0), table).collect() == []
+
+
+def test_words_of_single_blanks_are_those_of_the_pattern(monkeypatch):
+    monkeypatch.setattr(sl, "REMEMBER", 3)  # words are forgotten between the calls
+    texts = ["a b", " a b", "a b ", "a  b", "a", " ", "a\u2581b c", "a\nb c\t d", None, "", "é 漢 x"]
+    for prefix in (True, False):
+        pieces = sl.Pieces(["<unk>", "a", "b", "\u2581", "\u2581a", "\u2581b"], [0.0, -3, -4, -5, -1, -2], [0], [], 0, prefix=prefix)
+        lattice = sl.Lattice(pieces)
+        front = sl.BLANK if prefix else ""
+        split = [sl.WORD.findall(front + t.replace(" ", sl.BLANK)) if t else [] for t in texts]
+        assert [lattice.words(t) for t in texts] == split
+        for _ in range(2):
+            got = lattice.encode_array(texts)
+            assert got.to_pylist() == [[i for w in words for i in lattice.encode_words([w])[0]] for words in split]
+            assert str(got.type) == "list<item: int32>" and not got.null_count
