@@ -25,21 +25,25 @@ MIN_NEAR_CHARS = 40  # shorter lines are compared for equality only
 #: Options under which every line with a letter or digit takes part and a tenth of its length
 #: may differ: 2 edits from 20 characters, 1 from 10, copies only below.
 EVERY_LINE = {"min_chars": 1, "min_near_chars": 20, "short_chars": 10}
+MAX_CHARS = 2 ** 31 - 1  # of a text in Spark
 BLOCK_LINES = 64
 MAX_FILTER_BLOCKS = 1 << 20  # 8 MB of filter words
 
 
 def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     """``doc_id, line_no, line`` of the lines that take part, blanks squeezed and trimmed."""
-    each = docs.where("doc_id IS NOT NULL").select(
-        "doc_id", F.posexplode(F.split(text_or_empty(), "\n", -1)).alias("line_no", "line"))
-    # Most lines hold single spaces only, and finding that out is cheaper than squeezing.
-    odd = F.lit(False)
-    for c in ("  ", "\t", "\x0b", "\f", "\r"):
-        odd = odd | F.contains("line", F.lit(c))
-    squeezed = F.trim(F.when(odd, F.regexp_replace("line", BLANKS, " ")).otherwise(F.col("line")))
+    def squeezed(line: Column) -> Column:
+        # Most lines hold single spaces only, and finding that out is cheaper than squeezing.
+        odd = F.lit(False)
+        for c in ("  ", "\t", "\x0b", "\f", "\r"):
+            odd = odd | F.contains(line, F.lit(c))
+        return F.trim(F.when(odd, F.regexp_replace(line, BLANKS, " ")).otherwise(line))
+
+    # Squeezed before they are rows: the conditions below would each squeeze them again.
+    each = docs.where("doc_id IS NOT NULL").select("doc_id", F.posexplode(F.transform(
+        F.split(text_or_empty(), "\n", -1), squeezed)).alias("line_no", "line"))
     # Short lines of marks only are structure: rules, brackets, bullets.
-    return each.select("doc_id", "line_no", squeezed.alias("line")).where(
+    return each.where(
         (F.length("line") >= min_chars)
         & ((F.length("line") >= MIN_CHARS) | F.col("line").rlike(r"[\p{L}\p{N}]")))
 
@@ -49,12 +53,6 @@ def _hashes() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")]
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of a segment of a line of that length."""
-    start = F.floor(length * i / (edits + 1)).cast("int")
-    return start, (F.floor(length * (i + 1) / (edits + 1)).cast("int") - start)
-
-
 def probes(edits: int) -> list[tuple[int, int, int]]:
     """(length difference, segment, shift) of the substrings to probe, own places left out.
 
@@ -71,21 +69,40 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return found
 
 
-def segment_keys(edits: int) -> Column:
-    """Keys of a line as ``array<struct<key, posted>>``."""
-    n, out = F.length("line"), []
-    for d, i, shift in [(0, i, 0) for i in range(edits + 1)] + probes(edits):
-        start, size = _segment(n - d, i, edits)
-        piece = F.substring(F.col("line"), start + shift + 1, size)
-        out.append(F.struct(F.xxhash64(n - d, F.lit(i), piece).alias("key"),
-                            F.lit((d, shift) == (0, 0)).alias("posted")))
-    return F.array(*out)
-
-
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def segment_keys(classes: list[tuple[int, int, int]]) -> Column:
+    """Keys of a line as ``array<struct<key, posted, edits>>``.
+
+    Each class is (edits, least length, greatest length); a line has the keys of all that hold
+    it. Characters are cut at four bytes each, as finding one in UTF-8 reads all before it, and
+    places are a table to walk: a method with all of them spelt out is too long to be compiled.
+    """
+    places = F.array(*[
+        F.struct(*[F.lit(v).alias(c) for c, v in (
+            ("d", d), ("i", i), ("shift", shift), ("posted", (d, shift) == (0, 0)),
+            ("edits", edits), ("least", least), ("most", most))])
+        for edits, least, most in classes
+        for d, i, shift in [(0, i, 0) for i in range(edits + 1)] + probes(edits)])
+
+    def keys(line: Column) -> Column:
+        def key(p: Column) -> Column:
+            length = line["n"] - p["d"]
+            start, end = (F.call_function("div", length * i, p["edits"] + 1).cast("int")
+                          for i in (p["i"], p["i"] + 1))
+            piece = F.substring(line["code"], (start + p["shift"]) * 4 + 1, (end - start) * 4)
+            return F.struct(F.xxhash64(p["edits"], length, p["i"], piece).alias("key"),
+                            p["posted"].alias("posted"), p["edits"].alias("edits"))
+
+        return F.transform(F.filter(places, lambda p: line["n"].between(p["least"], p["most"])), key)
+
+    return _let(F.encode("line", "UTF-32"), lambda code: _let(
+        F.struct(code.alias("code"), F.call_function("div", F.length(code), F.lit(4)).cast("int").alias("n")),
+        keys))
+
+
 def _agreement(a: Column, b: Column, limit: Column, piece) -> Column:
     """The greatest length up to a limit at which pieces of both texts are equal, by bisection."""
     def step(s: Column, _: Column) -> Column:
@@ -175,15 +192,16 @@ def _mask(key: Column) -> Column:
     return at(58).bitwiseOR(at(52)).bitwiseOR(at(46))
 
 
-def near_copies(spark: SparkSession, lines: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``h1, h2`` of the lines that have an earlier, different line within ``edits``.
+def near_copies(spark: SparkSession, lines: DataFrame, classes: list[tuple[int, int, int]]) -> DataFrame:
+    """``h1, h2`` of the lines that have an earlier, different line within the edits of a class.
 
-    Earlier is by first occurrence, ``(doc_id, line_no)``. Comparison is against all earlier
-    lines, whether they stay or not.
+    Each class is (edits, least length, greatest length), of both lines. Earlier is by first
+    occurrence, ``(doc_id, line_no)``. Comparison is against all earlier lines, whether they stay
+    or not.
     """
-    keyed = lines.select("doc_id", "line_no", "line", *_hashes(),
-                         F.explode(segment_keys(edits)).alias("k")).select(
-        "doc_id", "line_no", "line", "h1", "h2", "k.key", "k.posted")
+    keyed = lines.where(F.length("line") >= min(least for _, least, _ in classes)).select(
+        "doc_id", "line_no", "line", *_hashes(), F.explode(segment_keys(classes)).alias("k")).select(
+        "doc_id", "line_no", "line", "h1", "h2", "k.key", "k.posted", "k.edits")
     shared = staged(spark, keyed.groupBy("key").agg(
         F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("posted").alias("posted"))
         .where("low != high AND posted").select("key"), "shared-keys")
@@ -193,7 +211,7 @@ def near_copies(spark: SparkSession, lines: DataFrame, edits: int = EDITS) -> Da
         F.bit_or(_mask(F.col("key"))).alias("bits")), "shared-filter")
     passed = keyed.withColumn("block", block).join(F.broadcast(marks), "block").where(
         F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")))
-    met = staged(spark, passed.groupBy("key", "posted", "h1", "h2").agg(
+    met = staged(spark, passed.groupBy("key", "posted", "edits", "h1", "h2").agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.any_value("line").alias("line"))
         .join(shared, "key", "left_semi"), "met-lines")
 
@@ -201,25 +219,27 @@ def near_copies(spark: SparkSession, lines: DataFrame, edits: int = EDITS) -> Da
     size = staged(spark, met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
     rows = met.join(size, "key")
     few, many = rows.where(F.col("n") <= BLOCK_LINES), rows.where(F.col("n") > BLOCK_LINES)
-    side = lambda df, p: df.select("key", *[F.col(c).alias(p + c) for c in
-                                            ("posted", "h1", "h2", "first", "line")])
-    pairs = side(few, "a_").join(side(few, "b_"), "key").where(
+    side = lambda df, p: df.select("key", "edits", *[F.col(c).alias(p + c) for c in
+                                                     ("posted", "h1", "h2", "first", "line")])
+    pairs = side(few, "a_").join(side(few, "b_"), ["key", "edits"]).where(
         "(a_posted OR b_posted) AND a_first < b_first AND NOT (a_h1 = b_h1 AND a_h2 = b_h2)"
-        f" AND abs(length(a_line) - length(b_line)) <= {edits}")
+        " AND abs(length(a_line) - length(b_line)) <= edits")
     pairs = pairs.groupBy("a_h1", "a_h2", "b_h1", "b_h2").agg(
-        F.any_value("a_line").alias("a_line"), F.any_value("b_line").alias("b_line"))
-    a, b = F.col("a_line"), F.col("b_line")
-    in_pairs = pairs.where(letters_allow(a, b, edits)).where(within(a, b, edits)).select(
-        F.col("b_h1").alias("h1"), F.col("b_h2").alias("h2"))
+        F.max("edits").alias("edits"), F.any_value("a_line").alias("a_line"),
+        F.any_value("b_line").alias("b_line"))
+    a, b, near = F.col("a_line"), F.col("b_line"), F.lit(False)
+    for edits in sorted({edits for edits, _, _ in classes}):
+        near = near | ((F.col("edits") == edits) & letters_allow(a, b, edits) & within(a, b, edits))
+    in_pairs = pairs.where(near).select(F.col("b_h1").alias("h1"), F.col("b_h2").alias("h2"))
 
     part = F.pmod("h2", F.ceil(F.col("n") / BLOCK_LINES))
-    block_of = staged(spark, many.groupBy("key", part.alias("part")).agg(
+    block_of = staged(spark, many.groupBy("key", "edits", part.alias("part")).agg(
         F.collect_list(F.struct("posted", "h1", "h2", "first", "line")).alias("some")), "line-blocks")
     meet = block_of.join(block_of.select("key", F.col("some").alias("others")), "key")
-    in_blocks = meet.select(F.explode(F.expr(f"""filter(some, b -> exists(others, a ->
+    in_blocks = meet.select(F.explode(F.expr("""filter(some, b -> exists(others, a ->
         (a.posted OR b.posted) AND a.first < b.first AND NOT (a.h1 = b.h1 AND a.h2 = b.h2)
-        AND abs(length(a.line) - length(b.line)) <= {edits}
-        AND levenshtein(a.line, b.line, {edits}) >= 0))""")).alias("b")).select("b.h1", "b.h2")
+        AND abs(length(a.line) - length(b.line)) <= edits
+        AND levenshtein(a.line, b.line, edits) >= 0))""")).alias("b")).select("b.h1", "b.h2")
     return in_pairs.unionByName(in_blocks).distinct()
 
 
@@ -233,10 +253,10 @@ def dropped_lines(spark: SparkSession, docs: DataFrame, edits: int = EDITS,
     """
     docs = docs.select("doc_id", "text")
     lines = lines_of(docs, min_chars)
-    near = near_copies(spark, lines.where(F.length("line") >= min_near_chars), edits)
+    classes = [(edits, min_near_chars, MAX_CHARS)]
     if short_chars is not None:
-        near = near.unionByName(near_copies(
-            spark, lines.where(F.length("line").between(short_chars, min_near_chars)), 1)).distinct()
+        classes.append((1, short_chars, min_near_chars))
+    near = near_copies(spark, lines, classes)
     hashed = staged(spark, lines.select("doc_id", "line_no", *_hashes()), "line-hashes")
     copies = hashed.groupBy("h1", "h2").agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n")).where("n > 1")
