@@ -40,6 +40,8 @@ MIN_VARIED = 0.1  # share of a slot's texts, less one, that differ, in a slot th
 MAX_LINKED = 0.5  # share of a slot's characters in links, in a slot of prose
 OUTSIDE = 0.25  # varying prose outside the article counts from this share of the host's largest slot
 MAX_DEPTH = 64  # deeper paths are told apart by their last elements
+KEPT = 400  # tags, so long in all, whose elements are kept from page to page for a template
+KEPT_CHARS = 1 << 16
 MENU = 3  # so many neighbouring blocks of links only are a menu, where no template says more
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -97,7 +99,7 @@ class Node:
     """
 
     __slots__ = ("name", "path", "depth", "raw", "apart", "doubtful", "inside", "framed", "linked",
-                 "marked", "judge", "block", "kids")
+                 "marked", "judge", "block", "counts", "begin", "end", "kids")
 
     def __init__(self, name: str, path: str, mark: int, named: bool, parent: Node | None, known):
         self.name, self.path, self.kids = name, path, {}
@@ -114,6 +116,10 @@ class Node:
         self.marked = within and (named or parent.marked)
         self.judge = path if within and named and path in known else parent.judge if within else ""
         self.block = name in BLOCK
+        # Of an article only texts in marked elements can be tokens, others are its own.
+        self.counts = not self.raw and (not self.inside or self.marked)
+        # The template tokens that its start and its end are.
+        self.begin, self.end = (path, path + ">") if path in known else ("", "")
 
     def state(self) -> tuple:
         return (self.path, self.depth, self.raw, self.apart, self.doubtful, self.inside, self.framed,
@@ -145,64 +151,120 @@ def _label(name: str, attributes: str) -> tuple[str, int, bool]:
     return (name + "." + ".".join(marks) if named else name), mark, named
 
 
-def events(page: str, known=frozenset()) -> Iterator[tuple[str, str, Node]]:
+class Tag(NamedTuple):
+    """What a tag says wherever it stands."""
+
+    ending: bool
+    name: str
+    label: str
+    mark: int
+    named: bool
+    closes: set
+    closes_p: bool
+    single: bool
+    closer: re.Pattern | None  # of a raw element
+
+    @classmethod
+    def read(cls, ending: str, name: str, attributes: str) -> Tag:
+        name = name.lower()
+        if ending:
+            return cls(True, name, "", 0, False, set(), False, False, None)
+        closer = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I) if name in CLOSED_BY_NAME else None
+        return cls(False, name, *_label(name, attributes), CLOSES.get(name, set()), name in CLOSES_P,
+                   name in VOID or attributes.endswith("/") and name not in BLOCK, closer)
+
+
+class Elements:
+    """The elements that pages of a template hold, kept from page to page while they are few.
+
+    ``known`` are the paths of template tokens.
+    """
+
+    def __init__(self, known=frozenset()):
+        self.known = known
+        self.clear()
+
+    def clear(self) -> None:
+        self.top = Node("", "", 0, False, None, self.known)
+        self.nodes: dict[tuple, Node] = {}
+        self.tags: dict[str, Tag] = {}
+        self.kids = self.chars = 0
+
+    def start(self) -> Node:
+        if self.kids > KEPT or self.chars > KEPT_CHARS:
+            self.clear()
+        return self.top
+
+    def kid(self, parent: Node, whole: str, tag: Tag) -> Node:
+        path = ("" if parent.depth == MAX_DEPTH - 1 else parent.path) + "/" + tag.label
+        node = Node(tag.name, path, tag.mark, tag.named, parent, self.known)
+        node = parent.kids[whole] = self.nodes.setdefault(node.state(), node)
+        self.kids += 1
+        self.chars += len(whole)
+        return node
+
+
+def events(page: str, known=frozenset(), elements: Elements | None = None) -> Iterator[tuple[str, str, Node]]:
     """("open" | "close", path, element) and ("text", text, innermost open element) in page order.
 
     Every element that is opened is closed, at the end of the page at the latest; void elements
     and raw ones, whose text is passed over, are closed at once. ``known`` are the paths of template
-    tokens. The time is in proportion to the page.
+    tokens; ``elements`` of earlier pages with the same tokens may be given. The time is in proportion
+    to the page.
     """
-    top = Node("", "", 0, False, None, known)
+    elements = elements or Elements(known)
+    top = elements.start()
+    tags = elements.tags
     stack = [top]
-    nodes: dict[tuple, Node] = {}
-    held: Counter = Counter()  # open elements by name
-    at, end, search = 0, len(page), TOKEN.search
+    held: dict[str, int] = {}  # open elements by name
+    at, end = 0, len(page)
     while at < end:
-        m = search(page, at)
-        if m is None:
-            yield "text", page[at:], top
-            break
-        if m.start() > at:
-            yield "text", page[at:m.start()], top
-        at = m.end()
-        ending, name, attributes = m.groups()
-        if not name:
-            continue
-        name = name.lower()
-        if ending:
-            if held[name]:
-                while True:
-                    node = stack.pop()
+        for m in TOKEN.finditer(page, at):
+            begin, after = m.span()
+            if begin > at:
+                yield "text", page[at:begin], top
+            at = after
+            if m.lastindex is None:
+                continue
+            whole = m.group()
+            tag = tags.get(whole)
+            if tag is None:
+                tag = tags[whole] = Tag.read(*m.groups())
+                elements.kids += 1
+                elements.chars += len(whole)
+            ending, name, _, _, _, closes, closes_p, single, closer = tag
+            if ending:
+                if held.get(name):
+                    while True:
+                        node = stack.pop()
+                        held[node.name] -= 1
+                        yield "close", node.path, node
+                        if node.name == name:
+                            break
                     top = stack[-1]
-                    held[node.name] -= 1
-                    yield "close", node.path, node
-                    if node.name == name:
-                        break
-            continue
-        closes = CLOSES.get(name, ())
-        while top.name in closes or top.name == "p" and name in CLOSES_P:
-            node = stack.pop()
-            top = stack[-1]
-            held[node.name] -= 1
-            yield "close", node.path, node
-        node = top.kids.get((name, attributes))
-        if node is None:
-            label, mark, named = _label(name, attributes)
-            path = ("" if top.depth == MAX_DEPTH - 1 else top.path) + "/" + label
-            node = Node(name, path, mark, named, top, known)
-            node = top.kids[name, attributes] = nodes.setdefault(node.state(), node)
-        yield "open", node.path, node
-        if name in VOID or attributes.endswith("/") and not node.block:
-            yield "close", node.path, node
-            continue
-        if name in CLOSED_BY_NAME:
-            close = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
-            at = close.end() if close else end
-            yield "close", node.path, node
-            continue
-        stack.append(node)
-        top = node
-        held[name] += 1
+                continue
+            while top.name in closes or closes_p and top.name == "p":
+                stack.pop()
+                held[top.name] -= 1
+                yield "close", top.path, top
+                top = stack[-1]
+            node = top.kids.get(whole) or elements.kid(top, whole, tag)
+            yield "open", node.path, node
+            if single:
+                yield "close", node.path, node
+            elif closer:
+                close = closer.search(page, at)
+                at = close.end() if close else end
+                yield "close", node.path, node
+                break
+            else:
+                stack.append(node)
+                top = node
+                held[name] = held.get(name, 0) + 1
+        else:
+            if at < end:
+                yield "text", page[at:], top
+            break
     while len(stack) > 1:
         node = stack.pop()
         yield "close", node.path, node
@@ -221,34 +283,33 @@ def _host(column: str = "url"):
 
 def text_token(text: str, node: Node) -> str:
     """A text as a token, told apart by the path it stands at."""
-    return f"{node.path}#{xxhash.xxh64_hexdigest(SPACE.sub(' ', text).strip())}"
-
-
-def _counts(node: Node, text: str) -> bool:
-    """Whether a text can be a token: of an article only those in marked elements, others are its own."""
-    return not node.raw and (not node.inside or node.marked) and not text.isspace()
+    return f"{node.path}#{xxhash.xxh64_hexdigest(' '.join(text.split()))}"
 
 
-def token_counts(page: str) -> Counter:
+def token_counts(page: str, elements: Elements | None = None) -> dict[str, int]:
     """How often the page holds each element and each text that can be a token."""
-    counts: Counter = Counter()
-    for kind, value, node in events(page):
+    counts: dict[str, int] = {}
+    for kind, value, node in events(page, elements=elements):
         if kind == "open":
-            counts[value] += 1
-        elif kind == "text" and _counts(node, value):
-            counts[text_token(value, node)] += 1
+            counts[value] = counts.get(value, 0) + 1
+        elif kind == "text" and node.counts and not value.isspace():
+            token = text_token(value, node)
+            counts[token] = counts.get(token, 0) + 1
     return counts
 
 
-def template_tokens(page: str, known: dict[str, str]) -> Iterator[tuple[str, str, str, Node]]:
+def template_tokens(page: str, template: Template) -> Iterator[tuple[str, str, str, Node]]:
     """The events of a page, each with the template token it is, "" if none; the end of an element is
     its path and ">"."""
-    for kind, value, node in events(page, known):
-        if kind == "text":
-            token = text_token(value, node) if known and _counts(node, value) else ""
-            yield kind, value, token if token in known else "", node
+    known = template.classes
+    for kind, value, node in events(page, known, template.elements):
+        if kind == "open":
+            yield kind, value, node.begin, node
+        elif kind == "close":
+            yield kind, value, node.end, node
         else:
-            yield kind, value, (value if kind == "open" else value + ">") if value in known else "", node
+            token = text_token(value, node) if known and node.counts and not value.isspace() else ""
+            yield kind, value, token if token in known else "", node
 
 
 class Slots:
@@ -296,15 +357,19 @@ class Slots:
 def _vectors(pages: DataFrame) -> DataFrame:
     """Per task and (host, token): pages with it, pages that hold it once, the vector's hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        elements = Elements()
         for batch in batches:
             seen: dict[tuple[str, str], list[int]] = {}
             for page_id, url, page in zip(*(c.to_pylist() for c in batch.columns)):
                 host = host_of(url)
-                for token, n in token_counts(page or "").items():
+                hashes: dict[int, int] = {}
+                for token, n in token_counts(page or "", elements).items():
                     entry = seen.setdefault((host, token), [0, 0, 0])
+                    if n not in hashes:
+                        hashes[n] = xxhash.xxh64_intdigest(f"{page_id} {n}")
                     entry[0] += 1
                     entry[1] += n == 1
-                    entry[2] = (entry[2] + xxhash.xxh64_intdigest(f"{page_id} {n}")) % 2 ** 61
+                    entry[2] = (entry[2] + hashes[n]) % 2 ** 61
             yield _batch(((h, t, *e) for (h, t), e in seen.items()), VECTORS)
 
     return pages.select("page_id", "url", "html").mapInArrow(run, VECTORS).groupBy("host", "token").agg(
@@ -331,6 +396,7 @@ class Template(NamedTuple):
     sizes: dict[str, int]
     support: dict[str, int]
     slots: dict[str, str]  # "prose", "links" or "same"; slots without text are left out
+    elements: Elements | None = None  # of the pages read with it
 
     @classmethod
     def read(cls, tokens: str | None, slots: str | None = None) -> Template:
@@ -340,7 +406,7 @@ class Template(NamedTuple):
             classes[token], support[group] = group, int(pages)
             sizes[group] += 1 if "#" in token else 2
         said = dict(reversed(line.split("\t")) for line in slots.split("\n")) if slots else {}
-        return cls(classes, sizes, support, said)
+        return cls(classes, sizes, support, said, Elements(classes))
 
     def group(self, token: str) -> str:
         return self.classes[token.removesuffix(">")]
@@ -369,7 +435,7 @@ def check_page(page: str, template: Template) -> list[tuple[str, int, int]]:
     """Per class on the page: a hash of the order of its tokens, and whether it gave way to another."""
     order: dict[str, xxhash.xxh64] = {}
     slots = Slots(template)
-    for _, _, token, _ in template_tokens(page, template.classes):
+    for _, _, token, _ in template_tokens(page, template):
         if token:
             order.setdefault(template.group(token), xxhash.xxh64()).update(token + "\n")
             slots.meet(token)
@@ -402,12 +468,12 @@ def slot_texts(page: str, template: Template) -> dict[str, list]:
     """
     found: dict[str, list] = {}
     slots = Slots(template)
-    for kind, value, token, node in template_tokens(page, template.classes):
+    for kind, value, token, node in template_tokens(page, template):
         if token:
             slots.meet(token)
         elif kind == "text" and not value.isspace() and not node.raw:
             entry = found.setdefault(slots.slot, [xxhash.xxh64(), 0, 0])
-            text = SPACE.sub(" ", value).strip()
+            text = " ".join(value.split())
             entry[0].update(text + "\n")
             entry[1] += len(text)
             entry[2] += len(text) if node.linked else 0
@@ -478,7 +544,7 @@ def templates(pages: DataFrame, min_support: float = MIN_SUPPORT,
         "host", F.array_sort(token).alias("tokens"))
 
 
-NOTHING = Template({}, {}, {}, {})
+NOTHING = Template({}, {}, {}, {}, Elements())
 
 
 def main_text(page: str | None, template: Template | frozenset = NOTHING) -> str:
@@ -512,7 +578,7 @@ def main_text(page: str | None, template: Template | frozenset = NOTHING) -> str
             blocks.append((pieces, inside, main, prose == 0))
         pieces, prose = [], 0
 
-    for kind, value, token, node in template_tokens(page, template.classes):
+    for kind, value, token, node in template_tokens(page, template):
         if token:
             slots.meet(token)
         if kind != "text":
@@ -555,8 +621,7 @@ def main_text(page: str | None, template: Template | frozenset = NOTHING) -> str
             chosen += run if len(run) < MENU else []
             run = []
             chosen.append(b[0])
-    lines = (SPACE.sub(" ", "".join(t for t, judge in b if not judge or judge in own)).strip()
-             for b in chosen)
+    lines = (" ".join("".join(t for t, judge in b if not judge or judge in own).split()) for b in chosen)
     return "\n".join(line for line in lines if line)
 
 

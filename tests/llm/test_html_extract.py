@@ -166,3 +166,15 @@ def test_long_and_deep_pages_take_time_in_proportion():
             he.main_text(part * (size // len(part)))
             took.append(time.process_time() - start)
         assert took[1] < 24 * took[0] + 0.2, part
+
+
+def test_elements_are_kept_from_page_to_page_and_stay_few():
+    kept, made = he.Elements(), []
+    pages = [f"<nav><a href='/{n}'>x</a></nav><article class=post><P>text {n}<p hidden>y</article>" for n in range(900)]
+    alone = [[(kind, value, node.state()) for kind, value, node in he.events(p)] for p in pages]
+    for page, want in zip(pages, alone):
+        nodes = [(kind, value, node) for kind, value, node in he.events(page, elements=kept)]
+        made.append({id(node) for _, _, node in nodes})
+        assert [(kind, value, node.state()) for kind, value, node in nodes] == want
+        assert kept.kids <= he.KEPT + 20
+    assert made[0] == made[1]
