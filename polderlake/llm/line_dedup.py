@@ -74,35 +74,44 @@ def _let(value: Column, body) -> Column:
 
 
 def segment_keys(classes: list[tuple[int, int, int]]) -> Column:
-    """Keys of a line as ``array<struct<key, posted, edits>>``.
+    """Keys of a line as ``array<long>``, the lowest bit of a key set where the line posts it.
 
     Each class is (edits, least length, greatest length); a line has the keys of all that hold
     it. Characters are cut at four bytes each, as finding one in UTF-8 reads all before it, and
     places are a table to walk: a method with all of them spelt out is too long to be compiled.
     """
-    places = F.array(*[
-        F.struct(*[F.lit(v).alias(c) for c, v in (
-            ("d", d), ("i", i), ("shift", shift), ("posted", (d, shift) == (0, 0)),
-            ("edits", edits), ("least", least), ("most", most))])
-        for edits, least, most in classes
-        for d, i, shift in [(0, i, 0) for i in range(edits + 1)] + probes(edits)])
-
     def keys(line: Column) -> Column:
-        def key(p: Column) -> Column:
-            length = line["n"] - p["d"]
-            start, end = (F.call_function("div", length * i, p["edits"] + 1).cast("int")
-                          for i in (p["i"], p["i"] + 1))
-            piece = F.substring(line["code"], (start + p["shift"]) * 4 + 1, (end - start) * 4)
-            return F.struct(F.xxhash64(p["edits"], length, p["i"], piece).alias("key"),
-                            p["posted"].alias("posted"), p["edits"].alias("edits"))
-
-        return F.transform(F.filter(places, lambda p: line["n"].between(p["least"], p["most"])), key)
+        found = []
+        for edits, least, most in classes:
+            # Bounds of the segments of a line shorter by 0, 1, ..., in bytes.
+            bounds = F.array(*[F.call_function("div", (line["n"] - d) * i, F.lit(edits + 1)).cast("int") * 4 + 1
+                               for d in range(edits + 1) for i in range(edits + 2)])
+            places = F.array(*[
+                F.struct(F.lit(d * (edits + 2) + i).alias("at"), F.lit(4 * shift).alias("shift"),
+                         F.lit(16 * -d + 4 * edits + i).alias("tag"),
+                         F.lit(int((d, shift) == (0, 0))).cast("long").alias("posted"))
+                for d, i, shift in [(0, i, 0) for i in range(edits + 1)] + probes(edits)])
+            found.append(F.when(line["n"].between(least, most), _let(
+                F.struct(bounds.alias("bounds"), line["code"].alias("code"), (line["n"] * 16).alias("tag")),
+                _at(places))).otherwise(F.array().cast("array<bigint>")))
+        return F.concat(*found)
 
     return _let(F.encode("line", "UTF-32"), lambda code: _let(
         F.struct(code.alias("code"), F.call_function("div", F.length(code), F.lit(4)).cast("int").alias("n")),
         keys))
 
 
+def _at(places: Column):
+    """The keys of a line at places, as a function of the line."""
+    def key(line: Column, place: Column) -> Column:
+        start, end = F.get(line["bounds"], place["at"]), F.get(line["bounds"], place["at"] + 1)
+        piece = F.substring(line["code"], start + place["shift"], end - start)
+        return F.xxhash64(line["tag"] + place["tag"], piece).bitwiseAND(
+            F.lit(-2).cast("long")).bitwiseOR(place["posted"])
+
+    return lambda line: F.transform(places, lambda place: key(line, place))
+
+
 def _agreement(a: Column, b: Column, limit: Column, piece) -> Column:
     """The greatest length up to a limit at which pieces of both texts are equal, by bisection."""
     def step(s: Column, _: Column) -> Column:
@@ -176,7 +185,7 @@ def within(a: Column, b: Column, edits: int) -> Column:
         chars(a), lambda x: _let(chars(b), lambda y: compare(x, y))))
 
 
-def letters_allow(a: Column, b: Column, edits: int, letters: str = "aeinrst") -> Column:
+def letters_allow(a: Column, b: Column, edits: int | Column, letters: str = "aeinrst") -> Column:
     """False for texts that cannot be within so many edits, as a letter's counts differ by more."""
     count = lambda t, c: F.length(F.replace(t, F.lit(c), F.lit("")))
     allow = F.lit(True)
@@ -201,7 +210,8 @@ def near_copies(spark: SparkSession, lines: DataFrame, classes: list[tuple[int,
     """
     keyed = lines.where(F.length("line") >= min(least for _, least, _ in classes)).select(
         "doc_id", "line_no", "line", *_hashes(), F.explode(segment_keys(classes)).alias("k")).select(
-        "doc_id", "line_no", "line", "h1", "h2", "k.key", "k.posted", "k.edits")
+        "doc_id", "line_no", "line", "h1", "h2", F.col("k").bitwiseAND(F.lit(-2).cast("long")).alias("key"),
+        (F.col("k") % 2 != 0).alias("posted"))
     shared = staged(spark, keyed.groupBy("key").agg(
         F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("posted").alias("posted"))
         .where("low != high AND posted").select("key"), "shared-keys")
@@ -211,7 +221,7 @@ def near_copies(spark: SparkSession, lines: DataFrame, classes: list[tuple[int,
         F.bit_or(_mask(F.col("key"))).alias("bits")), "shared-filter")
     passed = keyed.withColumn("block", block).join(F.broadcast(marks), "block").where(
         F.col("bits").bitwiseAND(_mask(F.col("key"))) == _mask(F.col("key")))
-    met = staged(spark, passed.groupBy("key", "posted", "edits", "h1", "h2").agg(
+    met = staged(spark, passed.groupBy("key", "posted", "h1", "h2").agg(
         F.min(F.struct("doc_id", "line_no")).alias("first"), F.any_value("line").alias("line"))
         .join(shared, "key", "left_semi"), "met-lines")
 
@@ -219,27 +229,32 @@ def near_copies(spark: SparkSession, lines: DataFrame, classes: list[tuple[int,
     size = staged(spark, met.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key-sizes")
     rows = met.join(size, "key")
     few, many = rows.where(F.col("n") <= BLOCK_LINES), rows.where(F.col("n") > BLOCK_LINES)
-    side = lambda df, p: df.select("key", "edits", *[F.col(c).alias(p + c) for c in
-                                                     ("posted", "h1", "h2", "first", "line")])
-    pairs = side(few, "a_").join(side(few, "b_"), ["key", "edits"]).where(
+    # A pair may differ by the edits of the classes that hold both lines.
+    both = lambda a, b: "greatest(0, " + ", ".join(
+        f"if(length({a}) BETWEEN {least} AND {most} AND length({b}) BETWEEN {least} AND {most}, {edits}, 0)"
+        for edits, least, most in classes) + ")"
+    side = lambda df, p: df.select("key", *[F.col(c).alias(p + c) for c in
+                                            ("posted", "h1", "h2", "first", "line")])
+    pairs = side(few, "a_").join(side(few, "b_"), "key").where(
         "(a_posted OR b_posted) AND a_first < b_first AND NOT (a_h1 = b_h1 AND a_h2 = b_h2)"
-        " AND abs(length(a_line) - length(b_line)) <= edits")
+        f" AND abs(length(a_line) - length(b_line)) <= {both('a_line', 'b_line')}")
     pairs = pairs.groupBy("a_h1", "a_h2", "b_h1", "b_h2").agg(
-        F.max("edits").alias("edits"), F.any_value("a_line").alias("a_line"),
-        F.any_value("b_line").alias("b_line"))
+        F.any_value("a_line").alias("a_line"), F.any_value("b_line").alias("b_line"))
     a, b, near = F.col("a_line"), F.col("b_line"), F.lit(False)
+    allowed = F.expr(both("a_line", "b_line"))
     for edits in sorted({edits for edits, _, _ in classes}):
-        near = near | ((F.col("edits") == edits) & letters_allow(a, b, edits) & within(a, b, edits))
-    in_pairs = pairs.where(near).select(F.col("b_h1").alias("h1"), F.col("b_h2").alias("h2"))
+        near = near | ((allowed == edits) & within(a, b, edits))
+    in_pairs = pairs.where(letters_allow(a, b, allowed)).where(near).select(
+        F.col("b_h1").alias("h1"), F.col("b_h2").alias("h2"))
 
     part = F.pmod("h2", F.ceil(F.col("n") / BLOCK_LINES))
-    block_of = staged(spark, many.groupBy("key", "edits", part.alias("part")).agg(
+    block_of = staged(spark, many.groupBy("key", part.alias("part")).agg(
         F.collect_list(F.struct("posted", "h1", "h2", "first", "line")).alias("some")), "line-blocks")
     meet = block_of.join(block_of.select("key", F.col("some").alias("others")), "key")
-    in_blocks = meet.select(F.explode(F.expr("""filter(some, b -> exists(others, a ->
+    in_blocks = meet.select(F.explode(F.expr(f"""filter(some, b -> exists(others, a ->
         (a.posted OR b.posted) AND a.first < b.first AND NOT (a.h1 = b.h1 AND a.h2 = b.h2)
-        AND abs(length(a.line) - length(b.line)) <= edits
-        AND levenshtein(a.line, b.line, edits) >= 0))""")).alias("b")).select("b.h1", "b.h2")
+        AND abs(length(a.line) - length(b.line)) <= {both('a.line', 'b.line')}
+        AND levenshtein(a.line, b.line, {both('a.line', 'b.line')}) >= 0))""")).alias("b")).select("b.h1", "b.h2")
     return in_pairs.unionByName(in_blocks).distinct()
 
 

@@ -115,3 +115,32 @@ def test_every_line_takes_part_in_the_query_and_the_pipeline(spark, tmp_path):
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     counts = QUERIES["op2_line_dedup"](spark, str(tmp_path)).orderBy("doc_id").collect()
     assert [x.n_chars_kept for x in counts] == [len(t) for t in want]
+
+
+def test_near_lines_share_a_key_that_one_of_them_posts(spark):
+    r, classes = random.Random(8), [(2, 20, ld.MAX_CHARS), (1, 10, 20)]
+    rows = []
+    for _ in range(400):
+        a = "".join(r.choice("abé😀") for _ in range(r.randint(9, 45)))
+        rows.append((a, change(r, a, r.randint(0, 2))))
+    found = []
+    for side in (0, 1):
+        df = spark.createDataFrame([(n, row[side]) for n, row in enumerate(rows)], "n long, line string")
+        found.append([x["keys"] for x in df.select("n", ld.segment_keys(classes).alias("keys")).orderBy("n").collect()])
+    met = 0
+    for (a, b), ka, kb in zip(rows, *found):
+        assert len(ka) == (12 if len(a) > 20 else 16 if len(a) == 20 else 4 if len(a) >= 10 else 0)
+        allowed = max([k for k, least, most in classes if least <= min(len(a), len(b)) and max(len(a), len(b)) <= most],
+                      default=0)
+        if a != b and allowed and edits(a, b) <= allowed:
+            met += 1
+            shared = {k & ~1 for k in ka} & {k & ~1 for k in kb}
+            assert any(k & 1 and k & ~1 in shared for k in [*ka, *kb])
+    assert met > 150
+
+
+def test_both_classes_are_read_in_one_pass(spark, monkeypatch):
+    seen, scans = ld.segment_keys, []
+    monkeypatch.setattr(ld, "segment_keys", lambda classes: scans.append(classes) or seen(classes))
+    ld.dropped_lines(spark, plain(spark, [(1, "a line of some length\nanother"), (2, "one more")]), **ld.EVERY_LINE)
+    assert len(scans) == 1 and {k for k, _, _ in scans[0]} == {1, 2}
