@@ -216,7 +216,7 @@ def near_copies(spark: SparkSession, lines: DataFrame, classes: list[tuple[int,
         F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("posted").alias("posted"))
         .where("low != high AND posted").select("key"), "shared-keys")
     blocks = min(MAX_FILTER_BLOCKS, power_of_two(shared.count() / 4))
-    block = F.pmod("key", F.lit(blocks))
+    block = F.pmod(F.shiftright("key", 1), F.lit(blocks))  # the lowest bit of a key is clear
     marks = staged(spark, shared.groupBy(block.alias("block")).agg(
         F.bit_or(_mask(F.col("key"))).alias("bits")), "shared-filter")
     passed = keyed.withColumn("block", block).join(F.broadcast(marks), "block").where(
