@@ -73,43 +73,58 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def segment_keys(classes: list[tuple[int, int, int]]) -> Column:
-    """Keys of a line as ``array<long>``, the lowest bit of a key set where the line posts it.
+class SegmentKeys:
+    """Keys of lines, as rows or as an array; see ``segment_keys``.
 
-    Each class is (edits, least length, greatest length); a line has the keys of all that hold
-    it. Characters are cut at four bytes each, as finding one in UTF-8 reads all before it, and
-    places are a table to walk: a method with all of them spelt out is too long to be compiled.
+    As rows, a line meets a table of places, and one short expression cuts and hashes each: Spark
+    compiles that, while a function of array elements is interpreted, and all places spelt out
+    are a method too long for the JVM to compile. Characters are cut at four bytes each, as
+    finding one in UTF-8 reads all before it.
     """
-    def keys(line: Column) -> Column:
-        found = []
-        for edits, least, most in classes:
-            # Bounds of the segments of a line shorter by 0, 1, ..., in bytes.
-            bounds = F.array(*[F.call_function("div", (line["n"] - d) * i, F.lit(edits + 1)).cast("int") * 4 + 1
-                               for d in range(edits + 1) for i in range(edits + 2)])
-            places = F.array(*[
-                F.struct(F.lit(d * (edits + 2) + i).alias("at"), F.lit(4 * shift).alias("shift"),
-                         F.lit(16 * -d + 4 * edits + i).alias("tag"),
-                         F.lit(int((d, shift) == (0, 0))).cast("long").alias("posted"))
-                for d, i, shift in [(0, i, 0) for i in range(edits + 1)] + probes(edits)])
-            found.append(F.when(line["n"].between(least, most), _let(
-                F.struct(bounds.alias("bounds"), line["code"].alias("code"), (line["n"] * 16).alias("tag")),
-                _at(places))).otherwise(F.array().cast("array<bigint>")))
-        return F.concat(*found)
-
-    return _let(F.encode("line", "UTF-32"), lambda code: _let(
-        F.struct(code.alias("code"), F.call_function("div", F.length(code), F.lit(4)).cast("int").alias("n")),
-        keys))
-
-
-def _at(places: Column):
-    """The keys of a line at places, as a function of the line."""
-    def key(line: Column, place: Column) -> Column:
-        start, end = F.get(line["bounds"], place["at"]), F.get(line["bounds"], place["at"] + 1)
-        piece = F.substring(line["code"], start + place["shift"], end - start)
-        return F.xxhash64(line["tag"] + place["tag"], piece).bitwiseAND(
-            F.lit(-2).cast("long")).bitwiseOR(place["posted"])
-
-    return lambda line: F.transform(places, lambda place: key(line, place))
+
+    def __init__(self, classes: list[tuple[int, int, int]]):
+        self.places = F.array(*[
+            F.struct(F.lit(least).alias("least"), F.lit(most).alias("most"), F.lit(edits + 1).alias("parts"),
+                     F.lit(d).alias("d"), F.lit(i).alias("i"), F.lit(4 * shift + 1).alias("shift"),
+                     F.lit(16 * -d + 4 * edits + i).alias("tag"), F.lit((d, shift) == (0, 0)).alias("posted"))
+            for edits, least, most in classes
+            for d, i, shift in [(0, i, 0) for i in range(edits + 1)] + probes(edits)])
+
+    @staticmethod
+    def _code() -> Column:
+        return F.coalesce(F.encode("line", "UTF-32"), F.lit(b""))
+
+    @staticmethod
+    def _key(code: Column, n: Column, place: Column) -> Column:
+        """The lowest bit is clear."""
+        # Where segments i and i + 1 of a line that is d shorter begin.
+        start, end = (F.floor((n - place["d"]) * (place["i"] + k) / place["parts"]).cast("int") * 4 for k in (0, 1))
+        piece = F.substring(code, start + place["shift"], end - start)
+        return F.xxhash64(n * 16 + place["tag"], piece).bitwiseAND(F.lit(-2).cast("long"))
+
+    def rows(self, lines: DataFrame) -> DataFrame:
+        """``lines`` with ``key`` and ``posted``, one row for each key of a line."""
+        code, place = F.col("__code"), F.col("__place")
+        n = F.shiftright(F.length(code), 2)
+        each = lines.withColumn("__code", self._code()).select("*", F.explode(self.places).alias("__place"))
+        return each.where(n.between(place["least"], place["most"])).select(
+            *lines.columns, self._key(code, n, place).alias("key"), place["posted"].alias("posted"))
+
+    def alias(self, name: str) -> Column:
+        """The keys of a line as ``array<long>``, the lowest bit of a key set where the line posts it."""
+        def keys(line: Column) -> Column:
+            return F.transform(
+                F.filter(self.places, lambda p: line["n"].between(p["least"], p["most"])),
+                lambda p: self._key(line["code"], line["n"], p).bitwiseOR(p["posted"].cast("long")))
+
+        return _let(self._code(), lambda code: _let(F.struct(
+            code.alias("code"), F.shiftright(F.length(code), 2).alias("n")), keys)).alias(name)
+
+
+def segment_keys(classes: list[tuple[int, int, int]]) -> SegmentKeys:
+    """Keys of a line. Each class is (edits, least length, greatest length); a line has the keys
+    of all that hold it."""
+    return SegmentKeys(classes)
 
 
 def _agreement(a: Column, b: Column, limit: Column, piece) -> Column:
@@ -208,10 +223,8 @@ def near_copies(spark: SparkSession, lines: DataFrame, classes: list[tuple[int,
     occurrence, ``(doc_id, line_no)``. Comparison is against all earlier lines, whether they stay
     or not.
     """
-    keyed = lines.where(F.length("line") >= min(least for _, least, _ in classes)).select(
-        "doc_id", "line_no", "line", *_hashes(), F.explode(segment_keys(classes)).alias("k")).select(
-        "doc_id", "line_no", "line", "h1", "h2", F.col("k").bitwiseAND(F.lit(-2).cast("long")).alias("key"),
-        (F.col("k") % 2 != 0).alias("posted"))
+    keyed = segment_keys(classes).rows(lines.where(F.length("line") >= min(least for _, least, _ in classes)).select(
+        "doc_id", "line_no", "line", *_hashes()))
     shared = staged(spark, keyed.groupBy("key").agg(
         F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("posted").alias("posted"))
         .where("low != high AND posted").select("key"), "shared-keys")

@@ -144,3 +144,17 @@ def test_both_classes_are_read_in_one_pass(spark, monkeypatch):
     monkeypatch.setattr(ld, "segment_keys", lambda classes: scans.append(classes) or seen(classes))
     ld.dropped_lines(spark, plain(spark, [(1, "a line of some length\nanother"), (2, "one more")]), **ld.EVERY_LINE)
     assert len(scans) == 1 and {k for k, _, _ in scans[0]} == {1, 2}
+
+
+def test_keys_as_rows_are_compiled_and_equal_those_as_an_array(spark):
+    r, classes = random.Random(9), [(2, 20, ld.MAX_CHARS), (1, 10, 20)]
+    rows = [(n, "".join(r.choice("abé😀") for _ in range(r.randint(5, 45)))) for n in range(200)]
+    lines = spark.createDataFrame(rows, "n long, line string")
+    keys = ld.segment_keys(classes)
+    want = {x.n: sorted(x["keys"]) for x in lines.select("n", keys.alias("keys")).collect()}
+    got = {n: [] for n in want}
+    found = keys.rows(lines)
+    for x in found.collect():
+        got[x.n].append(x.key | x.posted)
+    assert found.columns == ["n", "line", "key", "posted"] and {n: sorted(k) for n, k in got.items()} == want
+    assert "lambda" not in found._jdf.queryExecution().toString()  # Spark interprets functions of elements
