@@ -358,12 +358,14 @@ def _tokenizers(definition: str):
     known = known and not any(t[k] for t in added for k in ("lstrip", "rstrip", "single_word", "normalized"))
     bytes_ = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
     spelt = lambda c: bytes_.pre_tokenize_str(c)[0][0]
-    letters = {b: spelt(chr(b)) for b in range(128) if b != 10}
+    letters = {b: spelt(chr(b)) for b in range(128)} | {10: "\n"}
     letters |= {b: spelt(chr(b + 0x40))[1] for b in range(0x80, 0xC0)} | {0xC3: spelt("\xe9")[0]}
     vocabulary = tokenizer.get_vocab()
     spans = np.zeros(max(vocabulary.values()) + 1, np.int64)
     spans[list(vocabulary.values())] = [len(t) for t in vocabulary]
-    return tokenizer, words, letters, spans, known, [t["content"].encode() for t in added]
+    table = np.zeros(256, "<u4")
+    table[list(letters)] = [ord(c) for c in letters.values()]
+    return tokenizer, words, table, spans, known, [t["content"].encode() for t in added]
 
 
 class Pieces:
@@ -450,15 +452,18 @@ class Pieces:
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, encoded by lines, and how many each has by the bytes that they span."""
+        bounds = np.frombuffer(words.buffers()[1], np.int64)[:len(words) + 1]
+        data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[:bounds[-1]]
+        lines = self.letters[np.insert(data, bounds[1:], 10)]
         ids, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a in range(0, len(words), 100_000):
-            some = words.slice(a, 100_000).to_pylist()
-            coded = self.words.encode_batch_fast(
-                [b"\n".join(some[b:b + 1_000]).decode("latin-1").translate(self.letters)
-                 for b in range(0, len(some), 1_000)], add_special_tokens=False)
+            ends = bounds[a:a + 100_001]
+            # Places in the lines, each of which ends with a byte of its own.
+            at = [*(ends + a + np.arange(len(ends)))[:-1:1_000], ends[-1] + a + len(ends) - 1]
+            coded = self.words.encode_batch_fast([lines[b:c].tobytes().decode("utf-32-le") for b, c in zip(at, at[1:])],
+                                                 add_special_tokens=False)
             ids.append(np.concatenate([np.array(e.ids, np.int64) for e in coded]))
-            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)))
-            upto = np.searchsorted(np.cumsum(self.spans[ids[-1]]), ends) + 1
+            upto = np.searchsorted(np.cumsum(self.spans[ids[-1]]), ends[1:] - ends[0]) + 1
             sizes.append(np.diff(upto, prepend=0))
         return np.concatenate(ids), np.concatenate(sizes)
 
